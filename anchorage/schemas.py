@@ -6,16 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DOCUMENTS = T.StructType.fromDDL(
-    "path string not null, text string, doc_ord bigint, is_dir boolean, io_error string"
-)
-RECORDS = T.StructType.fromDDL(
-    "doc_path string, doc_line int, link string, source string, doc_ord bigint, pos int"
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(),
+    "boolean": T.BooleanType(), "binary": T.BinaryType(),
+}
+
+
+def _table(**columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in columns.items()])
+
+
+DOCUMENTS = _table(path="string", text="string", doc_ord="bigint", is_dir="boolean", io_error="string")
+# source, doc_ord and pos keep the input order: report file, document or line, link in the document
+RECORDS = _table(
+    doc_path="string", doc_line="int", link="string", source="string", doc_ord="bigint", pos="int"
 )
-RESPONSES = T.StructType.fromDDL(
-    "url string, status int, location string, content_type string, body binary, error string"
+RESPONSES = _table(
+    url="string", status="int", location="string", content_type="string", body="binary", error="string"
 )
-REJECTS = T.StructType.fromDDL("source string, line_no bigint, value string, reason string")
+REJECTS = _table(source="string", line_no="bigint", value="string", reason="string")
 
 # Every tag a link can get, with its description.
 TAGS = {
