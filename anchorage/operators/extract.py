@@ -8,26 +8,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, markdown
+from ..functions.named import on_columns
 from ..functions.paths import normalize_path
 from ..schemas import RECORDS, conform
+from .targets import target_of
 
 
 def _is_file() -> Column:
     return ~F.coalesce("is_dir", F.lit(False)) & F.col("io_error").isNull() & F.col("text").isNotNull()
 
 
-def _target_text() -> Column:
+def _lenient(text: Column) -> Column:
     # the target of a link is decoded leniently, with UTF-8 as the hint
-    body = F.col("text").cast("binary")
-    return F.when(F.is_valid_utf8("text") & ~F.col("text").startswith("﻿"), F.col("text")).otherwise(
-        html.decode_body(body, F.lit("utf-8"))
+    return F.when(F.is_valid_utf8(text) & ~text.startswith("\ufeff"), text).otherwise(
+        html.decode_body(text.cast("binary"), F.lit("utf-8"))
+    )
+
+
+def _text_anchors(text: Column, slug: Callable[[Column], Column]) -> Column:
+    return markdown.let(_lenient(text), lambda t: markdown.anchors(t, slug))
+
+
+def _text_headings(text: Column) -> Column:
+    return markdown.let(_lenient(text), lambda t: markdown.let(markdown.headings(t), markdown.number_repeats))
+
+
+def _found_in_body(
+    status: Column, content_type: Column, body: Column, error: Column, slug: Callable[[Column], Column]
+) -> Column:
+    """``struct<media_type, undecodable, anchors>`` of a response."""
+
+    def parse(kind: Column) -> Column:
+        wanted = kind.isin("text/html", "text/markdown") & status.between(200, 299) & error.isNull()
+        text = F.when(
+            wanted, html.decode_body(F.coalesce(body, F.lit(b"")), html.charset_hint(content_type))
+        )
+        return markdown.let(
+            F.struct(text.alias("text")),
+            lambda d: F.struct(
+                kind.alias("media_type"),
+                (wanted & d["text"].isNull()).alias("undecodable"),
+                F.when(kind == "text/html", html.html_anchors(d["text"]))
+                .when(kind == "text/markdown", markdown.anchors(d["text"], slug))
+                .alias("anchors"),
+            ),
+        )
+
+    return markdown.let(html.media_type(content_type), parse)
+
+
+def _links_with_targets(text: Column, path: Column, root: str | None) -> Column:
+    def add_target(link: Column, doc_key: Column) -> Column:
+        return markdown.let(
+            target_of(link["link"], doc_key, root),
+            lambda to: F.struct(
+                link["line"].alias("doc_line"), link["link"].alias("link"),
+                *[to[c].alias(c) for c in ("kind", "target", "fragment", "reject")],
+            ),
+        )
+
+    return markdown.let(
+        normalize_path(path),
+        lambda doc_key: F.transform(markdown.links(text), lambda link: add_target(link, doc_key)),
     )
 
 
 def index_documents(
-    documents: DataFrame, slug: Callable[[Column], Column] = markdown.heading_slug
+    documents: DataFrame,
+    slug: Callable[[Column], Column] = markdown.heading_slug,
+    root: str | None = None,
 ) -> DataFrame:
-    """One row per document with its ``links`` and ``anchors`` as arrays, and no text.
+    """One row per document with its ``links`` (and their targets) and ``anchors``, and no text.
 
     This is what a check needs of a document, so a corpus is read once however often it is used.
     """
@@ -37,44 +88,45 @@ def index_documents(
         "doc_ord",
         F.coalesce("is_dir", F.lit(False)).alias("is_dir"),
         "io_error",
-        F.when(source, markdown.links(F.col("text"))).alias("links"),
-        F.when(_is_file(), markdown.anchors(_target_text(), slug)).alias("anchors"),
+        F.when(source, on_columns(_links_with_targets, "text", "path", root=root)).alias("links"),
+        F.when(_is_file(), on_columns(_text_anchors, "text", slug=slug)).alias("anchors"),
     )
 
 
-def records_of(index: DataFrame) -> DataFrame:
-    """Link records of an index, in document order."""
-    exploded = index.select(
+def _exploded_links(rows: DataFrame) -> DataFrame:
+    # the outer form keeps Catalyst from evaluating the links twice, once to filter out empty arrays
+    return rows.select(
         F.col("path").alias("doc_path"), "doc_ord", F.posexplode_outer("links").alias("pos", "found")
     ).filter(F.col("pos").isNotNull())
-    return conform(
-        exploded.select(
-            "doc_path",
-            F.col("found.line").alias("doc_line"),
-            F.col("found.link").alias("link"),
-            "doc_ord",
-            "pos",
-        ),
-        RECORDS,
+
+
+def targets_of(index: DataFrame) -> DataFrame:
+    """The links of an index with their targets: the rows that ``parse_targets`` gives for them."""
+    rows = _exploded_links(index).select("doc_path", "doc_ord", "pos", "found.*")
+    columns = [f.name for f in RECORDS.fields]
+    return rows.withColumn("source", F.lit(None).cast("string")).select(
+        *columns, "kind", "target", "fragment", "reject"
     )
 
 
 def extract_links(documents: DataFrame) -> DataFrame:
     """Every link of every readable Markdown document with the line its text ends on."""
-    return records_of(
+    rows = _exploded_links(
         documents.filter(_is_file() & F.is_valid_utf8("text")).select(
-            "path", "doc_ord", markdown.links(F.col("text")).alias("links")
+            "path", "doc_ord", on_columns(markdown.links, "text").alias("links")
         )
     )
+    return conform(
+        rows.select("doc_path", "doc_ord", "pos", F.col("found.line").alias("doc_line"), "found.link"),
+        RECORDS,
+    )
 
 
 def extract_headings(documents: DataFrame) -> DataFrame:
     """``(path, pos, text, nth)``: heading texts in order, with the number of earlier equal ones."""
     rows = documents.filter(_is_file()).select(
         "path",
-        F.explode_outer(
-            markdown.let(markdown.headings(_target_text()), markdown.number_repeats)
-        ).alias("h"),
+        F.explode_outer(on_columns(_text_headings, "text")).alias("h"),
     )
     return rows.filter(F.col("h").isNotNull()).select("path", "h.pos", "h.text", "h.nth")
 
@@ -90,8 +142,8 @@ def document_anchor_sets(
 ) -> DataFrame:
     """``(target, anchors)``: the anchor array of each local document, from its headings."""
     return documents.filter(_is_file()).select(
-        normalize_path(F.col("path")).alias("target"),
-        markdown.anchors(_target_text(), slug).alias("anchors"),
+        on_columns(normalize_path, "path").alias("target"),
+        on_columns(_text_anchors, "text", slug=slug).alias("anchors"),
     )
 
 
@@ -106,26 +158,10 @@ def index_responses(
     responses: DataFrame, slug: Callable[[Column], Column] = markdown.heading_slug
 ) -> DataFrame:
     """One row per response with its ``media_type``, ``undecodable`` flag and ``anchors``, and no body."""
-    kind = html.media_type(F.col("content_type"))
-    parsed = kind.isin("text/html", "text/markdown")
-    wanted = parsed & F.col("status").between(200, 299) & F.col("error").isNull()
-    text = F.when(wanted, html.decode_body(F.coalesce("body", F.lit(b"")), html.charset_hint(F.col("content_type"))))
-    decoded = responses.select(
-        "url", "status", "location", "content_type", "error",
-        kind.alias("media_type"),
-        markdown.let(
-            F.struct(text.alias("text")),
-            lambda d: F.struct(
-                (wanted & d["text"].isNull()).alias("undecodable"),
-                F.when(kind == "text/html", html.html_anchors(d["text"]))
-                .when(kind == "text/markdown", markdown.anchors(d["text"], slug))
-                .alias("anchors"),
-            ),
-        ).alias("found"),
-    )
-    return decoded.select(
-        "url", "status", "location", "content_type", "error", "media_type", "found.undecodable", "found.anchors"
-    )
+    found = on_columns(_found_in_body, "status", "content_type", "body", "error", slug=slug)
+    return responses.select(
+        "url", "status", "location", "content_type", "error", found.alias("found")
+    ).select("url", "status", "location", "content_type", "error", "found.*")
 
 
 def response_anchors(

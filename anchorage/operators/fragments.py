@@ -8,25 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _candidates(fragment: Column, prefixes: Sequence[str]) -> Column:
-    """Anchors that may satisfy a fragment, best first: exact, prefixed, then both in lower case.
+def _candidates(fragment: Column, tries: Sequence[str]) -> Column:
+    """Anchors that may satisfy a fragment with their rank: exact, prefixed, then both in lower case.
 
     Lower case is only tried where it changes the fragment; it is the fragment that is lowered, not
     the anchors.
     """
 
-    def one(rank: int, tag: str, prefix: str, text: Column) -> Column:
-        return F.struct(
-            F.lit(rank).alias("rank"),
-            F.lit(tag).alias("tag"),
-            F.lit(prefix).alias("prefix"),
-            F.concat(F.lit(prefix), text).alias("anchor"),
-        )
+    def ranked(text: Column, first: int) -> list[Column]:
+        return [
+            F.struct(F.lit(first + i).alias("rank"), F.concat(F.lit(prefix), text).alias("anchor"))
+            for i, prefix in enumerate(tries)
+        ]
 
-    tries = ["", *dict.fromkeys(p for p in prefixes if p)]
     lower = F.lower(fragment)
-    exact = [one(i, "PREFIXED" if p else "OK", p, fragment) for i, p in enumerate(tries)]
-    lowered = [one(len(tries) + i, "CASE_FRAG", p, lower) for i, p in enumerate(tries)]
+    exact, lowered = ranked(fragment, 0), ranked(lower, len(tries))
     return F.when(lower == fragment, F.array(*exact)).otherwise(F.array(*exact, *lowered))
 
 
@@ -45,40 +41,37 @@ def resolve_fragments(
     needs = F.col("tag").isNull() & F.col("fragment").isNotNull()
     if empty_fragment_ok:
         needs = needs & (F.col("fragment") != "")
+    tries = ["", *dict.fromkeys(p for p in prefixes if p)]
     idle = F.array(
         F.struct(
             F.lit(None).cast("int").alias("rank"),
-            F.lit(None).cast("string").alias("tag"),
-            F.lit(None).cast("string").alias("prefix"),
             F.concat(F.lit("\0"), F.coalesce("fragment", F.lit(""))).alias("anchor"),
         )
     )
-    tries = wanted.select(
+    attempts = wanted.select(
         "kind", "target", "fragment", "n_links", F.col("tag").alias("doc_tag"), "hops",
         F.coalesce("anchor_key", "target").alias("anchor_key"),
         needs.alias("needs"),
-        F.explode(F.when(needs, _candidates(F.col("fragment"), prefixes)).otherwise(idle)).alias("try"),
+        F.explode(F.when(needs, _candidates(F.col("fragment"), tries)).otherwise(idle)).alias("try"),
     ).withColumn("anchor", F.col("try.anchor"))
     present = anchors.select(F.col("target").alias("anchor_key"), "anchor", F.lit(True).alias("present"))
+    # All but the rank depend on the first three keys; as keys they allow a hash aggregate.
     best = (
-        tries.join(present, ["anchor_key", "anchor"], "left")
-        .groupBy("kind", "target", "fragment")
-        .agg(
-            F.first("n_links").alias("n_links"),
-            F.first("doc_tag").alias("doc_tag"),
-            F.first("hops").alias("hops"),
-            F.first("needs").alias("needs"),
-            F.min(F.when(F.col("present"), F.struct("try.rank", "try.tag", "try.prefix"))).alias("match"),
-        )
+        attempts.join(present, ["anchor_key", "anchor"], "left")
+        .groupBy("kind", "target", "fragment", "n_links", "doc_tag", "hops", "needs")
+        .agg(F.min(F.when(F.col("present"), F.col("try.rank"))).alias("rank"))
     )
+    rank = F.col("rank")
     tag = (
         F.when(F.col("doc_tag").isNotNull(), F.col("doc_tag"))
-        .when(~F.col("needs"), F.lit("OK"))
-        .otherwise(F.coalesce("match.tag", F.lit("NO_FRAG")))
+        .when(~F.col("needs") | (rank == 0), F.lit("OK"))
+        .when(rank < len(tries), F.lit("PREFIXED"))
+        .when(rank.isNotNull(), F.lit("CASE_FRAG"))
+        .otherwise(F.lit("NO_FRAG"))
     )
     return best.select(
         "kind", "target", "fragment", "n_links", "hops",
-        F.col("match.prefix").alias("prefix"),
+        F.get(F.array(*[F.lit(p) for p in tries]), F.pmod(rank, F.lit(len(tries)))).alias("prefix"),
         tag.alias("tag"),
         F.col("doc_tag").isNotNull().alias("doc_failed"),
     )

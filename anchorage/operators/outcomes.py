@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.named import on_columns
 from ..functions.paths import ancestors, normalize_path
-from ..functions.text import percent_decode
+from ..functions.text import let, percent_decode
 from .redirects import resolve_responses
 
 HOPS = "array<struct<status:int,url:string>>"
 
 
+def _ancestors_of(path: Column) -> Column:
+    return let(normalize_path(path), ancestors)
+
+
+def _decoded_path(path: Column) -> Column:
+    return let(percent_decode(path), normalize_path)
+
+
 def inventory(documents: DataFrame) -> DataFrame:
-    """``(target, is_dir, io_error)``: all local paths that exist, once each.
+    """``(target, is_dir, io_error)`` (two flags): all local paths that exist, once each.
 
     Every folder above a document exists; they are merged before the shuffle, so a folder with very
     many documents costs one row per map task.
     """
-    path = normalize_path(F.col("path"))
+    path = on_columns(normalize_path, "path")
     own = documents.select(
-        path.alias("target"), F.coalesce("is_dir", F.lit(False)).alias("is_dir"), "io_error"
+        path.alias("target"),
+        F.coalesce("is_dir", F.lit(False)).alias("is_dir"),
+        F.col("io_error").isNotNull().alias("io_error"),
     )
-    folders = documents.select(F.explode(ancestors(path)).alias("target")).select(
-        "target", F.lit(True).alias("is_dir"), F.lit(None).cast("string").alias("io_error")
+    folders = documents.select(
+        F.explode(on_columns(_ancestors_of, "path")).alias("target")
+    ).select(
+        "target", F.lit(True).alias("is_dir"), F.lit(False).alias("io_error")
     )
     return (
         own.unionByName(folders)
@@ -37,7 +50,7 @@ def local_outcomes(existing: DataFrame) -> DataFrame:
     return existing.select(
         F.lit("path").alias("kind"),
         "target",
-        F.when(F.col("is_dir"), F.lit("DIR")).when(F.col("io_error").isNotNull(), F.lit("IO_ERR")).alias("tag"),
+        F.when(F.col("is_dir"), F.lit("DIR")).when(F.col("io_error"), F.lit("IO_ERR")).alias("tag"),
         F.col("target").alias("anchor_key"),
         F.array().cast(HOPS).alias("hops"),
     )
@@ -105,7 +118,7 @@ def look_up(targets: DataFrame, outcomes: DataFrame, urldecode: bool = False) ->
         joined = targets.withColumn("key", F.col("target")).join(found, ["kind", "key"], "left")
         return joined.withColumn("tag", missing).drop("key", "found", "found_tag")
 
-    decoded = F.when(F.col("kind") == "path", normalize_path(percent_decode(F.col("target"))))
+    decoded = F.when(F.col("kind") == "path", on_columns(_decoded_path, "target"))
     tries = targets.withColumn(
         "try",
         F.explode(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.named import on_columns
 from ..functions.urls import resolve_reference
 from .skew import ROWS_PER_TASK, spread_join
 from .staging import stage
@@ -20,7 +21,7 @@ def redirect_edges(index: DataFrame) -> DataFrame:
         index.filter(
             F.col("status").isin(REDIRECT_STATUSES) & F.col("location").isNotNull() & F.col("error").isNull()
         )
-        .select("url", "status", resolve_reference(F.col("url"), F.col("location")).alias("end"))
+        .select("url", "status", on_columns(resolve_reference, "url", "location").alias("end"))
         .filter(F.col("end").isNotNull())
         .select(
             "url",
@@ -91,7 +92,7 @@ def resolve_responses(
         F.col("status").isin(REDIRECT_STATUSES)
         & F.col("location").isNotNull()
         & F.col("error").isNull()
-        & resolve_reference(F.col("url"), F.col("location")).isNotNull()
+        & on_columns(resolve_reference, "url", "location").isNotNull()
     )
     direct = index.filter(~F.coalesce(is_edge, F.lit(False))).select(
         "url", F.col("url").alias("final_url"), no_hops.alias("hops"), *own

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.named import on_columns
 from ..functions.paths import normalize_path, parent_folder
 from ..functions.text import let
 from ..functions.urls import parse_url
@@ -43,14 +44,8 @@ def _local(link: Column, doc_key: Column, root: str | None) -> Column:
     )
 
 
-def parse_targets(records: DataFrame, root: str | None = None) -> DataFrame:
-    """Add ``kind``, ``target``, ``fragment`` and ``reject`` to link records.
-
-    * ``url``: an absolute URL, normalized; ``path``: a local path, resolved from the document's
-      own normalized path; ``absolute``: a root-absolute path with no ``root`` to join it to.
-    * ``fragment`` is NULL where the link has no ``#`` and '' where nothing follows it.
-    * ``reject`` is the reason why a URL cannot be parsed, else NULL.
-    """
+def target_of(link: Column, doc_key: Column, root: str | None = None) -> Column:
+    """``struct<kind, target, fragment, reject>`` of a link in the document with the path ``doc_key``."""
 
     def project(url: Column) -> Column:
         remote = F.struct(
@@ -59,13 +54,26 @@ def parse_targets(records: DataFrame, root: str | None = None) -> DataFrame:
             url["fragment"].alias("fragment"),
             url["reject"].alias("reject"),
         )
-        local = _local(F.col("link"), normalize_path(F.col("doc_path")), root)
-        return F.when(url.isNotNull(), remote).otherwise(local)
+        return F.when(url.isNotNull(), remote).otherwise(_local(link, doc_key, root))
 
-    projected = records.withColumn("_to", let(parse_url(F.col("link")), project))
-    return projected.select(
-        *[F.col(c) for c in records.columns], "_to.kind", "_to.target", "_to.fragment", "_to.reject"
-    )
+    return let(parse_url(link), project)
+
+
+def _target_in(link: Column, doc_path: Column, root: str | None) -> Column:
+    return let(normalize_path(doc_path), lambda doc_key: target_of(link, doc_key, root))
+
+
+def parse_targets(records: DataFrame, root: str | None = None) -> DataFrame:
+    """Add ``kind``, ``target``, ``fragment`` and ``reject`` to link records.
+
+    * ``url``: an absolute URL, normalized; ``path``: a local path, resolved from the document's
+      own normalized path; ``absolute``: a root-absolute path with no ``root`` to join it to.
+    * ``fragment`` is NULL where the link has no ``#`` and '' where nothing follows it.
+    * ``reject`` is the reason why a URL cannot be parsed, else NULL.
+    """
+
+    to = on_columns(_target_in, "link", "doc_path", root=root)
+    return records.withColumn("_to", to).select(*records.columns, "_to.*")
 
 
 def accepted(targets: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markdown import heading_slug
+from ..functions.named import on_columns
 from ..functions.paths import normalize_path
-from ..operators.extract import index_documents, index_responses, records_of
+from ..operators.extract import index_documents, index_responses, targets_of
 from ..operators.fragments import resolve_fragments
 from ..operators.outcomes import inventory, local_outcomes, look_up, remote_outcomes
 from ..operators.skew import ROWS_PER_TASK, spread_join
@@ -41,16 +42,19 @@ def check_links(
     ``documents`` are the sources of the links (unless ``records`` are given, such as those of an
     earlier report) and the local targets; ``responses`` are the remote targets.
 
-    Texts and bodies are read once: what is kept of them are links and anchors.  Every distinct
+    Texts and bodies are read once: what is staged of them are links and anchors.  Every distinct
     target is then looked up once, every distinct (target, fragment) resolved once, and only the
     last join touches all links.  Links of very popular targets are split over many tasks there.
     """
-    index = stage_on_cluster(index_documents(documents, slug), "documents")
-    targets = parse_targets(records_of(index) if records is None else records, root)
-    links = stage_on_cluster(_no_suffix(accepted(targets)), "links")
+    index = stage_on_cluster(index_documents(documents, slug, root), "documents")
+    if records is None:
+        targets = targets_of(index)
+    else:
+        targets = stage_on_cluster(parse_targets(records, root), "targets")
+    links = _no_suffix(accepted(targets))
 
     outcomes = local_outcomes(inventory(index))
-    anchors = index.select(normalize_path(F.col("path")).alias("target"), "anchors")
+    anchors = index.select(on_columns(normalize_path, "path").alias("target"), "anchors")
     if responses is not None:
         fetched = stage_on_cluster(index_responses(responses, slug), "responses")
         outcomes = outcomes.unionByName(
@@ -61,7 +65,7 @@ def check_links(
         F.col("anchor").isNotNull()
     )
 
-    wanted = group_targets(links)
+    wanted = stage_on_cluster(group_targets(links), "wanted")
     per_target = wanted.groupBy("kind", "target").agg(F.count(F.lit(1)).alias("n_fragments"))
     looked_up = look_up(per_target, outcomes, urldecode)
     fanned = spread_join(
@@ -77,7 +81,7 @@ def check_links(
         ["source", "doc_path", "doc_ord", "pos"],
         rows_per_task,
     )
-    checked = tagged.withColumn("details", details_of()).select(
+    checked = tagged.withColumn("details", on_columns(details_of)).select(
         "doc_path", "doc_line", "link", "source", "doc_ord", "pos", "kind", "target", "fragment", "tag", "details"
     )
     return checked, rejected(targets)

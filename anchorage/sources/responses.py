@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.named import on_columns
 from ..functions.urls import normalize_url
 from ..schemas import RESPONSES, conform
 
@@ -14,6 +15,6 @@ def responses_from_table(df: DataFrame, url: str = "url") -> DataFrame:
 
     ``error`` is NULL, ``timeout``, ``body_read`` or any other text for a transport error.
     """
-    return conform(df.withColumn("url", normalize_url(F.col(url))), RESPONSES).filter(
+    return conform(df.withColumn("url", on_columns(normalize_url, url)), RESPONSES).filter(
         F.col("url").isNotNull()
     )
