@@ -34,11 +34,12 @@ def parent_folder(path: Column) -> Column:
 
 
 def ancestors(path: Column) -> Column:
-    """All folders above a normalized path (``array<string>``), nearest last; the root is '' or '/'."""
+    """All folders above a normalized path (``array<string>``); the topmost is '/' or ''."""
     parts = F.split(path, "/", -1)
+    absolute = path.startswith("/")
     return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
-        lambda n: F.when(
-            (n == 1) & path.startswith("/"), F.lit("/")
-        ).otherwise(F.when(F.size(parts) == 1, F.lit("")).otherwise(F.array_join(F.slice(parts, F.lit(1), n), "/"))),
+        F.sequence(F.when(absolute, 1).otherwise(0), F.size(parts) - 1),
+        lambda n: F.when(absolute & (n == 1), F.lit("/")).otherwise(
+            F.array_join(F.slice(parts, F.lit(1), n), "/")
+        ),
     )

@@ -41,7 +41,7 @@ def resolve_redirects(
     loop, whose chain keeps growing.  Rounds are staged, which keeps the plan small, and stop as
     soon as no chain grows.  Many chains may end at one URL, so the join splits hot ends.
     """
-    chains = stage(redirect_edges(index), "chains-0")
+    chains = redirect_edges(index)
     covered = 1
     while covered <= max_hops:
         tails = chains.select(F.col("url").alias("end"), F.col("hops").alias("tail"), F.col("end").alias("tail_end"))

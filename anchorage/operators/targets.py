@@ -50,7 +50,7 @@ def target_of(link: Column, doc_key: Column, root: str | None = None) -> Column:
     def project(url: Column) -> Column:
         remote = F.struct(
             F.lit("url").alias("kind"),
-            url["key"].alias("target"),
+            F.when(url["reject"].isNull(), url["key"]).alias("target"),
             url["fragment"].alias("fragment"),
             url["reject"].alias("reject"),
         )
