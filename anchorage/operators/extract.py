@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from ..functions import html, markdown
 from ..functions.named import on_columns
 from ..functions.paths import normalize_path
+from ..functions.urls import resolve_reference
 from ..schemas import RECORDS, conform
 from .targets import target_of
 
 
+# The statuses that redirect.
+REDIRECT_STATUSES = [301, 302, 303, 307, 308]
+
+
 def _is_file() -> Column:
     return ~F.coalesce("is_dir", F.lit(False)) & F.col("io_error").isNull() & F.col("text").isNotNull()
 
@@ -157,11 +162,20 @@ def document_anchors(
 def index_responses(
     responses: DataFrame, slug: Callable[[Column], Column] = markdown.heading_slug
 ) -> DataFrame:
-    """One row per response with its ``media_type``, ``undecodable`` flag and ``anchors``, and no body."""
+    """One row per response without its body: what a check needs of it.
+
+    ``next_url`` is where a redirect leads (NULL for others); ``media_type``, ``undecodable`` and
+    ``anchors`` come from the header and the body.
+    """
     found = on_columns(_found_in_body, "status", "content_type", "body", "error", slug=slug)
-    return responses.select(
-        "url", "status", "location", "content_type", "error", found.alias("found")
-    ).select("url", "status", "location", "content_type", "error", "found.*")
+    redirects = (
+        F.col("status").isin(REDIRECT_STATUSES) & F.col("location").isNotNull() & F.col("error").isNull()
+    )
+    next_url = F.when(redirects, on_columns(resolve_reference, "url", "location"))
+    kept = ["url", "status", "content_type", "error"]
+    return responses.select(*kept, next_url.alias("next_url"), found.alias("found")).select(
+        *kept, "next_url", "found.*"
+    )
 
 
 def response_anchors(

@@ -5,36 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.named import on_columns
-from ..functions.urls import resolve_reference
 from .skew import ROWS_PER_TASK, spread_join
 from .staging import stage
 
-# The statuses that redirect.
-REDIRECT_STATUSES = [301, 302, 303, 307, 308]
 MAX_HOPS = 10
 
 
 def redirect_edges(index: DataFrame) -> DataFrame:
     """``(url, hops, end)`` for the responses that redirect, with the one hop they state."""
-    return (
-        index.filter(
-            F.col("status").isin(REDIRECT_STATUSES) & F.col("location").isNotNull() & F.col("error").isNull()
-        )
-        .select("url", "status", on_columns(resolve_reference, "url", "location").alias("end"))
-        .filter(F.col("end").isNotNull())
-        .select(
-            "url",
-            F.array(F.struct(F.col("status").alias("status"), F.col("end").alias("url"))).alias("hops"),
-            "end",
-        )
+    hop = F.struct(F.col("status").alias("status"), F.col("next_url").alias("url"))
+    return index.filter(F.col("next_url").isNotNull()).select(
+        "url", F.array(hop).alias("hops"), F.col("next_url").alias("end")
     )
 
 
 def resolve_redirects(
     index: DataFrame, max_hops: int = MAX_HOPS, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """``(url, hops, end)`` with the whole chain of every redirecting response.
+    """``(url, hops, end)`` with the whole chain of every redirecting response of an index.
 
     Each round appends to every chain the chain that starts at its end, so lengths double and
     ``log2(max_hops)`` rounds are enough.  A chain longer than ``max_hops`` is too long, and so is a
@@ -88,13 +76,7 @@ def resolve_responses(
         .otherwise(F.col("error"))
         .alias("error"),
     )
-    is_edge = (
-        F.col("status").isin(REDIRECT_STATUSES)
-        & F.col("location").isNotNull()
-        & F.col("error").isNull()
-        & on_columns(resolve_reference, "url", "location").isNotNull()
-    )
-    direct = index.filter(~F.coalesce(is_edge, F.lit(False))).select(
+    direct = index.filter(F.col("next_url").isNull()).select(
         "url", F.col("url").alias("final_url"), no_hops.alias("hops"), *own
     )
     return direct.unionByName(redirected)

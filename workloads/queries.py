@@ -11,6 +11,7 @@ import anchorage as A
 from anchorage.functions import html, markdown
 from anchorage.functions.named import on_columns
 from anchorage.functions.urls import normalize_url
+from anchorage.operators.staging import stage
 
 from . import fixtures as X
 
@@ -193,7 +194,7 @@ def check_remote_follow(spark, sf_dir):
 
 
 def redirect_chains(spark, sf_dir):
-    index = A.index_responses(A.responses_from_table(X.redirect_blocks(spark, sf_dir)))
+    index = stage(A.index_responses(A.responses_from_table(X.redirect_blocks(spark, sf_dir))), "index")
     resolved = A.resolve_responses(index)
     too_long = F.col("error") == "redirects"
     return resolved.select(
