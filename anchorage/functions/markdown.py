@@ -91,7 +91,7 @@ def _fence(group: str, prefix: str, body: str, close_prefix: str) -> str:
     return rf"\n{prefix}{opener}(?:(?!{close}){body})*+(?:{close})?+"
 
 
-_FENCES = "|".join(
+_FENCES = r"(?=\n[^\n`~]*+(?:`{3}|~{3}))(?:" + "|".join(
     (
         _fence("fa", r" {0,3}", rf"\n{_REST}", r" {0,3}"),
         # in a list item, or indented: ends at the latest with the first line that is not indented
@@ -103,16 +103,16 @@ _FENCES = "|".join(
         ),
         _fence("fc", r" {0,3}>[> \t]*+", rf"\n {{0,3}}>{_REST}", r" {0,3}>[> \t]*+"),
     )
-)
+) + ")"
 _INDENTED = (
-    rf"{_AFTER_BLANK}\n(?: {{4}}| {{0,3}}\t)[ \t]*+[^\s]{_REST}"
+    rf"(?=\n(?: {{4}}| {{0,3}}\t)){_AFTER_BLANK}\n(?: {{4}}| {{0,3}}\t)[ \t]*+[^\s]{_REST}"
     rf"(?:(?:\n[ \t]*+{_EOL})*+\n(?: {{4}}| {{0,3}}\t)[ \t]*+[^\s]{_REST})*+"
 )
 _TO_BLANK = rf"{_REST}(?:\n(?![ \t]*+{_EOL}){_REST})*+"
 _HTML_BLOCK_OPEN = (
     rf"(?:<(?i:script|pre|style)(?=[\s>])|<!--|<\?|<![A-Z]|</?(?i:{'|'.join(BLOCK_TAGS)})(?=[\s/>]|\z))"
 )
-_HTML_BLOCK = "|".join(
+_HTML_BLOCK = r"(?=\n {0,3}<)(?:" + "|".join(
     (
         rf"\n {{0,3}}<(?i:script|pre|style)(?=[\s>])(?s:.*?)(?:</(?i:script|pre|style)>{_REST}|\z)",
         rf"\n {{0,3}}<!--(?s:.*?)(?:-->{_REST}|\z)",
@@ -122,7 +122,7 @@ _HTML_BLOCK = "|".join(
         rf"\n {{0,3}}</?(?i:{'|'.join(BLOCK_TAGS)})(?=[\s/>]|\z){_TO_BLANK}",
         rf"{_AFTER_BLANK}\n {{0,3}}{_TAG}[ \t]*+(?=\n|\z){_TO_BLANK}",
     )
-)
+) + ")"
 _DEF_LINE = (
     rf"\n {{0,3}}\[{_LABEL}\]:{_GAP}{_DEST}(?:(?:[ \t]++|[ \t]*+\n[ \t]*+){_TITLE}(?=[ \t]*+(?:\n|\z)))?+"
     rf"[ \t]*+{_EOL}"
@@ -135,8 +135,11 @@ _OPAQUE_BLOCKS = f"{_FENCES}|{_INDENTED}|{_HTML_BLOCK}"
 # Lines that hold nothing of interest, taken many at a time.
 _PLAIN_LINES = rf"(?:\n(?! {{4}}| {{0,3}}\t)[^\n\[!<`~\\]*+{_EOL})++"
 
+# Each scan matches everywhere: first the text up to the next character that can start a token, in
+# one tight loop, then the token in group 1 (at worst that single character, or nothing at the end).
+_STARTS = r"\n\[!<`\\"
 LINK_SCAN = (
-    r"(?=[\n\[!<`\\])(?:"
+    rf"[^{_STARTS}]*+("
     + "|".join(
         (
             _PLAIN_LINES,
@@ -151,6 +154,8 @@ LINK_SCAN = (
             rf"!\[{_link_text('im')}\](?:{_INLINE_TAIL}|\[{_LABEL}\]|\[\])?+",
             _AUTOLINK,
             _html_inline(),
+            rf"[{_STARTS}]",
+            r"\z",
         )
     )
     + ")"
@@ -163,21 +168,27 @@ _LIST_REGION = (
     rf"(?:(?:\n[ \t]*+(?=\n))++(?=\n(?:[ \t]++\S|{_BULLET}[ \t]))"
     rf"|\n[ \t]++[^\s]{_REST}|\n(?![#`~])[^\s]{_REST})*+"
 )
-_LIST_OR_FENCE = rf"{_FENCES}|{_LIST_REGION}"
+_LIST_OR_FENCE = rf"[^\n]*+(?:{_FENCES}|{_LIST_REGION}|\n|\z)"
 
 
 # --- preparation -----------------------------------------------------------------------------
 def prepare(text: Column) -> Column:
     """Start every line with a newline, and unindent list items so that they do not look like code."""
-    lines = F.concat(F.lit("\n"), F.replace(text, F.lit("\r\n"), F.lit("\n")))
-    dedent = map_matches(
-        lines,
-        _LIST_OR_FENCE,
-        lambda part: F.when(part.rlike(rf"^\n {{0,3}}{_BULLET}[ \t]*+(?!`{{3}}|~{{3}})"),
-                            F.regexp_replace(part, r"\n[ \t]+(?=[^\s])", "\n "))
-        .otherwise(part),
+    return let(F.concat(F.lit("\n"), F.replace(text, F.lit("\r\n"), F.lit("\n"))), _unindent_lists)
+
+
+def _unindent_lists(lines: Column) -> Column:
+    # the parts cover the text, so joining them again gives all of it
+    parts = F.transform(
+        F.regexp_extract_all(lines, F.lit(_LIST_OR_FENCE), F.lit(0)),
+        lambda part: F.when(
+            part.rlike(rf"^[^\n]*+\n {{0,3}}{_BULLET}[ \t]*+(?!`{{3}}|~{{3}})"),
+            F.regexp_replace(part, r"\n[ \t]+(?=[^\s])", "\n "),
+        ).otherwise(part),
     )
-    needs = lines.rlike(r"\n[ ]{0,3}\t|\n {4}") & lines.rlike(rf"\n {{0,3}}{_BULLET}[ \t]")
+    dedent = F.array_join(parts, "")
+    indented = lines.contains("\n    ") | lines.contains("\t")
+    needs = indented & lines.rlike(rf"\n {{0,3}}{_BULLET}[ \t]")
     return F.when(needs, dedent).otherwise(lines)
 
 
@@ -187,8 +198,12 @@ def normalize_label(label: Column) -> Column:
 
 
 def _clean_dest(dest: Column) -> Column:
-    bare = F.when(dest.startswith("<"), F.substring(dest, F.lit(2), F.length(dest) - 2)).otherwise(dest)
-    return unescape(bare)
+    return unescape(
+        let(
+            dest,
+            lambda d: F.when(d.startswith("<"), F.substring(d, F.lit(2), F.length(d) - 2)).otherwise(d),
+        )
+    )
 
 
 def _is_autolink(token: Column) -> Column:
@@ -203,14 +218,16 @@ def _scanned_line(token: Column) -> Column:
     newlines = F.when(
         token.contains("\n"), F.repeat(F.lit("\n"), count_newlines(token))
     ).otherwise(F.lit(""))
-    return F.when(
-        _is_link(token), F.concat(newlines, F.translate(token, "\n\u0001", "  "), F.lit(_SEP))
-    ).otherwise(newlines)
+    return (
+        F.when(token == "\n", token)
+        .when(_is_link(token), F.concat(newlines, F.translate(token, "\n\u0001", "  "), F.lit(_SEP)))
+        .otherwise(newlines)
+    )
 
 
 def _definitions(tokens: Column) -> Column:
     """All link definitions of a document as ``array<struct<label, dest>>``, in order."""
-    blocks = F.filter(tokens, lambda t: t.rlike(r"^\n {0,3}\[") & t.rlike(f"^{_DEF_PARTS}"))
+    blocks = F.filter(tokens, lambda t: t.contains("]:") & t.rlike(f"^{_DEF_PARTS}"))
     lines = F.flatten(
         F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(_DEF_LINE), F.lit(0)))
     )
@@ -234,12 +251,14 @@ def _resolve(token: Column, labels: Column, dests: Column) -> Column:
     inline = _clean_dest(F.regexp_extract(token, _INLINE_LINK, 2))
     auto = F.substring(token, F.lit(2), F.length(token) - 2)
     # array_position finds the first definition, which is the one that counts; 0 means none
-    at = F.array_position(labels, _label_of(token)).cast("int")
+    defined = let(
+        F.array_position(labels, _label_of(token)).cast("int"),
+        lambda at: F.when(at > 0, F.get(dests, at - 1)),
+    )
     return (
         F.when(token.startswith("<"), auto)
         .when(token.endswith(")"), inline)
-        .when(F.size(labels) == 0, F.lit(None).cast("string"))
-        .otherwise(F.when(at > 0, F.get(dests, at - 1)))
+        .when(F.size(labels) > 0, defined)
     )
 
 
@@ -285,7 +304,7 @@ def links(text: Column) -> Column:
 
     The line is that of the *end* of the link, counting ``\\n`` from 1.
     """
-    found = let(F.regexp_extract_all(prepare(text), F.lit(LINK_SCAN), F.lit(0)), _links_of)
+    found = let(F.regexp_extract_all(prepare(text), F.lit(LINK_SCAN), F.lit(1)), _links_of)
     return F.when(text.contains("[") | text.contains("<"), found).otherwise(
         F.array().cast(LINK_TYPE)
     )
@@ -303,8 +322,12 @@ _STOP = (
 _CONTINUED = rf"(?:\n(?!{_STOP})[^\n]++)*+"
 _CONTAINER_LINES = rf"\n {{0,3}}(?:>|{_BULLET}(?=[ \t\n]|\z)){_REST}{_CONTINUED}"
 _PARAGRAPH = rf"\n {{0,3}}[^\s]{_REST}{_CONTINUED}(?:\n{_UNDERLINE}{_EOL})?+"
-HEADING_SCAN = "|".join(
-    (_OPAQUE_BLOCKS, _DEFINITIONS, _ATX, rf"\n{_RULE}", _CONTAINER_LINES, _PARAGRAPH)
+HEADING_SCAN = (
+    r"[^\n]*+("
+    + "|".join(
+        (_OPAQUE_BLOCKS, _DEFINITIONS, _ATX, rf"\n{_RULE}", _CONTAINER_LINES, _PARAGRAPH, r"\n", r"\z")
+    )
+    + ")"
 )
 
 # ASCII punctuation and the private-use characters that stand in for it while markup is stripped.
@@ -313,7 +336,7 @@ _STAND_IN = "".join(chr(0xF100 + i) for i in range(len(_PUNCTUATION)))
 
 
 def _is_heading(token: Column) -> Column:
-    atx = token.rlike(rf"^{_ATX}\z")
+    atx = token.contains("#") & token.rlike(rf"^{_ATX}\z")
     setext = token.rlike(rf"\n{_UNDERLINE}\z") & token.rlike(
         rf"^\n {{0,3}}(?!>|{_BULLET}[ \t])[^\n]+\n"
     )
@@ -343,6 +366,10 @@ def _protect(match: Column) -> Column:
 
 def heading_text(source: Column) -> Column:
     """The text of a heading: markup removed, inline code kept in backticks."""
+    return F.when(source.rlike(r"[\\`*_<&\[\n]"), _without_markup(source)).otherwise(source)
+
+
+def _without_markup(source: Column) -> Column:
     text = map_matches(source, rf"{_ESCAPE}|{_code_span('hc')}", _protect)
     text = F.regexp_replace(text, rf"<({_AUTO_URL}|{_AUTO_MAIL})>", "$1")
     text = F.regexp_replace(text, _html_inline(), "")
@@ -361,7 +388,7 @@ def heading_text(source: Column) -> Column:
 
 def headings(text: Column) -> Column:
     """The texts of all headings of a Markdown text, in document order (``array<string>``)."""
-    tokens = F.filter(F.regexp_extract_all(prepare(text), F.lit(HEADING_SCAN), F.lit(0)), _is_heading)
+    tokens = F.filter(F.regexp_extract_all(prepare(text), F.lit(HEADING_SCAN), F.lit(1)), _is_heading)
     found = F.transform(
         tokens, lambda t: let(_heading_source(t), heading_text)
     )
@@ -384,6 +411,9 @@ def number_repeats(texts: Column) -> Column:
     ordered = F.sort_array(
         F.transform(texts, lambda t, i: F.struct(t.alias("text"), i.alias("pos")))
     )
+    unique = F.transform(
+        texts, lambda t, i: F.struct(t.alias("text"), i.alias("pos"), F.lit(0).alias("nth"))
+    )
 
     def ranked(rows: Column) -> Column:
         starts = F.filter(
@@ -412,7 +442,7 @@ def number_repeats(texts: Column) -> Column:
             ),
         )
 
-    return let(ordered, ranked)
+    return F.when(F.size(F.array_distinct(texts)) == F.size(texts), unique).otherwise(let(ordered, ranked))
 
 
 def anchors(text: Column, slug: Callable[[Column], Column] = heading_slug) -> Column:

@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def normalize_path(path: Column) -> Column:
     """Collapse ``//`` and ``/./``, resolve ``..`` by name, drop a trailing slash.
 
     ``..`` above an absolute root is dropped; above a relative base it is kept, so it meets nothing.
     """
+
+    def clean(path: Column) -> Column:
+        return F.when(
+            path.rlike(r"//|(?:^|/)\.{1,2}(?:/|\z)|.(?<!^)/\z"), _resolve_dots(path)
+        ).otherwise(path)
+
+    return let(path, clean)
+
+
+def _resolve_dots(path: Column) -> Column:
     absolute = path.startswith("/")
     none = F.array().cast("array<string>")
     last = lambda acc: F.get(acc, F.size(acc) - 1)
@@ -24,8 +36,7 @@ def normalize_path(path: Column) -> Column:
         .when((p == "..") & absolute, acc)
         .otherwise(F.concat(acc, F.array(p))),
     )
-    clean = F.concat(F.when(absolute, F.lit("/")).otherwise(F.lit("")), F.array_join(folded, "/"))
-    return F.when(path.rlike(r"//|(?:^|/)\.{1,2}(?:/|\z)|.(?<!^)/\z"), clean).otherwise(path)
+    return F.concat(F.when(absolute, F.lit("/")).otherwise(F.lit("")), F.array_join(folded, "/"))
 
 
 def parent_folder(path: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+_GAP = "\uffff"  # not a character, so a text has no use for it
+
 # The five basic character entities.
 BASIC_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 
@@ -30,12 +32,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def map_matches(text: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
-    """Replace every match of ``pattern`` in ``text`` by ``fn(match)``, in time linear in the text."""
-    gaps = F.split(text, pattern, -1)
-    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), fn)
-    return F.array_join(
-        F.zip_with(gaps, matches, lambda gap, match: F.concat(gap, F.coalesce(match, F.lit("")))), ""
-    )
+    """Replace every match of ``pattern`` in ``text`` by ``fn(match)``, in time linear in the text.
+
+    The text between the matches is found by a replacement and a split at one character: splitting
+    at a pattern would compile the pattern again for every row.
+    """
+
+    def rebuild(clean: Column) -> Column:
+        gaps = F.split(F.regexp_replace(clean, pattern, _GAP), _GAP, -1)
+        matches = F.transform(F.regexp_extract_all(clean, F.lit(pattern), F.lit(0)), fn)
+        return F.array_join(
+            F.zip_with(gaps, matches, lambda gap, match: F.concat(gap, F.coalesce(match, F.lit("")))), ""
+        )
+
+    return let(F.replace(text, F.lit(_GAP), F.lit("\ufffd")), rebuild)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -67,18 +77,25 @@ def _unescape_one(match: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Resolve backslash escapes, the basic entities and numeric entities, left to right."""
-    return F.when(
-        text.rlike(r"[\\&]"), map_matches(text, _ESCAPE_OR_ENTITY, _unescape_one)
-    ).otherwise(text)
+    return let(
+        text,
+        lambda t: F.when(
+            t.rlike(r"[\\&]"), map_matches(t, _ESCAPE_OR_ENTITY, _unescape_one)
+        ).otherwise(t),
+    )
 
 
 def percent_encode(text: Column, unsafe: str) -> Column:
     """Percent-encode (as UTF-8) the characters of the regex class body ``unsafe``."""
     run = f"[{unsafe}]+"
-    encoded = map_matches(
-        text, run, lambda match: F.replace(F.url_encode(match), F.lit("+"), F.lit("%20"))
-    )
-    return F.when(text.rlike(run), encoded).otherwise(text)
+
+    def encode(t: Column) -> Column:
+        encoded = map_matches(
+            t, run, lambda match: F.replace(F.url_encode(match), F.lit("+"), F.lit("%20"))
+        )
+        return F.when(t.rlike(run), encoded).otherwise(t)
+
+    return let(text, encode)
 
 
 def percent_decode(text: Column) -> Column:

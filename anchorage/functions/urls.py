@@ -40,6 +40,14 @@ def scheme_of(link: Column) -> Column:
 
 def remove_dot_segments(path: Column) -> Column:
     """Resolve ``.`` and ``..`` in the path of a URL, which starts with a slash."""
+
+    def fold(path: Column) -> Column:
+        return F.when(path.rlike(rf"/{_DOT}{{1,2}}(?:/|\z)"), _without_dots(path)).otherwise(path)
+
+    return let(path, fold)
+
+
+def _without_dots(path: Column) -> Column:
     segments = F.split(F.substring(path, F.lit(2), F.length(path)), "/", -1)
     folded = F.aggregate(
         segments,
@@ -53,8 +61,7 @@ def remove_dot_segments(path: Column) -> Column:
     trailing = F.when(path.rlike(rf"/{_DOT}{{1,2}}\z"), F.array(F.lit(""))).otherwise(
         F.array().cast("array<string>")
     )
-    resolved = F.concat(F.lit("/"), F.array_join(F.concat(folded, trailing), "/"))
-    return F.when(path.rlike(rf"/{_DOT}{{1,2}}(?:/|\z)"), resolved).otherwise(path)
+    return F.concat(F.lit("/"), F.array_join(F.concat(folded, trailing), "/"))
 
 
 def _web_url(scheme: Column, body: Column) -> Column:
@@ -136,8 +143,7 @@ def parse_url(link: Column) -> Column:
 
     def parts(url: Column) -> Column:
         scheme = scheme_of(url)
-        rest = F.regexp_replace(url, _SCHEME, "")
-        split = F.split(rest, "#", 2)
+        split = F.split(F.regexp_replace(url, _SCHEME, ""), "#", 2)
         body, fragment = F.get(split, F.lit(0)), F.get(split, F.lit(1))
         parsed = let(
             F.struct(scheme.alias("scheme"), body.alias("body")),

@@ -73,7 +73,8 @@ def parse_targets(records: DataFrame, root: str | None = None) -> DataFrame:
     """
 
     to = on_columns(_target_in, "link", "doc_path", root=root)
-    return records.withColumn("_to", to).select(*records.columns, "_to.*")
+    # as a generator the projection is evaluated once, although a filter on its result follows
+    return records.select(*records.columns, F.inline_outer(F.array(to)))
 
 
 def accepted(targets: DataFrame) -> DataFrame:

@@ -49,6 +49,16 @@ def read_documents(
     )
 
 
+def spread_few_files(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows of an input with fewer files than cores over all cores.
+
+    Parsing is bound by the processor, and a file with one row group is one task.  An input with
+    enough files is returned as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
 def union_documents(*parts: DataFrame) -> DataFrame:
     """Several document sources after each other."""
     return reduce(lambda a, b: a.unionByName(b), parts)
