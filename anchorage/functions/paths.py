@@ -41,7 +41,8 @@ def _resolve_dots(path: Column) -> Column:
 
 def parent_folder(path: Column) -> Column:
     """Everything up to and including the last slash."""
-    return F.regexp_replace(path, r"[^/]*\z", "")
+    name = F.substring_index(path, "/", -1)
+    return F.substring(path, F.lit(1), F.length(path) - F.length(name))
 
 
 def ancestors(path: Column) -> Column:

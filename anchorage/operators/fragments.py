@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import ROWS_PER_TASK, spread_join
+
 
 def _candidates(fragment: Column, tries: Sequence[str]) -> Column:
     """Anchors that may satisfy a fragment with their rank: exact, prefixed, then both in lower case.
@@ -27,7 +29,12 @@ def _candidates(fragment: Column, tries: Sequence[str]) -> Column:
 
 
 def resolve_fragments(
-    wanted: DataFrame, anchors: DataFrame, prefixes: Sequence[str] = (), empty_fragment_ok: bool = False
+    wanted: DataFrame,
+    anchors: DataFrame,
+    prefixes: Sequence[str] = (),
+    empty_fragment_ok: bool = False,
+    shared_documents: bool = False,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Final ``tag`` and matched ``prefix`` of each distinct ``(kind, target, fragment)``.
 
@@ -36,7 +43,10 @@ def resolve_fragments(
 
     Candidates meet anchors in one equi-join on both columns, so neither a target with very many
     anchors nor one with very many fragments ends up in one task.  Rows that need no anchor carry
-    their own fragment behind a NUL, which meets nothing and spreads them the same way.
+    their own target and, behind a NUL, their fragment, which meets nothing and spreads them.
+
+    With ``shared_documents`` (followed redirects) very many targets may mean one document, so that
+    even one anchor can be hot; the join then splits such anchors.
     """
     needs = F.col("tag").isNull() & F.col("fragment").isNotNull()
     if empty_fragment_ok:
@@ -50,15 +60,20 @@ def resolve_fragments(
     )
     attempts = wanted.select(
         "kind", "target", "fragment", "n_links", F.col("tag").alias("doc_tag"), "hops",
-        F.coalesce("anchor_key", "target").alias("anchor_key"),
+        F.when(needs, F.col("anchor_key")).otherwise(F.col("target")).alias("anchor_key"),
         needs.alias("needs"),
         F.explode(F.when(needs, _candidates(F.col("fragment"), tries)).otherwise(idle)).alias("try"),
     ).withColumn("anchor", F.col("try.anchor"))
     present = anchors.select(F.col("target").alias("anchor_key"), "anchor", F.lit(True).alias("present"))
+    keys = ["anchor_key", "anchor"]
+    if shared_documents:
+        counts = attempts.groupBy(*keys).count()
+        joined = spread_join(attempts, present, keys, counts, "count", ["target", "fragment"], rows_per_task)
+    else:
+        joined = attempts.join(present, keys, "left")
     # All but the rank depend on the first three keys; as keys they allow a hash aggregate.
     best = (
-        attempts.join(present, ["anchor_key", "anchor"], "left")
-        .groupBy("kind", "target", "fragment", "n_links", "doc_tag", "hops", "needs")
+        joined.groupBy("kind", "target", "fragment", "n_links", "doc_tag", "hops", "needs")
         .agg(F.min(F.when(F.col("present"), F.col("try.rank"))).alias("rank"))
     )
     rank = F.col("rank")

@@ -46,10 +46,12 @@ def check_links(
     target is then looked up once, every distinct (target, fragment) resolved once, and only the
     last join touches all links.  Links of very popular targets are split over many tasks there.
     """
-    index = stage_on_cluster(index_documents(documents, slug, root), "documents")
+    index = index_documents(documents, slug, root)
     if records is None:
+        index = stage_on_cluster(index, "documents")
         targets = targets_of(index)
     else:
+        index = stage_on_cluster(index.drop("links"), "documents")
         targets = stage_on_cluster(parse_targets(records, root), "targets")
     links = _no_suffix(accepted(targets))
 
@@ -71,7 +73,13 @@ def check_links(
     fanned = spread_join(
         wanted, looked_up.drop("n_fragments"), ["kind", "target"], per_target, "n_fragments", ["fragment"], rows_per_task
     )
-    resolved = _no_suffix(resolve_fragments(fanned, anchors, prefixes, empty_fragment_ok))
+    if follow:
+        fanned = stage_on_cluster(fanned, "looked-up")
+    resolved = _no_suffix(
+        resolve_fragments(
+            fanned, anchors, prefixes, empty_fragment_ok, shared_documents=follow, rows_per_task=rows_per_task
+        )
+    )
     tagged = spread_join(
         links,
         resolved.drop("fragment", "n_links"),

@@ -246,12 +246,12 @@ def test_html_anchors(spark):
 def test_report_lines(spark):
     lines = [
         (1, "a:b.md:12: OK x.md"), (2, "a.md:3:  y.md#z"), (3, "no"), (4, "a.md:x: OK y"), (5, "a.md:1: OK a b"),
-        (6, "a.md:7: TAG "), (7, "sp ace.md:1: OK u v"),
+        (6, "a.md:7: TAG "), (7, "sp ace.md:1: OK u\u2028v"),
     ]
     df = spark.createDataFrame(lines, "line_no bigint, line string")
     got = A.parse_records(df).orderBy("doc_ord").collect()
     assert [(r.doc_path, r.doc_line, r.link) for r in got] == [
-        ("a:b.md", 12, "x.md"), ("a.md", 3, "y.md#z"), ("a.md", 7, ""), ("sp ace.md", 1, "u v")
+        ("a:b.md", 12, "x.md"), ("a.md", 3, "y.md#z"), ("a.md", 7, ""), ("sp ace.md", 1, "u\u2028v")
     ]
     bad = A.malformed_lines(df).orderBy("line_no").collect()
     assert [(r.line_no, r.reason) for r in bad] == [(n, "invalid record format") for n in (3, 4, 5)]
