@@ -1,7 +1,7 @@
 from .documents import (
     documents_from_table,
     read_documents,
-    spread_few_files,
+    spread_few_splits,
     union_documents,
     unreadable_documents,
 )
@@ -10,5 +10,5 @@ from .responses import responses_from_table
 
 __all__ = [
     "documents_from_table", "malformed_lines", "parse_records", "read_documents", "read_report",
-    "responses_from_table", "spread_few_files", "union_documents", "unreadable_documents",
+    "responses_from_table", "spread_few_splits", "union_documents", "unreadable_documents",
 ]

@@ -49,14 +49,14 @@ def read_documents(
     )
 
 
-def spread_few_files(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash the rows of an input with fewer files than cores over all cores.
+def spread_few_splits(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows of a scan with fewer splits than cores over all cores.
 
-    Parsing is bound by the processor, and a file with one row group is one task.  An input with
-    enough files is returned as it is, so nothing is shuffled at scale.
+    Parsing is bound by the processor, and a file with one row group is one task.  A scan with
+    enough splits is returned as it is, so nothing is shuffled at scale.  Only for plain scans.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def union_documents(*parts: DataFrame) -> DataFrame:

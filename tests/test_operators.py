@@ -192,6 +192,15 @@ def test_remote_outcomes_in_order(spark):
     assert run(follow=True) == {**expected, "moved": "OK", "movednomime": "NO_MIME"}
 
 
+def test_spellings_of_one_url_do_not_multiply_links(spark):
+    rows = [(u, 200, None, "text/html", b'<p id="x">', None) for u in ("http://h", "http://h/", "HTTP://H:80")]
+    rows += [(u, 301, "http://h", None, None, None) for u in ("http://h/r", "http://h/./r")]
+    responses = A.responses_from_table(spark.createDataFrame(rows, RESPONSES))
+    docs = spark.createDataFrame([("a.md", "<http://h#x> <http://h/r#x>", 0, False, None)] * 2, DOCUMENTS)
+    checked, _ = A.check_links(docs, responses, follow=True)
+    assert [r.tag for r in checked.collect()] == ["OK"] * 4
+
+
 @pytest.mark.parametrize("length", [1, 9, 10, 11, 16, 17])
 def test_redirect_limit(spark, length):
     rows = [(f"http://h/{i}", 301, f"/{i + 1}", None, None, None) for i in range(length)]

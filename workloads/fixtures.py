@@ -18,7 +18,7 @@ HOST = "https://site.example.org"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return A.spread_few_files(df, df.columns[0])
+    return A.spread_few_splits(df, df.columns[0])
 
 
 def _pages(df: DataFrame, path: str, text: str) -> DataFrame:
