@@ -15,9 +15,10 @@ def normalize_path(path: Column) -> Column:
     """
 
     def clean(path: Column) -> Column:
-        return F.when(
-            path.rlike(r"//|(?:^|/)\.{1,2}(?:/|\z)|.(?<!^)/\z"), _resolve_dots(path)
-        ).otherwise(path)
+        # byte searches tell most paths apart before any pattern is tried
+        dots = (path.contains("/.") | path.startswith(".")) & path.rlike(r"(?:^|/)\.{1,2}(?:/|\z)")
+        untidy = path.contains("//") | (path.endswith("/") & (path != "/")) | dots
+        return F.when(untidy, _resolve_dots(path)).otherwise(path)
 
     return let(path, clean)
 

@@ -288,3 +288,25 @@ def test_custom_slug(spark):
     docs = spark.createDataFrame([("a.md", "# Some Heading\n[x](#SOME HEADING)\n[y](<#SOME HEADING>)\n", 0, False, None)], DOCUMENTS)
     checked, _ = A.check_links(docs, slug=F.upper)
     assert [r.tag for r in checked.collect()] == ["OK"]
+
+
+def test_normalize_path_against_a_fold(spark):
+    """All short paths over a small alphabet of segments, absolute and relative."""
+    import itertools
+
+    def fold(path):
+        out = []
+        for part in path.split("/"):
+            if part in ("", "."):
+                continue
+            if part == ".." and out and out[-1] != "..":
+                out.pop()
+            elif part != ".." or not path.startswith("/"):
+                out.append(part)
+        return ("/" if path.startswith("/") else "") + "/".join(out)
+
+    segments = ["a", "..", ".", "", "b.c", "..d"]
+    cases = ["/".join(p) for n in range(1, 5) for p in itertools.product(segments, repeat=n)]
+    df = spark.createDataFrame([(c,) for c in cases], "p string")
+    got = {r.p: r.n for r in df.select("p", paths.normalize_path(F.col("p")).alias("n")).collect()}
+    assert {c: got[c] for c in cases} == {c: fold(c) for c in cases}
