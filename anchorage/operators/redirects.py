@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .skew import ROWS_PER_TASK, spread_join
-from .staging import stage, stage_on_cluster
+from .staging import stage
 
 MAX_HOPS = 10
 
@@ -63,7 +63,7 @@ def resolve_responses(
     """
     own = ["status", "content_type", "media_type", "error", "undecodable"]
     one = F.min(F.struct("status", "next_url", "content_type", "media_type", "error", "undecodable"))
-    index = stage_on_cluster(index.groupBy("url").agg(one.alias("one")).select("url", "one.*"), "fetched")
+    index = stage(index.groupBy("url").agg(one.alias("one")).select("url", "one.*"), "fetched")
     no_hops = F.array().cast("array<struct<status:int,url:string>>")
     chains = resolve_redirects(index, max_hops, rows_per_task)
     finals = index.select(F.col("url").alias("end"), *own, F.lit(True).alias("fetched"))

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 1000
+MAX_SHARES = 1000
 ROWS_PER_TASK = 1_000_000
 
 
 def hot_keys(counts: DataFrame, keys: list[str], n: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """The at most ``MAX_HOT_KEYS`` most used keys that exceed one task, with their number of splits.
+    """Every key with more rows than one task should get, with its number of splits.
 
-    The bound makes the result safe to broadcast at any scale, and it loses nothing: a key that is
-    not among them holds less than 1/1000 of the rows and is joined like any other key.
+    The threshold is ``rows_per_task`` or 1/``MAX_SHARES`` of all rows, whichever is more.  At most
+    ``MAX_SHARES`` keys can exceed such a share, whatever the data, so the list may be broadcast; none is
+    left out.  A share of a thousandth is no more than a task's part when there are a thousand tasks.
     """
+    share = F.greatest(counts.agg(F.coalesce(F.sum(n), F.lit(0)) / MAX_SHARES).scalar(), F.lit(rows_per_task))
     return (
-        counts.filter(F.col(n) > rows_per_task)
-        .select(*keys, F.ceil(F.col(n) / rows_per_task).cast("int").alias("_splits"))
-        .orderBy(F.desc("_splits"))
-        .limit(MAX_HOT_KEYS)
+        counts.withColumn("_share", share)
+        .filter(F.col(n) > F.col("_share"))
+        .select(*keys, F.ceil(F.col(n) / F.col("_share")).cast("int").alias("_splits"))
     )
 
 

@@ -14,7 +14,7 @@ from ..operators.extract import index_documents, index_responses, targets_of
 from ..operators.fragments import resolve_fragments
 from ..operators.outcomes import inventory, local_outcomes, look_up, remote_outcomes
 from ..operators.skew import ROWS_PER_TASK, spread_join
-from ..operators.staging import stage_on_cluster
+from ..operators.staging import stage
 from ..operators.targets import accepted, group_targets, parse_targets, rejected
 from .report import details_of
 
@@ -48,17 +48,17 @@ def check_links(
     """
     index = index_documents(documents, slug, root)
     if records is None:
-        index = stage_on_cluster(index, "documents")
+        index = stage(index, "documents")
         targets = targets_of(index)
     else:
-        index = stage_on_cluster(index.drop("links"), "documents")
-        targets = stage_on_cluster(parse_targets(records, root), "targets")
+        index = stage(index.drop("links"), "documents")
+        targets = stage(parse_targets(records, root), "targets")
     links = _no_suffix(accepted(targets))
 
     outcomes = local_outcomes(inventory(index))
     anchors = index.select(on_columns(normalize_path, "path").alias("target"), "anchors")
     if responses is not None:
-        fetched = stage_on_cluster(index_responses(responses, slug), "responses")
+        fetched = stage(index_responses(responses, slug), "responses")
         outcomes = outcomes.unionByName(
             remote_outcomes(fetched, follow=follow, rows_per_task=rows_per_task)
         )
@@ -67,14 +67,14 @@ def check_links(
         F.col("anchor").isNotNull()
     )
 
-    wanted = stage_on_cluster(group_targets(links), "wanted")
+    wanted = stage(group_targets(links), "wanted")
     per_target = wanted.groupBy("kind", "target").agg(F.count(F.lit(1)).alias("n_fragments"))
     looked_up = look_up(per_target, outcomes, urldecode)
     fanned = spread_join(
         wanted, looked_up.drop("n_fragments"), ["kind", "target"], per_target, "n_fragments", ["fragment"], rows_per_task
     )
     if follow:
-        fanned = stage_on_cluster(fanned, "looked-up")
+        fanned = stage(fanned, "looked-up")
     resolved = _no_suffix(
         resolve_fragments(
             fanned, anchors, prefixes, empty_fragment_ok, shared_documents=follow, rows_per_task=rows_per_task
