@@ -23,4 +23,24 @@ ORACLES = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
         FROM judged GROUP BY doc_id
     """,
+    "op3_substring_dedup": r"""
+        WITH texts AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ),
+        starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM texts),
+        windows AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS win FROM starts),
+        owners AS (SELECT win, min(doc_id) AS owner FROM windows GROUP BY win),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS i
+            FROM windows JOIN owners USING (win) WHERE owner < doc_id
+        ),
+        words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM texts),
+        kept AS (
+            SELECT w.doc_id, count(g.i) AS n_removed, string_agg(w.word, ' ' ORDER BY w.i) FILTER (g.i IS NULL) AS body
+            FROM words w LEFT JOIN gone g USING (doc_id, i) GROUP BY w.doc_id
+        )
+        SELECT t.doc_id, len(t.ws) AS n_words, coalesce(k.n_removed, 0) AS n_removed,
+               sha256(coalesce(k.body, '')) AS kept_sha256
+        FROM texts t LEFT JOIN kept k USING (doc_id)
+    """,
 }
