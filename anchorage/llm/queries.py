@@ -10,7 +10,9 @@ import public_tokenizers
 from .bpe import round_trip
 from .exact import exact_duplicates
 from .lines import drop_repeated_lines
+from .quality import fit_quality, score_quality
 from .substrings import drop_repeated_substrings
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 RANKS_PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+#: The chain: what the ratings call poor, then what they call toxic.
+CATEGORIES = {"p_low_quality": 1 - F.col("quality"), "p_toxic": F.col("toxic")}
+TOXIC_FROM = 0.5
+#: Graded ratings: 0 poor, 1 fair but toxic, 2 good.
+GRADE = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    chain = fit_toxicity(docs, _table(spark, sf_dir, "labels"), CATEGORIES)
+    return score_toxicity(docs, chain, list(CATEGORIES)).select(
+        F.col("id").alias("doc_id"), *CATEGORIES, (F.col("p_toxic") >= TOXIC_FROM).alias("toxic")
+    )
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"), GRADE, 2)
+    return score_quality(docs, model).select(
+        F.col("id").alias("doc_id"),
+        "expected_grade",
+        F.col("p_tail")[0].alias("p_fair"),
+        F.col("p_tail")[1].alias("p_good"),
+        (F.col("p_tail")[0] >= 0.5).alias("keep"),
+    )
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), RANKS_PATH, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
@@ -43,8 +72,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
