@@ -3,8 +3,8 @@ r"""Substring dedup: Rabin-Karp hashes of every window of n words, counted in Sp
 Each task hashes all windows of its texts and deals them by hash to ``partitions`` buckets, packed: of a
 window there are 7 bytes of hash (the bucket gives more bits), and its place among the task's words as a
 difference.  A bucket sees every occurrence of its windows, so it knows the smallest document of each;
-occurrences in other documents go back, grouped by document.  Per document the windows merge into maximal
-removal intervals.
+occurrences in other documents go back to the chunk of texts that sent them, packed.  There a document's
+windows merge into maximal removal intervals.
 
 A window with a third of all occurrences is not a hot key: a task sends a window once per occurrence, in
 arrays, and a bucket handles arrays.  Buckets are as many as the session's shuffle partitions, so what one
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _windows(n: int, partitions: int):
-    def deal(parts: list) -> Iterator[pa.RecordBatch]:
+    def deal(parts: list, chunk: int) -> Iterator[pa.RecordBatch]:
         if not parts:
             return
         hashes, places, ids, words = [], [], [], []
@@ -103,10 +104,11 @@ def _windows(n: int, partitions: int):
             chosen = order[ends[b - 1] if b else 0 : ends[b]]
             if len(chosen):
                 packed = _pack(hashes[chosen], places[chosen], ids, words)
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([packed], pa.binary())], names=["bucket", "packed"])
+                row = [pa.array([b], pa.int32()), pa.array([chunk], pa.int64()), pa.array([packed], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, names=["bucket", "chunk", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, held, chunk = [], 0, TaskContext.get().partitionId() << 24
         for batch in slices(batches, "text"):
             words = Words(*text_buffers(batch.column(1)))
             hashes, whole = words.windows(words.hashes(), n)
@@ -116,55 +118,90 @@ def _windows(n: int, partitions: int):
             parts.append((hashes[at], at, batch.column(0).to_numpy(zero_copy_only=False), np.diff(words.bounds)))
             held += len(at)
             if held >= _FLUSH:
-                yield from deal(parts)
-                parts, held = [], 0
-        yield from deal(parts)
+                yield from deal(parts, chunk)
+                parts, held, chunk = [], 0, chunk + 1
+        yield from deal(parts, chunk)
 
     return run
 
 
-def _repeats(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """The windows of one bucket that also start in a smaller document: ``id`` and packed first words."""
-    hashes, ids, words = (np.concatenate(x) for x in zip(*map(_unpack, rows["packed"])))
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a new key begins in sorted ``keys``."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
+    """The windows of one bucket that also start in a smaller document: for each chunk, packed ids and first words."""
+    hashes, ids, words = zip(*map(_unpack, rows["packed"]))
+    chunks = np.repeat(rows["chunk"].to_numpy(), [len(h) for h in hashes])
+    hashes, ids, words = np.concatenate(hashes), np.concatenate(ids), np.concatenate(words)
     order = np.argsort(hashes, kind="stable")
-    hashes, ids, words = hashes[order], ids[order], words[order]
-    firsts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    smallest = np.minimum.reduceat(ids, firsts)
-    later = ids > np.repeat(smallest, np.diff(np.append(firsts, len(hashes))))
-    ids, words = ids[later], words[later]
-    order = np.lexsort((words, ids))
-    ids, words = ids[order], words[order].astype("<u4")
-    cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, int)
-    return pd.DataFrame({"id": ids[cuts], "at": [x.tobytes() for x in np.split(words, cuts[1:])] if len(cuts) else []})
+    sorted_ids = ids[order]
+    firsts = _runs(hashes[order])
+    smallest = np.minimum.reduceat(sorted_ids, firsts)
+    later = np.empty(len(ids), bool)
+    later[order] = sorted_ids > np.repeat(smallest, np.diff(np.append(firsts, len(ids))))
+    chunks, ids, words = chunks[later], ids[later], words[later].astype("<u4")
+    order = np.argsort(chunks, kind="stable")
+    chunks, ids, words = chunks[order], ids[order], words[order]
+    cuts = _runs(chunks)
+    ends = np.append(cuts, len(chunks))[1:]
+    packed = [ids[a:b].astype("<i8").tobytes() + words[a:b].tobytes() for a, b in zip(cuts, ends)]
+    return pd.DataFrame({"chunk": chunks[cuts], "packed": packed})
+
+
+def _intervals(n: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """For each document of one chunk, the maximal intervals that its repeated windows cover (first words and ends)."""
+        counts = [len(p) // 12 for p in rows["packed"]]
+        ids = np.concatenate([np.frombuffer(p, "<i8", k) for p, k in zip(rows["packed"], counts)])
+        words = np.concatenate([np.frombuffer(p, "<u4", k, 8 * k) for p, k in zip(rows["packed"], counts)]).astype(np.int64)
+        order = np.lexsort((words, ids))
+        ids, words = ids[order], words[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (words[1:] > words[:-1] + n)
+        firsts = np.flatnonzero(new)
+        lasts = np.append(firsts, len(ids))[1:] - 1
+        pairs = np.stack([words[firsts], words[lasts] + n], axis=1).astype("<u4")
+        cuts = _runs(ids[firsts])
+        ends = np.append(cuts, len(firsts))[1:]
+        return pd.DataFrame({"id": ids[firsts][cuts], "intervals": [pairs[a:b].tobytes() for a, b in zip(cuts, ends)]})
+
+    return run
 
 
 def repeated_windows(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """``id, windows``: for each document the first words (packed, from 0) of its windows that also start in a smaller one."""
+    """``id, intervals``: the word intervals (packed firsts and ends, from 0) covered by windows that also start in a smaller document."""
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chosen = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text")).filter(F.col("id").isNotNull())
-    dealt = chosen.mapInArrow(_windows(n, partitions), "bucket int, packed binary")
-    found = dealt.groupBy("bucket").applyInPandas(_repeats, "id bigint, at binary")
-    return found.groupBy("id").agg(F.collect_list("at").alias("windows"))
+    dealt = chosen.mapInArrow(_windows(n, partitions), "bucket int, chunk bigint, packed binary")
+    found = dealt.groupBy("bucket").applyInPandas(_repeats, "chunk bigint, packed binary")
+    merged = found.groupBy("chunk").applyInPandas(_intervals(n), "id bigint, intervals binary")
+    return merged.groupBy("id").agg(F.collect_list("intervals").alias("intervals"))
 
 
-def _covered(windows: list, n: int, total: int) -> np.ndarray:
-    """Which words of a batch some window covers: starts add one, ends take one away."""
+def _covered(intervals: list, total: int) -> np.ndarray:
+    """Which words of a batch some interval covers: firsts add one, ends take one away."""
     steps = np.zeros(total + 1, np.int32)
-    for packed, begin in windows:
-        at = np.frombuffer(packed, "<u4").astype(np.int64) + begin
-        steps[at] += 1  # the places of one array differ
-        steps[at + n] -= 1
+    for packed, begin in intervals:
+        pairs = np.frombuffer(packed, "<u4").astype(np.int64).reshape(-1, 2) + begin
+        steps[pairs[:, 0]] += 1  # the intervals of one array are apart
+        steps[pairs[:, 1]] -= 1
     return np.cumsum(steps)[:total] > 0
 
 
-def _removal(n: int):
+def _removal():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, offsets = text_buffers(batch.column(1))
             words = Words(data, offsets)
             lists = batch.column(2).to_pylist()
-            windows = [(x, words.bounds[row]) for row, found in enumerate(lists) if found for x in found]
-            gone = _covered(windows, n, len(words))
+            found = [(x, words.bounds[row]) for row, packed in enumerate(lists) if packed for x in packed]
+            gone = _covered(found, len(words))
             before = np.concatenate([[0], np.cumsum(gone)])
             left = np.flatnonzero(~gone)
             # maximal intervals of removed words, as first word and end
@@ -206,13 +243,13 @@ def _removal(n: int):
 
 def drop_repeated_substrings(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_words, n_removed, intervals, kept_text``: removal intervals as words ``first`` to before ``end``."""
-    windows = repeated_windows(docs, n, id_col, text_col).withColumnRenamed("id", "_of")
+    found = repeated_windows(docs, n, id_col, text_col).withColumnRenamed("id", "_of")
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return (
-        texts.join(windows.hint("shuffle_hash"), F.col("id") == F.col("_of"), "left")
-        .select("id", "text", "windows")
+        texts.join(found.hint("shuffle_hash"), F.col("id") == F.col("_of"), "left")
+        .select("id", "text", "intervals")
         .mapInArrow(
-            _removal(n),
+            _removal(),
             f"id {docs.schema[id_col].dataType.simpleString()}, n_words bigint, n_removed bigint, "
             "intervals array<struct<first:int,end:int>>, kept_text string",
         )
