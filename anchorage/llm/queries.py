@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from .bpe import round_trip
+from .decontamination import contaminated
 from .exact import exact_duplicates
 from .lines import drop_repeated_lines
+from .pii import KINDS, find_personal_data, listed
 from .quality import fit_quality, score_quality
 from .substrings import drop_repeated_substrings
 from .toxicity import fit_toxicity, score_toxicity
@@ -65,6 +67,21 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in range(len(KINDS) - 1)]
+    counts = [(F.size("spans") - rest).cast("bigint").alias(f"n_{name}") for rest, name in zip(counts, KINDS)]
+    every = F.array_sort(F.concat("spans", "added"))
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(listed(F.col("spans")), 256).alias("base_sha256"), listed(every).alias("spans")
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
@@ -77,5 +94,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op7_pii": op7_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
