@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 
 
 class RankQueue:
-    """Positions by rank; ``lowest`` finds the least rank by three find-first-sets."""
+    """Positions by rank; ``take`` finds the least rank by three find-first-sets."""
+
+    __slots__ = ("leaves", "middle", "top", "buckets")
 
     def __init__(self, n_ranks: int):
         self.leaves = [0] * ((n_ranks >> 6) + 1)
@@ -38,35 +40,44 @@ class RankQueue:
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
+    def put(self, rank: int, bucket: list[int]) -> None:
+        """Queue a whole bucket (a heap of positions) under a rank that has none."""
+        self.buckets[rank] = bucket
+        leaf = rank >> 6
+        word = self.leaves[leaf]
+        self.leaves[leaf] = word | 1 << (rank & 63)
+        if not word:
+            mid = rank >> 12
+            self.middle[mid] |= 1 << (leaf & 63)
+            self.top |= 1 << mid
+
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket is not None:
+        if bucket is None:
+            self.put(rank, [position])
+        else:
             heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        leaf, mid = rank >> 6, rank >> 12
-        self.leaves[leaf] |= 1 << (rank & 63)
-        self.middle[mid] |= 1 << (leaf & 63)
-        self.top |= 1 << mid
-
-    def lowest(self) -> int:
-        """The least rank that has positions; -1 if none has."""
-        if not self.top:
+
+    def take(self) -> int:
+        """Remove the least rank and return it; its bucket is still in ``buckets``.  -1 if there is none."""
+        top = self.top
+        if not top:
             return -1
-        mid = (self.top & -self.top).bit_length() - 1
+        low = top & -top
+        mid = low.bit_length() - 1
         word = self.middle[mid]
-        leaf = (mid << 6) + (word & -word).bit_length() - 1
-        word = self.leaves[leaf]
-        return (leaf << 6) + (word & -word).bit_length() - 1
-
-    def clear(self, rank: int) -> None:
-        del self.buckets[rank]
-        leaf, mid = rank >> 6, rank >> 12
-        self.leaves[leaf] &= ~(1 << (rank & 63))
-        if not self.leaves[leaf]:
-            self.middle[mid] &= ~(1 << (leaf & 63))
-            if not self.middle[mid]:
-                self.top &= ~(1 << mid)
+        bit = word & -word
+        leaf = (mid << 6) + bit.bit_length() - 1
+        ranks = self.leaves[leaf]
+        last = ranks & -ranks
+        ranks ^= last
+        self.leaves[leaf] = ranks
+        if not ranks:
+            word ^= bit
+            self.middle[mid] = word
+            if not word:
+                self.top = top ^ low
+        return (leaf << 6) + last.bit_length() - 1
 
 
 class Encoder:
@@ -94,46 +105,43 @@ class Encoder:
         if whole is not None:
             return [whole]
         n = len(word)
+        push, rank_of = queue.push, ranks.get
         # the part that starts at i ends at end[i]; before[i] is where the part to its left starts
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the part at i with the one to its right, if they can merge
-        for i in range(n - 1):
-            rank = ranks.get(word[i : i + 2])
+        # rank of the part at i with the one to its right, None if they can't merge
+        pair = [rank_of(word[i : i + 2]) for i in range(n - 1)]
+        pair.append(None)
+        for i, rank in enumerate(pair):
             if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
+                push(rank, i)
         buckets = queue.buckets
-        while (rank := queue.lowest()) >= 0:
-            bucket = buckets[rank]
+        while (rank := queue.take()) >= 0:
+            bucket = buckets.pop(rank)
             while bucket:
                 i = heappop(bucket)
                 if pair[i] != rank:
                     continue  # stale
                 gone = end[i]
                 stop = end[i] = end[gone]
-                pair[gone] = -1
-                pair[i] = -1
+                pair[gone] = None
                 lower = False
                 if stop < n:
                     before[stop] = i
-                    new = ranks.get(word[i : end[stop]])
+                    new = pair[i] = rank_of(word[i : end[stop]])
                     if new is not None:
-                        pair[i] = new
-                        queue.push(new, i)
+                        push(new, i)
                         lower = new < rank
+                else:
+                    pair[i] = None
                 left = before[i]
                 if left >= 0:
-                    new = ranks.get(word[left:stop])
+                    new = pair[left] = rank_of(word[left:stop])
                     if new is not None:
-                        pair[left] = new
-                        queue.push(new, left)
+                        push(new, left)
                         lower = lower or new < rank
-                    else:
-                        pair[left] = -1
-                if lower:
+                if lower and bucket:
+                    queue.put(rank, bucket)
                     break
-            if not bucket:
-                queue.clear(rank)
         ids, i = [], 0
         while i < n:
             ids.append(ranks[word[i : end[i]]])
