@@ -10,6 +10,7 @@ import public_tokenizers
 from .bpe import round_trip
 from .decontamination import contaminated
 from .exact import exact_duplicates
+from .jaccard import similar_sets
 from .lines import drop_repeated_lines
 from .pii import KINDS, find_personal_data, listed
 from .quality import fit_quality, score_quality
@@ -82,6 +83,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(_table(spark, sf_dir, "documents"), n=3, threshold=(90, 100)).select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
@@ -96,5 +103,6 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
 }
