@@ -10,10 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import BASES, LOWER, SpanHash, Words, byte_codes, mix
+from .bytesets import BASES, LOWER, SpanHash, Words, byte_codes, mix, slices, text_buffers
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
@@ -70,16 +71,27 @@ class Links:
 
 
 class Sample:
-    """The training texts as sparse counts: (row, feature) pairs and how often."""
-
-    def __init__(self, words: Words):
-        features = word_features(words)
-        n = np.diff(words.bounds)
-        self.rows = len(n)
-        pairs = np.concatenate([words.doc.astype(np.int64) << BITS | kind for kind in features]) if len(words) else np.zeros(0, np.int64)
-        pairs, counts = np.unique(pairs, return_counts=True)
-        self.row, self.feature = pairs >> BITS, (pairs & ((1 << BITS) - 1)).astype(np.int32)
-        self.value = counts / np.sqrt(n[self.row])
+    """The training texts as sparse counts: (row, feature) pairs and the feature's value, built slice by slice."""
+
+    def __init__(self, texts: pa.Array):
+        rows, features, values, self.rows = [], [], [], 0
+        for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text", 2 << 20):
+            words = Words(*text_buffers(part.column(0)))
+            n = np.diff(words.bounds)
+            if len(words):
+                pairs = np.concatenate([words.doc.astype(np.int64) << BITS | kind for kind in word_features(words)])
+                pairs, counts = np.unique(pairs, return_counts=True)
+                row = pairs >> BITS
+                rows.append((row + self.rows).astype(np.int32))
+                features.append((pairs & ((1 << BITS) - 1)).astype(np.int32))
+                values.append((counts / np.sqrt(n[row])).astype(np.float32))
+            self.rows += part.num_rows
+        self.row, self.feature = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (rows, features))
+        self.value = np.concatenate([np.zeros(0, np.float32), *values])
+
+    def sums(self, table: np.ndarray) -> np.ndarray:
+        """As ``text_sums``, for the sample."""
+        return np.bincount(self.row, weights=self.value * table.astype(np.float32)[self.feature], minlength=self.rows)
 
     def select(self, y: np.ndarray, of: np.ndarray, most: int) -> np.ndarray:
         """The features whose presence differs most between y > k and y <= k, for the best k, in rows ``of``."""

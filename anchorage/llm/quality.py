@@ -31,9 +31,8 @@ MAX_ROWS = 8000
 def _fit_grades(top: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "text"], na_position="first")
-        words = Words(*text_buffers(pa.array(rows["text"], pa.string())))
         y = rows["grade"].to_numpy(np.int64).clip(0, top)
-        model = fit(Sample(words), y, np.zeros((0, len(rows))), np.ones(len(rows), bool), top)
+        model = fit(Sample(pa.array(rows["text"], pa.string())), y, np.zeros((0, len(rows))), np.ones(len(rows), bool), top)
         return pd.DataFrame({"model": [pickle.dumps(model)]})
 
     return run

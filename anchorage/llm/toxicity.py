@@ -34,9 +34,7 @@ FOLDS = 3
 def _fit_chain(categories: list[str], folds: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "text"], na_position="first")
-        words = Words(*text_buffers(pa.array(rows["text"], pa.string())))
-        sample = Sample(words)
-        features = word_features(words)
+        sample = Sample(pa.array(rows["text"], pa.string()))
         fold = np.arange(len(rows)) % folds
         extra, chain = np.zeros((0, len(rows))), []
         for name in categories:
@@ -44,7 +42,7 @@ def _fit_chain(categories: list[str], folds: int):
             held_out = np.zeros(len(rows))
             for k in range(folds):
                 model = fit(sample, y, extra, fold != k, 1)
-                p = model.above(text_sums(model.table(), words, features), extra)[0]
+                p = model.above(sample.sums(model.table()), extra)[0]
                 held_out[fold == k] = p[fold == k]
             chain.append(fit(sample, y, extra, np.ones(len(rows), bool), 1))
             extra = np.concatenate([extra, held_out[None]])
