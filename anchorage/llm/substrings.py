@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .bytesets import Words, slices, text_buffers
 
 #: Windows that a task packs at a time.
-_FLUSH = 4_000_000
+_FLUSH = 2_000_000
 
 
 def _pack(hashes: np.ndarray, places: np.ndarray, ids: np.ndarray, words: np.ndarray) -> bytes:
