@@ -15,6 +15,7 @@ from .lines import drop_repeated_lines
 from .pii import KINDS, find_personal_data, listed
 from .quality import fit_quality, score_quality
 from .substrings import drop_repeated_substrings
+from .suffixes import drop_repeated_bytes
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -83,6 +84,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_bytes(_table(spark, sf_dir, "documents"), 400).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("runs").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(_table(spark, sf_dir, "documents"), n=3, threshold=(90, 100)).select(
         F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")
@@ -103,6 +110,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
 }
