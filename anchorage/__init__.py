@@ -31,8 +31,8 @@ from .sources import (
     parse_records,
     read_documents,
     read_report,
+    rejected_responses,
     responses_from_table,
-    spread_few_splits,
     union_documents,
     unreadable_documents,
 )
@@ -44,6 +44,6 @@ __all__ = [
     "inventory", "list_anchors", "local_outcomes", "look_up", "malformed_lines", "mute",
     "parse_records", "parse_tag", "parse_targets", "read_documents", "read_report", "rejected",
     "remote_outcomes", "resolve_fragments", "resolve_redirects", "resolve_responses",
-    "response_anchors", "responses_from_table", "rewrite_links", "spread_few_splits", "tag_counts", "tag_lookup", "tags",
+    "response_anchors", "rejected_responses", "responses_from_table", "rewrite_links", "tag_counts", "tag_lookup", "tags",
     "union_documents", "unreadable_documents", "write_report",
 ]

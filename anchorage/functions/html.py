@@ -82,6 +82,23 @@ def _utf8(body: Column) -> Column:
     return F.make_valid_utf8(body.cast("string"))
 
 
+def _utf16(body: Column, little: bool) -> Column:
+    """UTF-16 without a byte order mark; an odd byte at the end and unpaired surrogates become U+FFFD."""
+    n = F.octet_length(body)
+    hexed = F.hex(F.substring(body, F.lit(1), F.floor(n / 2).cast("int") * 2))
+    if little:
+        hexed = F.regexp_replace(hexed, "(..)(..)", "$2$1")
+    # groups of whole code units, found one after the other: surrogate pairs are kept, single surrogates replaced
+    pair, single = "D[89AB]..D[C-F]..", "D[89A-F].."
+    mended = F.regexp_replace(hexed, rf"\G((?:(?!D[89A-F])....|{pair})*+){single}", "$1FFFD")
+    text = F.decode(F.unhex(mended), "UTF-16BE")
+    return F.when(n % 2 == 1, F.concat(text, F.lit("\ufffd"))).otherwise(text)
+
+
+def _marked_utf16(body: Column, little: bool) -> Column:
+    return _utf16(F.substring(body, F.lit(3), F.octet_length(body)), little)
+
+
 def decode_body(body: Column, hint: Column) -> Column:
     """Bytes to text: byte order mark, then a known charset label, then UTF-8 if valid, then windows-1252.
 
@@ -91,10 +108,11 @@ def decode_body(body: Column, hint: Column) -> Column:
     return (
         F.when(head.startswith("EFBBBF"), _utf8(F.substring(body, F.lit(4), F.octet_length(body))))
         .when(head.substr(1, 8).isin(UNDECODABLE_PREFIXES) & ~_is_known(hint), F.lit(None).cast("string"))
-        .when(head.startswith("FFFE") | head.startswith("FEFF"), F.decode(body, "UTF-16"))
+        .when(head.startswith("FFFE"), _marked_utf16(body, True))
+        .when(head.startswith("FEFF"), _marked_utf16(body, False))
         .when(hint.isin(UTF8_LABELS), _utf8(body))
-        .when(hint.isin(UTF16LE_LABELS), F.decode(body, "UTF-16LE"))
-        .when(hint.isin(UTF16BE_LABELS), F.decode(body, "UTF-16BE"))
+        .when(hint.isin(UTF16LE_LABELS), _utf16(body, True))
+        .when(hint.isin(UTF16BE_LABELS), _utf16(body, False))
         .when(hint.isin(LATIN_LABELS), _windows_1252(body))
         .when(F.is_valid_utf8(body.cast("string")), body.cast("string"))
         .otherwise(_windows_1252(body))

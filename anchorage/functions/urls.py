@@ -127,7 +127,7 @@ def _web_url(scheme: Column, body: Column) -> Column:
 def _other_url(scheme: Column, body: Column) -> Column:
     port = F.regexp_extract(body, r"^//[^/?]*:([^/?\]@]*)(?:[/?]|\z)", 1)
     bad_port = body.startswith("//") & (
-        ~port.rlike("^[0-9]*$") | (F.when(port.rlike("^[0-9]{1,9}$"), port.cast("int")) > 65535)
+        ~port.rlike("^[0-9]*$") | ((port != "") & F.coalesce(port.try_cast("int") > 65535, F.lit(True)))
     ) & (scheme != "file")
     return F.struct(
         F.concat(scheme, F.lit(":"), body).alias("key"),

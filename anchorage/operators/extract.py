@@ -162,7 +162,11 @@ def document_anchors(
 def index_responses(
     responses: DataFrame, slug: Callable[[Column], Column] = markdown.heading_slug
 ) -> DataFrame:
-    """One row per response without its body: what a check needs of it.
+    """One row per URL without the body: what a check needs of its response.
+
+    Of several responses to one URL (fetched again, or spellings that normalize to the same) one counts,
+    with its own anchors: one without error before one with, then success, then the lowest status; what is
+    still equal goes by the other columns, so the choice does not depend on the order of the rows.
 
     ``next_url`` is where a redirect leads (NULL for others); ``media_type``, ``undecodable`` and
     ``anchors`` come from the header and the body.
@@ -173,9 +177,15 @@ def index_responses(
     )
     next_url = F.when(redirects, on_columns(resolve_reference, "url", "location"))
     kept = ["url", "status", "content_type", "error"]
-    return responses.select(*kept, next_url.alias("next_url"), found.alias("found")).select(
+    rows = responses.select(*kept, next_url.alias("next_url"), found.alias("found")).select(
         *kept, "next_url", "found.*"
     )
+    others = [c for c in rows.columns if c != "url"]
+    usable = F.col("error").isNull() & F.col("status").isNotNull()
+    rank = F.when(usable & F.col("status").between(200, 299), 0).when(usable, 1).otherwise(2)
+    return rows.groupBy("url").agg(F.min(F.struct(rank.alias("rank"), *others)).alias("best")).select(
+        "url", *[F.col(f"best.{c}").alias(c) for c in others]
+    )
 
 
 def response_anchors(

@@ -82,7 +82,10 @@ def remote_outcomes(index: DataFrame, follow: bool = False, **redirects: int) ->
         .when(parsed & (error == "body_read"), F.lit("IO_ERR"))
         .when(F.col("undecodable"), F.lit("DEC_ERR"))
     )
-    hops = F.array().cast(HOPS) if follow else F.col("hops")
+    # hops are what the tag tells of only where the chain ends well; the failure of its end is another matter
+    ends_well = (error.isNull() | (error == "body_read")) & status.between(200, 299)
+    none = F.array().cast(HOPS)
+    hops = none if follow else F.when(ends_well, F.col("hops")).otherwise(none)
     resolved = resolve_responses(index, **redirects)
     return resolved.select(
         F.lit("url").alias("kind"),

@@ -57,13 +57,10 @@ def resolve_responses(
 ) -> DataFrame:
     """Every URL with its final response and the ``hops`` that led there (empty without redirects).
 
-    Takes the columns of an index of responses; ``error`` is ``redirects`` for chains that are too
-    long and ``not fetched`` where the end of a chain has no response.  Of several responses to one
-    URL (spellings that normalize to the same) the first by status counts.
+    Takes the columns of an index of responses, one row per URL, best staged; ``error`` is ``redirects``
+    for chains that are too long and ``not fetched`` where the end of a chain has no response.
     """
     own = ["status", "content_type", "media_type", "error", "undecodable"]
-    one = F.min(F.struct("status", "next_url", "content_type", "media_type", "error", "undecodable"))
-    index = stage(index.groupBy("url").agg(one.alias("one")).select("url", "one.*"), "fetched")
     no_hops = F.array().cast("array<struct<status:int,url:string>>")
     chains = resolve_redirects(index, max_hops, rows_per_task)
     finals = index.select(F.col("url").alias("end"), *own, F.lit(True).alias("fetched"))

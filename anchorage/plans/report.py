@@ -45,12 +45,13 @@ def write_report(checked: DataFrame, location: str, link_only: bool = False, com
 def details_of() -> Column:
     """Why a link got its tag: a title, then the context, the most general first.
 
-    Works on ``tag``, ``target``, ``fragment``, ``prefix``, ``hops`` and ``doc_failed``.
+    Works on ``tag``, ``target``, ``fragment``, ``prefix``, ``hops`` (only where a redirect is what the
+    tag reports) and ``doc_failed``.
     """
     tag, fragment = F.col("tag"), F.col("fragment")
     context = lambda *parts: F.concat(F.lit("  context: "), *parts)
     in_fragment = ~F.col("doc_failed")
-    is_redirect = F.col("doc_failed") & (F.size("hops") > 0) & tag.startswith("HTTP_3")
+    is_redirect = F.col("doc_failed") & (F.size("hops") > 0)
     hops = F.when(
         is_redirect,
         F.transform(
@@ -67,7 +68,9 @@ def details_of() -> Column:
             F.when(in_fragment & (tag == "PREFIXED"), context(F.lit("prefix = "), F.col("prefix"))),
         )
     )
-    return F.when(tag != "OK", F.concat(lines, hops))
+    # Fixed value: the cause that is named where no charset was found.
+    cause = F.when(tag == "DEC_ERR", F.array(F.lit("  caused by: Failed to detect character encoding")))
+    return F.when(tag != "OK", F.concat(lines, hops, F.coalesce(cause, F.array().cast("array<string>"))))
 
 
 def explain_details(checked: DataFrame) -> DataFrame:

@@ -1,14 +1,13 @@
 from .documents import (
     documents_from_table,
     read_documents,
-    spread_few_splits,
     union_documents,
     unreadable_documents,
 )
 from .reports import malformed_lines, parse_records, read_report
-from .responses import responses_from_table
+from .responses import rejected_responses, responses_from_table
 
 __all__ = [
     "documents_from_table", "malformed_lines", "parse_records", "read_documents", "read_report",
-    "responses_from_table", "spread_few_splits", "union_documents", "unreadable_documents",
+    "rejected_responses", "responses_from_table", "union_documents", "unreadable_documents",
 ]

@@ -26,37 +26,40 @@ def documents_from_table(
     ).withColumn("is_dir", F.coalesce("is_dir", F.lit(False)))
 
 
+def _is_there(spark: SparkSession, location: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(location)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
 def read_documents(
     spark: SparkSession, location: str | list[str], base: str | None = None, glob: str | None = None
 ) -> DataFrame:
     """Files as documents, each whole.  ``base`` is cut off the front of the paths.
 
     Folders are read recursively.  A text that is not UTF-8 is kept as it is: as a source it is
-    rejected, as the target of a link it is decoded leniently.
+    rejected, as the target of a link it is decoded leniently.  A location that does not exist is a
+    document without text, ``io_error`` NOT_FOUND, and does not stop the others.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+    locations = [location] if isinstance(location, str) else list(location)
+    there = [x for x in locations if _is_there(spark, x)]
+    missing = [x for x in locations if x not in there]
     path = F.regexp_replace(F.col("path"), "^file:/+", "/")
     if base:
         prefix = base.rstrip("/") + "/"
         path = F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
-    return conform(
-        reader.load(location).select(
-            path.alias("path"), F.col("content").cast("string").alias("text"), F.lit(False).alias("is_dir")
-        ),
-        DOCUMENTS,
+    lost = spark.createDataFrame([(x,) for x in missing], "path string").select(
+        path.alias("path"), F.lit(False).alias("is_dir"), F.lit("NOT_FOUND").alias("io_error")
     )
-
-
-def spread_few_splits(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash the rows of a scan with fewer splits than cores over all cores.
-
-    Parsing is bound by the processor, and a file with one row group is one task.  A scan with
-    enough splits is returned as it is, so nothing is shuffled at scale.  Only for plain scans.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    if not there:
+        return conform(lost, DOCUMENTS)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    read = reader.load(there).select(
+        path.alias("path"), F.col("content").cast("string").alias("text"), F.lit(False).alias("is_dir")
+    )
+    return conform(read, DOCUMENTS).unionByName(conform(lost, DOCUMENTS)) if missing else conform(read, DOCUMENTS)
 
 
 def union_documents(*parts: DataFrame) -> DataFrame:

@@ -9,21 +9,24 @@ from ..schemas import RECORDS, REJECTS, conform
 
 # Fixed value: the report line format.  (?d): only \n ends a line.
 RECORD_PATTERN = r"(?d)^(.*):(\d+): [^ ]* ([^ ]*)\z"
+# Fixed value: the reason of a malformed line.
+MALFORMED = "invalid record format"
 
 
 def read_report(spark: SparkSession, location: str | list[str]) -> DataFrame:
     """Lines of report files, with ``source`` and ``doc_ord`` that keep them in file order."""
     block = F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0")
-    return spark.read.text(location).select(
-        F.col("value").alias("line"),
+    # only \n ends a line; one \r before it belongs to the end
+    return spark.read.option("lineSep", "\n").text(location).select(
+        F.regexp_replace("value", r"\r\z", "").alias("line"),
         F.concat_ws("#", F.col("_metadata.file_path"), block).alias("source"),
         F.monotonically_increasing_id().alias("doc_ord"),
     )
 
 
 def _fits(line: Column) -> Column:
-    # a line number has to fit an INT column
-    return line.rlike(RECORD_PATTERN) & F.regexp_extract(line, RECORD_PATTERN, 2).rlike(r"^0*\d{1,9}$")
+    # a line number has to fit the INT column
+    return line.rlike(RECORD_PATTERN) & F.regexp_extract(line, RECORD_PATTERN, 2).try_cast("int").isNotNull()
 
 
 def _ordered(lines: DataFrame) -> DataFrame:
@@ -53,7 +56,7 @@ def malformed_lines(lines: DataFrame) -> DataFrame:
     line = F.col("line")
     return conform(
         lines.filter(~_fits(line) | line.isNull()).withColumns(
-            {"value": line, "reason": F.lit("invalid record format")}
+            {"value": line, "reason": F.lit(MALFORMED)}
         ),
         REJECTS,
     )

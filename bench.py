@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from workloads import fixtures  # noqa: E402
 from workloads.queries import QUERIES  # noqa: E402
 
 HEADLINES = [
@@ -38,6 +39,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    fixtures.SPREAD = int(os.environ.get("BENCH_SPREAD", cpus))
     chosen = sys.argv[1:] or HEADLINES
     # one run of the flagship at the smallest scale starts the JVM's compilers, outside the timing
     QUERIES["tag_counts"](spark, str(Path(sf_dir).parent / "sf0.001")).collect()

@@ -16,17 +16,18 @@ def value(spark, fn, *args, types=None):
     return spark.createDataFrame([args], ddl).select(on_columns(fn, *names)).collect()[0][0]
 
 
-# --- fragments: the documented table of cases ---------------------------------------------------
+# --- fragments -----------------------------------------------------------------------------------
 FRAGMENTS = [
-    ("exact", ["abc"], [], "abc", "OK"),
-    ("empty id", [""], [], "", "OK"),
-    ("empty fragment, no ids", [], [], "", "NO_FRAG"),
-    ("empty fragment with prefix", ["", "prefix"], ["prefix"], "", "OK"),
-    ("missing", [""], [], "abc", "NO_FRAG"),
-    ("suffix is no match", ["", "abc-123"], [], "123", "NO_FRAG"),
-    ("prefixed", ["", "abc-123"], ["abc-"], "123", "PREFIXED"),
-    ("second prefix", ["def-123"], ["abc-", "def-"], "123", "PREFIXED"),
-    ("no prefix", ["def-123"], ["abc-"], "123", "NO_FRAG"),
+    ("same", ["roots", "stem"], [], "stem", "OK"),
+    ("end of an anchor", ["top-leaf"], [], "leaf", "NO_FRAG"),
+    ("begin of an anchor", ["top-leaf"], [], "top", "NO_FRAG"),
+    ("no anchors at all", [], ["doc-"], "leaf", "NO_FRAG"),
+    ("empty without anchors", [], [], "", "NO_FRAG"),
+    ("empty and an empty anchor", ["leaf", ""], [], "", "OK"),
+    ("empty and an anchor that is all prefix", ["", "doc-"], ["doc-"], "", "OK"),
+    ("by its prefix", ["", "doc-leaf"], ["doc-"], "leaf", "PREFIXED"),
+    ("by the last of three prefixes", ["z_leaf"], ["x_", "y_", "z_"], "leaf", "PREFIXED"),
+    ("by none of two prefixes", ["z_leaf"], ["x_", "y_"], "leaf", "NO_FRAG"),
     ("case", ["foo"], [], "FOO", "CASE_FRAG"),
     ("anchors are not lowered", ["Foo"], [], "foo", "NO_FRAG"),
     ("case through a prefix", ["p-foo"], ["p-"], "Foo", "CASE_FRAG"),
@@ -225,18 +226,53 @@ def test_spread_join_equals_a_join_with_a_hot_key(spark):
     assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_several_responses_to_one_url(spark):
+    rows = [
+        ("http://h/x", None, None, None, None, "timeout"),
+        ("HTTP://H/x", 200, None, "text/html", bytearray(b"<p id=a>"), None),
+        ("http://h:80/x", 404, None, "text/html", bytearray(b"<p id=b>"), None),
+        ("http://h/y", None, None, None, None, "timeout"),
+        ("http://h/y", 500, None, None, None, None),
+        ("http://[/", 200, None, None, None, None),
+        ("rel", 200, None, None, None, None),
+        (None, 200, None, None, None, None),
+    ]
+    table = spark.createDataFrame(rows, RESPONSES)
+    index = {r.url: r for r in A.index_responses(A.responses_from_table(table)).collect()}
+    assert {u: (r.status, r.error, r.anchors) for u, r in index.items()} == {
+        "http://h/x": (200, None, ["a"]), "http://h/y": (500, None, None),
+    }
+    rejects = A.rejected_responses(table).collect()
+    assert {(r.value, r.reason) for r in rejects} >= {("rel", "NOT_ABSOLUTE"), (None, "NOT_ABSOLUTE")} and len(rejects) == 3
+
+
+def test_a_chain_that_fails_at_its_end_is_no_redirect(spark):
+    rows = [("http://h/a", 301, "/b", None, None, None), ("http://h/b", 304, None, None, None, None)]
+    docs = spark.createDataFrame([("d.md", "[x](http://h/a)\n", 0, False, None)], DOCUMENTS)
+    checked, _ = A.check_links(docs, A.responses_from_table(spark.createDataFrame(rows, RESPONSES)))
+    row = checked.collect()[0]
+    assert row.tag == "HTTP_304" and not any("redirect" in line for line in row.details)
+
+
 # --- bodies ---------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     "body,hint,expected",
     [
-        (b"\xc4ntligen stod pr\xe4sten i predikstolen.", "iso-8859-1", "Äntligen stod prästen i predikstolen."),
-        (b"\xc4ntligen", None, "Äntligen"),
-        ("Änt€".encode(), None, "Änt€"),
+        (b"gr\xfcne Stra\xdfe, \xbd Kilometer", "iso-8859-1", "grüne Straße, ½ Kilometer"),
+        (b"Stra\xdfe", None, "Straße"),
+        ("Maß€".encode(), None, "Maß€"),
         ("Ä€".encode("utf-16"), None, "Ä€"),
         ("Ä".encode("utf-8-sig"), "latin1", "Ä"),
         (b"\x80\x93\x9f", "windows-1252", "€“Ÿ"),
         (b"\x00\x00\xfe\xff", None, None),
         (b"\xc3(", "utf-8", "�("),
+        (b"\xff\xfeA\x00B", None, "A\ufffd"),
+        (b"\xff\xfe\x00\xd8A\x00", None, "\ufffdA"),
+        (b"\xfe\xff\x00A\xdc\x00\x00B\xd8", None, "A\ufffdB\ufffd"),
+        (b"A\x00B", "utf-16le", "A\ufffd"),
+        ("a🙂b".encode("utf-16-be"), "utf-16be", "a🙂b"),
+        (b"\xd8\x00\xd8\x3d\xde\x42", "utf-16be", "\ufffd🙂"),
+        (b"A", "utf-16", "\ufffd"),
         (b"", None, ""),
     ],
 )
@@ -255,15 +291,17 @@ def test_html_anchors(spark):
 def test_report_lines(spark):
     lines = [
         (1, "a:b.md:12: OK x.md"), (2, "a.md:3:  y.md#z"), (3, "no"), (4, "a.md:x: OK y"), (5, "a.md:1: OK a b"),
-        (6, "a.md:7: TAG "), (7, "sp ace.md:1: OK u\u2028v"),
+        (6, "a.md:7: TAG "), (7, "sp ace.md:1: OK u\u2028v"), (8, "a.md:1000000000: OK x.md"), (9, "a.md:0000000000012: OK z"),
+        (10, "a\rb.md:1: OK x.md"), (11, "a.md:99999999999: OK x.md"),
     ]
     df = spark.createDataFrame(lines, "line_no bigint, line string")
     got = A.parse_records(df).orderBy("doc_ord").collect()
     assert [(r.doc_path, r.doc_line, r.link) for r in got] == [
-        ("a:b.md", 12, "x.md"), ("a.md", 3, "y.md#z"), ("a.md", 7, ""), ("sp ace.md", 1, "u\u2028v")
+        ("a:b.md", 12, "x.md"), ("a.md", 3, "y.md#z"), ("a.md", 7, ""), ("sp ace.md", 1, "u\u2028v"),
+        ("a.md", 1000000000, "x.md"), ("a.md", 12, "z"), ("a\rb.md", 1, "x.md"),
     ]
     bad = A.malformed_lines(df).orderBy("line_no").collect()
-    assert [(r.line_no, r.reason) for r in bad] == [(n, "invalid record format") for n in (3, 4, 5)]
+    assert [(r.line_no, r.reason) for r in bad] == [(n, "invalid record format") for n in (3, 4, 5, 11)]
 
 
 def test_tag_names():
