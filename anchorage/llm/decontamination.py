@@ -7,7 +7,7 @@ same offset between text and item) belong to one occurrence.  An occurrence coun
 ``min_share`` of the item's windows and its slots are consistent: one item value always stands for one
 value of the text.
 
-A name is a capitalised word within a sentence, a unit a word of ``UNITS`` after a number.  Windows with
+A name is a capitalised word within a sentence (not one all in capitals), a unit a word of ``UNITS`` after a number.  Windows with
 fewer than ``min_literals`` words that are no placeholder say too little and are left out.
 
 The benchmark's windows are broadcast if they are at most ``broadcast_rows`` (they are counted), else both
@@ -31,7 +31,7 @@ UNITS += " hours days weeks months years degrees percent dollars euros cents"
 _SLOT = "\u0001"
 _NUMBER = r"(?<!\S)[+\-$€£(]*[0-9][0-9.,:/]*[%°)]*[.,;:!?]*(?!\S)"
 _UNIT = rf"(?<={_SLOT}num )(?i:{'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])"
-_NAME = r"(?<=[^\s.!?:|][ \t])\p{Lu}[\p{L}\p{N}'’-]*(?![\p{L}\p{N}])"
+_NAME = r"(?<=[^\s.!?:|][ \t])\p{Lu}[\p{Ll}'’-][\p{L}\p{N}'’-]*(?![\p{L}\p{N}])"
 _ENDS = r"(?<=[^\s\p{Punct}])\p{Punct}+(?!\S)|(?<!\S)\p{Punct}+(?=[^\s\p{Punct}])"
 
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import Words, slices, text_buffers
@@ -39,10 +39,10 @@ def _fit_grades(top: int):
 
 
 def fit_quality(
-    docs: DataFrame, ratings: DataFrame, grade: Column, top: int, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS
+    docs: DataFrame, ratings: DataFrame, grade: str, top: int, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS
 ) -> Links:
-    """The model of grades 0 to ``top``; ``grade`` is an expression over ``ratings``."""
-    rows = training_rows(docs, ratings.select(id_col, grade.alias("grade")), id_col, text_col, ["grade"], max_rows)
+    """The model of grades 0 to ``top``; ``grade`` is SQL over ``ratings``."""
+    rows = training_rows(docs, ratings.select(id_col, F.expr(grade).alias("grade")), id_col, text_col, ["grade"], max_rows)
     got = rows.groupBy().applyInPandas(_fit_grades(top), "model binary").first()
     return pickle.loads(got["model"]) if got else Links(np.full(top, 50.0))
 

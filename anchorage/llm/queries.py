@@ -27,10 +27,10 @@ RANKS_PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 #: The chain: what the ratings call poor, then what they call toxic.
-CATEGORIES = {"p_low_quality": 1 - F.col("quality"), "p_toxic": F.col("toxic")}
+CATEGORIES = {"p_low_quality": "1 - quality", "p_toxic": "toxic"}
 TOXIC_FROM = 0.5
 #: Graded ratings: 0 poor, 1 fair but toxic, 2 good.
-GRADE = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2)
+GRADE = "CASE WHEN quality = 0 THEN 0 WHEN quality = 1 AND toxic = 1 THEN 1 WHEN quality = 1 AND toxic = 0 THEN 2 END"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import Words, slices, text_buffers
@@ -54,14 +54,14 @@ def _fit_chain(categories: list[str], folds: int):
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
-    categories: dict[str, Column],
+    categories: dict[str, str],
     id_col: str = "doc_id",
     text_col: str = "text",
     max_rows: int = MAX_ROWS,
     folds: int = FOLDS,
 ) -> list[Links]:
-    """One model per category (a name and its 0/1 label, in the order of the chain)."""
-    named = labels.select(id_col, *[label.alias(name) for name, label in categories.items()])
+    """One model per category (a name, and its 0/1 label as SQL over ``labels``), in the order of the chain."""
+    named = labels.select(id_col, *[F.expr(label).alias(name) for name, label in categories.items()])
     rows = training_rows(docs, named, id_col, text_col, list(categories), max_rows)
     got = rows.groupBy().applyInPandas(_fit_chain(list(categories), folds), "model binary").first()
     return pickle.loads(got["model"]) if got else [Links(np.full(1, 50.0), extra=np.zeros(i)) for i in range(len(categories))]
