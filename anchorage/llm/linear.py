@@ -1,7 +1,8 @@
 """Linear models on hashed words: feature hashing, a bounded training sample, cumulative-link fitting, scoring.
 
 Features of a word are its hash, the hashes of its first 4 to 8 bytes (stems, without a word list for any
-language) and of its shape (``Aa***``); A-Z is lowered except for the shape.  A text is the sum of its
+language) and of its shape (``Aa***``), and whether it is the word before it again; A-Z is lowered except
+for the shape.  A text is the sum of its
 words' features over the square root of the number of words.
 """
 
@@ -39,6 +40,9 @@ def word_features(words: Words) -> np.ndarray:
     place = np.concatenate([[0], np.cumsum(new)])
     runs = SpanHash(byte_codes(shape[new]), BASES[1])
     kinds.append(runs.of(place[words.starts], place[words.ends]) + np.uint64(99))
+    again = np.zeros(len(words), np.uint64)
+    again[1:] = (kinds[0][1:] == kinds[0][:-1]) & (words.doc[1:] == words.doc[:-1])
+    kinds.append(again + np.uint64(101))
     return (mix(np.stack(kinds)) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
@@ -94,17 +98,19 @@ class Sample:
         return np.bincount(self.row, weights=self.value * table.astype(np.float32)[self.feature], minlength=self.rows)
 
     def select(self, y: np.ndarray, of: np.ndarray, most: int) -> np.ndarray:
-        """The features whose presence differs most between y > k and y <= k, for the best k, in rows ``of``."""
+        """The features whose values differ most between y > k and y <= k, for the best k, in rows ``of``."""
         best = np.zeros(1 << BITS)
         use = of[self.row]
-        feature, row = self.feature[use], self.row[use]
-        total = np.bincount(feature, minlength=1 << BITS)
+        feature, row, value = self.feature[use], self.row[use], self.value[use]
+        n = np.bincount(feature, minlength=1 << BITS)
+        total = np.bincount(feature, weights=value, minlength=1 << BITS)
+        squares = np.bincount(feature, weights=value * value, minlength=1 << BITS)
         for k in range(int(y.max(initial=0))):
             high = y > k
             share = high[of].mean() if of.any() else 0.0
-            inside = np.bincount(feature, weights=high[row], minlength=1 << BITS)
-            spread = np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
-            best = np.maximum(best, np.where(total >= 5, np.abs(inside - total * share) / spread, 0))
+            inside = np.bincount(feature, weights=value * high[row], minlength=1 << BITS)
+            spread = np.sqrt(np.maximum(squares * share * (1 - share), 1e-9))
+            best = np.maximum(best, np.where(n >= 5, np.abs(inside - total * share) / spread, 0))
         chosen = np.argsort(-best, kind="stable")[:most]
         return np.sort(chosen[best[chosen] > 3]).astype(np.int32)
 
