@@ -6,13 +6,15 @@ HTML, link definitions), inline spans that hide their content (code, escapes, ta
 candidates, and newlines.  Only the newlines of a hidden token matter, so lines stay exact.
 
 Every loop in the patterns is possessive, which the JVM runs without recursion and without
-backtracking: very long lines are safe and a scan is linear in the text.
+backtracking, so very long lines are safe.  A scan is linear in the text, but for openers that are never
+closed (``<!--``, ``<?``, ``<!X``, runs of backticks): each of them reads on to the end of its paragraph,
+so a paragraph with very many of them takes quadratic time.
 
 Grammar subset: inline, full / collapsed / shortcut reference links and autolinks; ATX and setext
 headings; fenced and indented code, code spans; HTML blocks and inline tags; backslash escapes, the
-basic and numeric entities.  Not covered: link text nesting brackets more than one level deep,
-links inside image descriptions that also end in a link, indented code inside list items, lazy
-continuation of setext headings in containers.
+basic and numeric entities.  Brackets in link texts and parentheses in destinations may nest ``_DEPTH``
+levels.  Not covered: links inside image descriptions that also end in a link, indented code inside list
+items, lazy continuation of setext headings in containers.
 """
 
 from __future__ import annotations
@@ -39,12 +41,24 @@ _EOL = r"(?=\n|\z)"
 _SOFT = r"\n(?![ \t]*+(?:\n|\z))"  # a newline that does not end the paragraph
 _REST = r"[^\n]*+"
 _BULLET = r"(?:[-*+]|\d{1,9}[.)])"
-_AFTER_BLANK = r"(?<!\S[ \t]{0,30})"  # the line before is blank
+_AFTER_BLANK = r"(?<![^\n])"  # the line before is blank; prepare() strips blanks at line ends
+_AFTER_HEADING = "\u0002"  # prepare() puts it at the end of a heading that a link definition may follow
 _DOUBLE = rf'"(?:[^"\\\n]++|\\.|\\|{_SOFT})*+"'
 _SINGLE = rf"'(?:[^'\\\n]++|\\.|\\|{_SOFT})*+'"
 _PAREN = rf"\((?:[^()\\\n]++|\\.|\\|{_SOFT})*+\)"
 _TITLE = rf"(?:{_DOUBLE}|{_SINGLE}|{_PAREN})"
-_PARENS = r"\((?:[^\s()\\]++|\\.|\((?:[^\s()\\]++|\\.|\([^\s()]*+\))*+\))*+\)"
+# Nesting is written out this deep: the limit of common CommonMark implementations.
+_DEPTH = 32
+
+
+def _nested(innermost: str, around: str) -> str:
+    for _ in range(_DEPTH - 1):
+        innermost = around.replace("@", innermost)
+    return innermost
+
+
+_PARENS = _nested(r"\((?:[^\s()\\]++|\\.)*+\)", r"\((?:[^\s()\\]++|\\.|@)*+\)")
+_BRACKETS = _nested(r"\[[^\[\]\n]*+\](?![(\[])", r"\[(?:[^\[\]\n]++|@)*+\](?![(\[])")
 _DEST = rf"(?:<(?:[^<>\\\n]++|\\.)*+>|(?!<)(?:[^\s()\\]++|\\[^\s]|\\|{_PARENS})++)"
 _GAP = r"[ \t]*+(?:\n[ \t]*+)?+"
 _LABEL = rf"(?:[^\[\]\\\n]++|\\.|{_SOFT})++"
@@ -77,7 +91,7 @@ def _link_text(group: str) -> str:
     )
     return (
         rf"(?:[^\[\]\\`<!\n]++|\\.|\\|{_SOFT}|{_code_span(group)}|`++|{_AUTOLINK}|{_html_inline()}|<"
-        rf"|{image}|!|\[[^\[\]\n]*+\](?![(\[]))*+"
+        rf"|{image}|!|{_BRACKETS})*+"
     )
 
 
@@ -128,7 +142,7 @@ _DEF_LINE = (
     rf"[ \t]*+{_EOL}"
 )
 _DEFINITIONS = (
-    rf"(?=\n {{0,3}}\[)(?:{_AFTER_BLANK}|(?<=\n {{0,3}}#{{1,6}}[ \t][^\n]{{0,200}}))(?:{_DEF_LINE})++"
+    rf"(?=\n {{0,3}}\[)(?:{_AFTER_BLANK}|(?<={_AFTER_HEADING}))(?:{_DEF_LINE})++"
 )
 _OPAQUE_BLOCKS = f"{_FENCES}|{_INDENTED}|{_HTML_BLOCK}"
 
@@ -173,8 +187,19 @@ _LIST_OR_FENCE = rf"[^\n]*+(?:{_FENCES}|{_LIST_REGION}|\n|\z)"
 
 # --- preparation -----------------------------------------------------------------------------
 def prepare(text: Column) -> Column:
-    """Start every line with a newline, and unindent list items so that they do not look like code."""
-    return let(F.concat(F.lit("\n"), F.replace(text, F.lit("\r\n"), F.lit("\n"))), _unindent_lists)
+    """Start every line with a newline, end it without blanks, and unindent list items so that they don't look like code."""
+    lines = F.concat(F.lit("\n"), F.replace(text, F.lit("\r\n"), F.lit("\n")))
+
+    def tidied(t: Column) -> Column:
+        blanks = t.contains(" \n") | t.contains("\t\n") | t.endswith(" ") | t.endswith("\t")
+        return F.when(blanks, F.regexp_replace(t, rf"[ \t]++{_EOL}", "")).otherwise(t)
+
+    def marked(t: Column) -> Column:
+        clean = F.when(t.contains(_AFTER_HEADING), F.replace(t, F.lit(_AFTER_HEADING), F.lit(" "))).otherwise(t)
+        heading = r"(\n {0,3}#{1,6}(?:[ \t][^\n]*+)?+)(?=\n {0,3}\[)"
+        return F.when(t.contains("#") & t.contains("]:"), F.regexp_replace(clean, heading, f"$1{_AFTER_HEADING}")).otherwise(clean)
+
+    return let(let(let(lines, tidied), marked), _unindent_lists)
 
 
 def _unindent_lists(lines: Column) -> Column:
@@ -344,6 +369,7 @@ def _is_heading(token: Column) -> Column:
 
 
 def _heading_source(token: Column) -> Column:
+    token = F.replace(token, F.lit(_AFTER_HEADING), F.lit(""))
     atx = F.regexp_replace(
         F.regexp_replace(token, rf"^\n{_CONTAINER} {{0,3}}#{{1,6}}[ \t]*+", ""),
         r"(?:^|[ \t]++)#*[ \t]*\z",
@@ -369,19 +395,25 @@ def heading_text(source: Column) -> Column:
     return F.when(source.rlike(r"[\\`*_<&\[\n]"), _without_markup(source)).otherwise(source)
 
 
+def _as_often(text: Column, opener: str, step: Callable[[Column], Column]) -> Column:
+    """``step`` from the inside out, as often as markup can be nested: once per opener."""
+    depth = F.size(F.split(text, opener, -1)) - 1
+    return F.aggregate(F.sequence(F.lit(0), depth), text, lambda t, _: step(t))
+
+
+def _without_emphasis(text: Column) -> Column:
+    text = F.regexp_replace(text, r"(\*{1,3})(?=[^\s*])([^*]++)(?<=\S)\1", "$2")
+    return F.regexp_replace(
+        text, r"(?U)(?<!\w)(_{1,3})(?=[^\s_])((?:[^_]++|(?<=\w)_++(?=\w))*+)(?<=[^\s_])\1(?!\w)", "$2"
+    )
+
+
 def _without_markup(source: Column) -> Column:
     text = map_matches(source, rf"{_ESCAPE}|{_code_span('hc')}", _protect)
     text = F.regexp_replace(text, rf"<({_AUTO_URL}|{_AUTO_MAIL})>", "$1")
     text = F.regexp_replace(text, _html_inline(), "")
-    for _ in range(2):  # an image inside a link
-        text = F.regexp_replace(text, rf"!?+\[([^\[\]]*+)\](?:{_INLINE_TAIL}|\[[^\[\]]*+\])", "$1")
-    for _ in range(2):  # emphasis inside emphasis
-        text = F.regexp_replace(text, r"(\*{1,3})(?=[^\s*])([^*]++)(?<=\S)\1", "$2")
-        text = F.regexp_replace(
-            text,
-            r"(?U)(?<!\w)(_{1,3})(?=[^\s_])((?:[^_]++|(?<=\w)_++(?=\w))*+)(?<=[^\s_])\1(?!\w)",
-            "$2",
-        )
+    text = _as_often(text, r"\[", lambda t: F.regexp_replace(t, rf"!?+\[([^\[\]]*+)\](?:{_INLINE_TAIL}|\[[^\[\]]*+\])", "$1"))
+    text = _as_often(text, r"[*_]", _without_emphasis)
     text = unescape(F.replace(text, F.lit("\n"), F.lit("")))
     return F.translate(text, _STAND_IN, _PUNCTUATION)
 

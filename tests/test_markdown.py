@@ -67,6 +67,14 @@ LINK_CASES = [
     ("crlf", "a\r\n[b](c.md)\r\n\r\n[d](e.md)\r\n", [(2, "c.md"), (4, "e.md")]),
     ("quote and table", "> [a](b.md)\n\n| [c](d.md) | e |\n", [(1, "b.md"), (3, "d.md")]),
     ("unicode", "ééé [ü](ö.md)", [(1, "ö.md")]),
+    ("definition below a long heading", "# " + "h" * 2000 + "\n[a]: x.md\n\n[a]", [(4, "x.md")]),
+    ("definition below an empty heading", "#\n[a]: x.md\n\n[a]", [(4, "x.md")]),
+    ("definition below a wide heading with a link", "## [b](c.md) " + " " * 300 + "\n[a]: x.md\n\n[a]", [(1, "c.md"), (4, "x.md")]),
+    ("many blanks at a paragraph's end", "a" + " " * 400 + "\n    [b](c.md)", [(2, "c.md")]),
+    ("a line of many blanks is blank", "a\n" + " " * 400 + "\n    [b](c.md)\n\n[d](e.md)", [(5, "e.md")]),
+    ("brackets in brackets", "[a [b [c] d] e](f.md) " + "[" * 20 + "x" + "]" * 20 + "(g.md)", [(1, "f.md"), (1, "g.md")]),
+    ("parentheses in parentheses", "[a](b(c(d(e(f)g)h)i)j)", [(1, "b(c(d(e(f)g)h)i)j")]),
+    ("private character", "# \u0002\n[a]: x.md\n\n[a]", [(4, "x.md")]),
     ("nothing", "plain", []),
 ]
 
@@ -83,6 +91,8 @@ HEADING_CASES = [
     ("front matter", "---\ntitle: x\n---\n# A", ["title: x", "A"]),
     ("code", "# A `b_*`\n```\n# no\n```\n\n    # no\n", ["A `b_*`"]),
     ("markup", "# *A* **b** __c__ d_e_f [g](h) ![i](j) <b>k</b> \\*l\\* &amp; m", ["A b c d_e_f g i k *l* & m"]),
+    ("nested markup", "# *a **b *c **d** e* f** g* ![[x](y)](z)", ["a b c d e f g x"]),
+    ("above a definition", "# Long heading\n[a]: x.md\n# `B` #\n[b]: y.md", ["Long heading", "`B`"]),
     ("containers", "> # A\n- # B\n1. # C", ["A", "B", "C"]),
     ("empty", "#\n## \n", ["", ""]),
 ]
