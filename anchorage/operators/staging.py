@@ -70,9 +70,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Unlike a cached frame it survives the loss of executors, and unlike a checkpoint it is columnar:
     each later step reads only its own columns.  The files go at the end of a ``staging`` block, or
-    else with the session.
+    else with the session.  Shuffle files of the job go once the driver's JVM collects its plan, so it is
+    asked to, or a job of many steps would keep the shuffles of all.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
