@@ -37,7 +37,7 @@ from .components import components
 SKETCH_BITS = 18
 _BLOCK = 32
 #: Bottom-k keys, each by a hash of its own: k and seed.
-LEAD_KEYS = ((8, 1), (4, 2), (4, 3), (2, 4))
+LEAD_KEYS = ((8, 1), (3, 2))
 _NEAR = 4
 
 
@@ -152,6 +152,15 @@ def _unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries whose list has another one; a partition holds whole lists."""
+    held = [batch for batch in batches if batch.num_rows]
+    if held:
+        table = pa.Table.from_batches(held)
+        _, of, counts = np.unique(table.column("token").to_numpy(), return_inverse=True, return_counts=True)
+        yield from table.filter(pa.array(counts[of] > 1)).to_batches(100_000)
+
+
 def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which, 0..count-1) for every unit of ``counts``."""
     which = np.repeat(np.arange(len(counts)), counts)
@@ -276,14 +285,15 @@ def similar_sets(
     classes = stage(classes.select("s1", "s2", "n", "count", "first.*"), "classes")
 
     # lists of two and more, and who leads
-    entries = classes.select("id", "n", "prefix").mapInArrow(_unroll, "token bigint, id bigint, n int, pos int")
-    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") > 1).select("token")
-    entries = stage(entries.join(lists, "token", "left_semi"), "lists")
+    listed = "token bigint, id bigint, n int, pos int"
+    entries = classes.select("id", "n", "prefix").mapInArrow(_unroll, listed)
+    entries = stage(entries.repartition("token").mapInArrow(_met, listed), "lists")
     keyed = classes.select("id", F.posexplode("keys").alias("key_no", "key"))
     lead = keyed.groupBy("key_no", "key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("count")).filter(F.col("count") > 1)
     lead = stage(lead, "leaders")
     led = spread_join(keyed, lead.drop("count"), ["key_no", "key"], lead, "count", ["id"])
-    led = led.filter(F.col("leader") < F.col("id")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    # one leader a set, so that a set's text moves once
+    led = led.filter(F.col("leader") < F.col("id")).groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
     led = stage(led, "led")
 
     ids = entries.select("id").union(led.select("a")).union(led.select("b")).distinct()
