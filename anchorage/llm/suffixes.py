@@ -38,7 +38,7 @@ from .induced import repeats
 from .runs import BucketedTable, default_buckets
 
 GRAM = 32
-CLASS = 64
+CLASS = 32
 SHARD_BYTES = 1 << 20
 _PLACE_BITS = 34
 
