@@ -157,6 +157,16 @@ ORACLES: dict[str, str] = {
                + CAST(contains(html, '<nav>') AS INTEGER) + CAST(contains(html, '<script>') AS INTEGER) END AS INTEGER) AS n_anchors
       FROM pages""",
     "decode_body": "SELECT doc_id, md5(text) AS digest FROM documents",
+    "decode_broken": """
+      SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN concat(text, chr(65533)) WHEN 1 THEN concat(text, chr(65533), 'A')
+                         ELSE concat(chr(65533), text) END) AS digest FROM documents""",
+    "extract_long_blocks": """
+      SELECT concat('docs/d', doc_id, '.md') AS doc_path, l.doc_line, concat(l.name, '-', doc_id, '.md') AS link, l.pos
+      FROM documents, (VALUES (4, 'long', 0), (7, 'in', 1), (9, 'n', 2)) AS l(doc_line, name, pos)""",
+    "check_hot_keys": """
+      SELECT concat('types/', event_type, '.md#', CASE event_id % 3 WHEN 0 THEN 'top' WHEN 1 THEN 'TOP' ELSE 'gone' END) AS link,
+             CASE event_id % 3 WHEN 0 THEN 'OK' WHEN 1 THEN 'CASE_FRAG' ELSE 'NO_FRAG' END AS tag, count(*) AS n_links
+      FROM events GROUP BY ALL""",
     "unreadable_sources": """
       SELECT concat('docs/d', doc_id) AS source, CASE doc_id % 5 WHEN 0 THEN 'NOT_UTF8' ELSE 'denied' END AS reason
       FROM documents WHERE doc_id % 5 IN (0, 1)""",

@@ -12,6 +12,7 @@ from anchorage.functions import html, markdown
 from anchorage.functions.named import on_columns
 from anchorage.functions.urls import normalize_url
 from anchorage.operators.staging import stage
+from anchorage.schemas import RECORDS, conform
 
 from . import fixtures as X
 
@@ -109,6 +110,30 @@ def decode_body(spark, sf_dir):
     return docs.select("doc_id", F.md5(text.cast("binary")).alias("digest"))
 
 
+def decode_broken(spark, sf_dir):
+    """UTF-16 bodies with an odd byte at the end or a surrogate that stands alone."""
+    docs = X.table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.expr("""CASE doc_id % 3 WHEN 0 THEN concat(X'FFFE', encode(text, 'UTF-16LE'), X'42')
+                  WHEN 1 THEN concat(encode(text, 'UTF-16BE'), X'D8000041')
+                  ELSE concat(X'00DC', encode(text, 'UTF-16LE')) END""").alias("body"),
+        F.expr("CASE doc_id % 3 WHEN 1 THEN 'text/html; charset=utf-16be' ELSE 'text/html; charset=utf-16le' END").alias("content_type"),
+    )
+    text = html.decode_body(F.col("body"), html.charset_hint(F.col("content_type")))
+    return docs.select("doc_id", F.md5(text.cast("binary")).alias("digest"))
+
+
+def extract_long_blocks(spark, sf_dir):
+    """Long headings above definitions, paragraphs that end in many blanks, brackets in brackets."""
+    docs = X.table(spark, sf_dir, "documents").select(
+        F.expr("concat('docs/d', doc_id, '.md')").alias("path"),
+        F.expr(r"""concat('# ', substring(regexp_replace(text, '[^A-Za-z ]', ''), 1, 10 + doc_id % 1990), '\n[d]: long-', doc_id,
+            '.md\n\n[d]\n\nmore', repeat(' ', cast(doc_id % 500 AS INT)), '\n    [i](in-', doc_id, '.md)\n\n[a ',
+            repeat('[', cast(doc_id % 20 AS INT)), 'b', repeat(']', cast(doc_id % 20 AS INT)), ' c](n-', doc_id, '.md)\n')""").alias("text"),
+    )
+    return A.extract_links(A.documents_from_table(docs)).select(*LINKS)
+
+
 def unreadable_sources(spark, sf_dir):
     broken = X.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("docs/d"), "doc_id").alias("path"),
@@ -167,6 +192,25 @@ def check_corpus(spark, sf_dir):
     return _checked(X.corpus(spark, sf_dir)).select(*TAGGED)
 
 
+def check_hot_keys(spark, sf_dir):
+    """All events as links to a few pages, with so low a bound that every page is split over tasks."""
+    events = X.table(spark, sf_dir, "events")
+    pages = events.select("event_type").distinct().select(
+        F.expr("concat('types/', event_type, '.md')").alias("path"), F.lit("# Top\n").alias("text")
+    )
+    records = conform(
+        events.select(
+            F.lit("log.md").alias("doc_path"),
+            F.lit(1).alias("doc_line"),
+            F.expr("concat('types/', event_type, '.md#', CASE event_id % 3 WHEN 0 THEN 'top' WHEN 1 THEN 'TOP' ELSE 'gone' END)").alias("link"),
+            F.col("event_id").alias("doc_ord"),
+        ),
+        RECORDS,
+    )
+    checked = _checked(A.documents_from_table(pages), records=records, rows_per_task=100)
+    return checked.groupBy("link", "tag").agg(F.count(F.lit(1)).alias("n_links"))
+
+
 def check_root(spark, sf_dir):
     return _checked(X.star_site(spark, sf_dir), root=".").select(*TAGGED)
 
@@ -278,7 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for fn in (
         extract_links, extract_ref_links, extract_autolinks, extract_skip_code, extract_nav, extract_only,
         heading_texts, heading_slugs, heading_repeats, anchor_listing, html_anchors, content_dispatch,
-        decode_body, unreadable_sources, target_kinds, rejected_links, normalize_urls, distinct_targets,
+        decode_body, decode_broken, extract_long_blocks, check_hot_keys, unreadable_sources, target_kinds, rejected_links, normalize_urls, distinct_targets,
         rewrite_links, inventory, check_local, check_corpus, check_root, check_urldecode, check_prefix,
         check_remote, check_remote_follow, redirect_chains, redirects_follow, redirects_nofollow,
         report_roundtrip, malformed_lines, mute_report, links_only, tag_lookup, details, redirect_details,
