@@ -14,7 +14,7 @@ from .operators.fragments import resolve_fragments
 from .operators.outcomes import inventory, local_outcomes, look_up, remote_outcomes
 from .operators.redirects import resolve_redirects, resolve_responses
 from .operators.targets import accepted, distinct_targets, group_targets, parse_targets, rejected, rewrite_links
-from .plans.check import check_links, extract_only
+from .plans.check import check_links, extract_only, stage_index
 from .plans.report import (
     explain_details,
     format_report,
@@ -44,6 +44,6 @@ __all__ = [
     "inventory", "list_anchors", "local_outcomes", "look_up", "malformed_lines", "mute",
     "parse_records", "parse_tag", "parse_targets", "read_documents", "read_report", "rejected",
     "remote_outcomes", "resolve_fragments", "resolve_redirects", "resolve_responses",
-    "response_anchors", "rejected_responses", "responses_from_table", "rewrite_links", "tag_counts", "tag_lookup", "tags",
+    "response_anchors", "stage_index", "rejected_responses", "responses_from_table", "rewrite_links", "tag_counts", "tag_lookup", "tags",
     "union_documents", "unreadable_documents", "write_report",
 ]

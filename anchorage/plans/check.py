@@ -24,11 +24,19 @@ def _no_suffix(df: DataFrame) -> DataFrame:
     return df.withColumn("suffix", F.coalesce(F.concat(F.lit("#"), "fragment"), F.lit("")))
 
 
+def stage_index(
+    documents: DataFrame, root: str | None = None, slug: Callable[[Column], Column] = heading_slug
+) -> DataFrame:
+    """The local targets with their anchors, written once; texts are not read again."""
+    return stage(index_documents(documents, slug, root).drop("links"), "documents")
+
+
 def check_links(
-    documents: DataFrame,
+    documents: DataFrame | None,
     responses: DataFrame | None = None,
     *,
     records: DataFrame | None = None,
+    index: DataFrame | None = None,
     root: str | None = None,
     prefixes: Sequence[str] = (),
     follow: bool = False,
@@ -40,18 +48,21 @@ def check_links(
     """``(checked, rejects)``: every link with its ``tag`` and ``details``, and the unparsable links.
 
     ``documents`` are the sources of the links (unless ``records`` are given, such as those of an
-    earlier report) and the local targets; ``responses`` are the remote targets.
+    earlier report) and the local targets; ``responses`` are the remote targets.  An ``index`` that
+    ``stage_index`` made of the documents spares parsing them again for further records.
 
     Texts and bodies are read once: what is staged of them are links and anchors.  Every distinct
     target is then looked up once, every distinct (target, fragment) resolved once, and only the
     last join touches all links.  Links of very popular targets are split over many tasks there.
     """
-    index = index_documents(documents, slug, root)
-    if records is None:
+    if index is not None:
+        targets = stage(parse_targets(records, root), "targets")
+    elif records is None:
+        index = index_documents(documents, slug, root)
         index = stage(index, "documents")
         targets = targets_of(index)
     else:
-        index = stage(index.drop("links"), "documents")
+        index = stage_index(documents, root, slug)
         targets = stage(parse_targets(records, root), "targets")
     links = _no_suffix(accepted(targets))
 

@@ -14,9 +14,11 @@ def test_report_stream(spark, tmp_path):
     def run():
         query = check_report_stream(read_report_stream(spark, str(inbox)), docs, None, out, marks)
         assert query.awaitTermination(120)
-        return sorted((r.doc_line, r.tag) for r in spark.read.parquet(out).collect())
+        return sorted((r.doc_line, r.tag) for r in spark.read.parquet(f"{out}/checked").collect())
 
     (inbox / "1.txt").write_text("s/b.md:1:  a.md#a\ns/b.md:2:  a.md#b\nbroken\n")
     assert run() == [(1, "OK"), (2, "NO_FRAG")]
     (inbox / "2.txt").write_text("s/b.md:3:  gone.md\n")
     assert run() == [(1, "OK"), (2, "NO_FRAG"), (3, "NO_DOC")]
+    rejects = spark.read.parquet(f"{out}/rejects").collect()
+    assert [(r.value, r.reason) for r in rejects] == [("broken", "invalid record format")]
