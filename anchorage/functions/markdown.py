@@ -11,8 +11,8 @@ closed (``<!--``, ``<?``, ``<!X``, runs of backticks): each of them reads on to
 so a paragraph with very many of them takes quadratic time.
 
 Grammar subset: inline, full / collapsed / shortcut reference links and autolinks; ATX and setext
-headings; fenced and indented code, code spans; HTML blocks and inline tags; backslash escapes, the
-basic and numeric entities.  Brackets in link texts and parentheses in destinations may nest ``_DEPTH``
+headings; fenced and indented code, code spans; HTML blocks and inline tags; backslash escapes, named and
+numeric entities.  Brackets in link texts and parentheses in destinations may nest ``_DEPTH``
 levels.  Not covered: links inside image descriptions that also end in a link, indented code inside list
 items, lazy continuation of setext headings in containers.
 """

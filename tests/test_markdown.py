@@ -42,6 +42,7 @@ LINK_CASES = [
     ("not across paragraphs", "[a\n\nb](c.md)", []),
     ("escapes", "\\[a](b.md) [c](d\\_e\\*.md)", [(1, "d_e*.md")]),
     ("entities", "[a](b?c&amp;d&#65;&#x42;)", [(1, "b?c&dAB")]),
+    ("named entities", "[a](b&auml;.md&nope;&copy;&NotEqualTilde;)", [(1, "bä.md&nope;©≂̸")]),
     ("code span", "`[a](b.md)` ``[c](d.md) ` ``", []),
     ("unclosed code span", "` [a](b.md)", [(1, "b.md")]),
     ("code in text", "[`]`](a.md)", [(1, "a.md")]),
@@ -93,6 +94,7 @@ HEADING_CASES = [
     ("markup", "# *A* **b** __c__ d_e_f [g](h) ![i](j) <b>k</b> \\*l\\* &amp; m", ["A b c d_e_f g i k *l* & m"]),
     ("nested markup", "# *a **b *c **d** e* f** g* ![[x](y)](z)", ["a b c d e f g x"]),
     ("above a definition", "# Long heading\n[a]: x.md\n# `B` #\n[b]: y.md", ["Long heading", "`B`"]),
+    ("named entities", "# A&nbsp;B &copy; &Zfr;", ["A\u00a0B © ℨ"]),
     ("containers", "> # A\n- # B\n1. # C", ["A", "B", "C"]),
     ("empty", "#\n## \n", ["", ""]),
 ]

@@ -23,7 +23,7 @@ SPREAD = 0
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.repartition(SPREAD) if SPREAD else df
+    return df.repartition(SPREAD, df.columns[0]) if SPREAD else df
 
 
 def _pages(df: DataFrame, path: str, text: str) -> DataFrame:
