@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.staging import stage
+from .runs import stage
+
 
 
 def components(edges: DataFrame) -> DataFrame:

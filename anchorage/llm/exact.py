@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import ROWS_PER_TASK, spread_join
-from ..operators.staging import new_folder, stage
-from .runs import BucketedTable, default_buckets
+from ..operators.staging import new_folder
+from .runs import BucketedTable, default_buckets, stage
 
 
 class DigestIndex:

@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import spread_join
-from ..operators.staging import stage
 from .bytesets import BASES, LOWER, SpanHash, Words, mix, slices, text_buffers
 from .components import components
+from .runs import stage
 
 SKETCH_BITS = 18
 _BLOCK = 32

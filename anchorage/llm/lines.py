@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import spread_join
-from ..operators.staging import delete, new_folder, stage
-from .runs import BucketedTable, default_buckets
+from ..operators.staging import delete, new_folder
+from .runs import BucketedTable, default_buckets, stage
 
 BLANKS = " \t\n\x0b\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.staging import stage
+from .runs import stage
+
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 WINDOW = 160

@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import spread_join
-from ..operators.staging import new_folder, stage
+from ..operators.staging import new_folder
 from .bytesets import BASES, SpanHash, byte_codes, mix, slices, text_buffers
 from .induced import repeats
-from .runs import BucketedTable, default_buckets
+from .runs import BucketedTable, default_buckets, stage
 
 GRAM = 32
 CLASS = 32
