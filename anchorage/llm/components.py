@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .runs import stage
 
 
-
 def components(edges: DataFrame) -> DataFrame:
     """``id, component`` (the smallest id that can be reached) of every end of ``edges`` (columns ``a, b``).
 
