@@ -5,7 +5,8 @@ representative.  A prefix of each set, rare shingles first, goes into index list
 are similar enough share one of them.
 
 * Skipping in the lists: a list is sorted by set size and cut into blocks that know their smallest
-  position; a block is skipped if its sizes or positions can't give the overlap that is needed.
+  position; a block is skipped if its sizes or positions can't give the overlap that is needed.  What both
+  prefixes share of a pair bounds its overlap, so few pairs need their texts.
 * Skipping by answers: sets that are highly similar, found by equal bottom-k keys, are compared with one
   leader only.  What is connected already is not compared again: lists yield pairs of different components
   only, first near ones, and after these have joined components, all that are left.
@@ -241,6 +242,44 @@ def _pairs_of(threshold: tuple[int, int], near: int | None):
     return run
 
 
+def _could_link(threshold: tuple[int, int]):
+    """Pairs whose prefixes leave room for the overlap that is needed.
+
+    What two sets share up to the end of the prefix that ends first lies in both prefixes; beyond it there
+    is no more than the rest of that set.
+    """
+    num, den = threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(iter([batch]), "prefix_a", 1 << 20):
+                n, length, last, rows, tokens = [], [], [], [], []
+                for i in (2, 3):
+                    data, offsets = text_buffers(part.column(i + 2))
+                    token, ends = np.frombuffer(data.tobytes(), "<u8"), offsets // 8
+                    n.append(part.column(i).to_numpy(zero_copy_only=False))
+                    length.append(np.diff(ends))
+                    last.append(token[ends[1:] - 1])
+                    rows.append(np.repeat(np.arange(part.num_rows), length[-1]))
+                    tokens.append(token)
+                row, token = np.concatenate(rows), np.concatenate(tokens)
+                order = np.lexsort((token, row))
+                row, token = row[order], token[order]
+                same = (row[1:] == row[:-1]) & (token[1:] == token[:-1])
+                common = np.bincount(row[1:][same], minlength=part.num_rows)
+                rest = np.where(last[0] <= last[1], n[0] - length[0], n[1] - length[1])
+                yield part.select([0, 1]).filter(pa.array((num + den) * (common + rest) >= num * (n[0] + n[1])))
+
+    return run
+
+
+def _pruned(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    of_a = classes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("prefix_a"))
+    of_b = classes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("prefix_b"))
+    joined = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "n_a", "n_b", "prefix_a", "prefix_b")
+    return joined.mapInArrow(_could_link(threshold), "a bigint, b bigint")
+
+
 def _compare(n: int, threshold: tuple[int, int]):
     num, den = threshold
 
@@ -303,7 +342,7 @@ def similar_sets(
         labels = components(links)
         known = entries.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         pairs = known.repartition("token").mapInArrow(_pairs_of(threshold, near), "a bigint, b bigint").distinct()
-        pairs = stage(pairs, "pairs")
+        pairs = stage(_pruned(stage(pairs, "pairs"), classes, threshold), "pruned")
         links = stage(links.unionByName(_links(pairs, compared, n, threshold)), "links")
     labels = components(links)
 
