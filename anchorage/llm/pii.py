@@ -2,30 +2,32 @@ r"""Information-theoretic sanitisation of personal data, in DataFrame functions
 
 Protected entities are e-mail addresses, IP addresses, card and phone numbers.  Which other terms reveal
 them is estimated from the corpus: with N documents, of which n_e hold entity e, n_t hold term t and n_te
-hold t within ``WINDOW`` code points of e on its line, t tells PMI = log2(n_te N / (n_t n_e)) bits of the
-IC = log2(N / n_e) bits that e carries.  Near e, terms with PMI / IC of ``GENERALISE`` or more are
-generalised, and from ``REMOVE`` on removed.  Only pairs that stand in ``MIN_CONTEXTS`` different contexts
-and documents count, so copies and repetitions of one text prove nothing.
+hold both, anywhere, t tells PMI = log2(n_te N / (n_t n_e)) bits of the IC = log2(N / n_e) bits that e
+carries.  In documents that hold e, terms with PMI / IC of ``GENERALISE`` or more are generalised wherever
+they stand, and from ``REMOVE`` on removed.  Entities of one document count like any other.  Documents are
+counted by text, so copies of a text prove no more than the text does.
+
+Entities that the same documents hold have the same counts with every term, and so have such terms; so
+pairs are counted between classes of both, which are told apart by two 64-bit hashes of their documents.
 
 Offsets are code points, ends exclusive.  Matches of a kind are leftmost and do not overlap; kinds may.
 Terms (three letters or more, any case) that overlap an entity are left to it.
 
-Defined results: a null text is empty and has no spans.  Rows with the same id are one document to the
-counts, and share their added spans; rows with a null id have entities but no added spans.  Extra columns are
-ignored by ``find_personal_data`` and kept by ``sanitise``.
+Defined results: a null text is empty and has no spans.  Rows with the same id but different texts are
+different documents; rows with a null id have entities but are not counted and get no added spans.  Extra
+columns are ignored by ``find_personal_data`` and kept by ``sanitise``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import spread_join
 from .runs import stage
 
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-WINDOW = 160
-MIN_CONTEXTS = 3
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -107,89 +109,107 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[F.coalesce(k, none) for k in kinds]))
 
 
-def _contexts(text: Column, span: Column) -> Column:
-    """What stands on the line within WINDOW code points of the span, before and after, in whole words."""
-    before = F.substring(text, F.greatest(span["start"] - WINDOW, F.lit(0)) + 1, F.least(span["start"], F.lit(WINDOW)))
-    before = F.substring_index(before, "\n", -1)
-    whole = F.char_length(before) < WINDOW
-    before = F.when(whole, before).otherwise(F.regexp_replace(before, r"^\p{L}+", ""))
-    after = F.substring_index(F.substring(text, span["end"] + 1, F.lit(WINDOW)), "\n", 1)
-    after = F.when(F.char_length(after) < WINDOW, after).otherwise(F.regexp_replace(after, r"\p{L}+$", ""))
-    return F.struct(before.alias("before"), after.alias("after"))
+def _classes(rows: DataFrame, key: str, n: str, one: str, two: str) -> DataFrame:
+    """Each ``key`` with the number of its documents, and their hashes."""
+    return rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias(n),
+        F.bit_xor(F.xxhash64("uid")).alias(one),
+        F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias(two),
+    )
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, spans, added`` per row of ``docs``: spans of entities, and of the terms that reveal them.
+def _revealing(holding: DataFrame, terms: DataFrame, total: float) -> DataFrame:
+    """``uid, term, action``: the terms of each of the documents ``holding`` entities that reveal one of them.
 
-    A span is (start, kind, end, value), kinds as in KINDS; of an added one the value is its action,
-    ``generalise`` or ``remove``.
+    ``terms`` has the terms of all documents, ``total`` is their number.
     """
-    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    spans = texts.withColumn("spans", base_spans(F.col("text")))
-    around = F.transform("spans", lambda s: F.struct(s.alias("span"), _contexts(F.col("text"), s).alias("context")))
-    found = stage(spans.select("id", "spans", F.when(F.size("spans") > 0, around).alias("around")), "entities")
-
-    entity = F.concat(F.col("e.span.kind").cast("string"), F.lit(":"), F.lower("e.span.value"))
-    near = found.filter(F.col("id").isNotNull()).select("id", F.col("spans"), F.explode("around").alias("e"))
-    near = near.select("id", "spans", entity.alias("entity"), "e.span", "e.context")
-    words = F.flatten(F.array(*[F.regexp_extract_all(F.col(f"context.{side}"), F.lit(_TERM), F.lit(0)) for side in ("before", "after")]))
-    pairs = (
-        near.select("id", "entity", F.xxhash64("context.before", "context.after").alias("context"), F.explode(words).alias("term"))
-        .withColumn("term", F.lower("term"))
-        # per document and context first, so that neither an entity nor a term gathers in one task
-        .groupBy("entity", "term", "context", "id")
-        .agg(F.lit(1).alias("one"))
-    )
-    joint = (
-        pairs.groupBy("entity", "term")
-        .agg(F.countDistinct("id").alias("n_both"), F.countDistinct("context").alias("n_contexts"))
-        .filter(F.least("n_contexts", "n_both") >= MIN_CONTEXTS)
-    )
-    joint = stage(joint.select("entity", "term", "n_both"), "pairs")
-    n_entity = near.groupBy("entity").agg(F.countDistinct("id").alias("n_entity"))
-    terms = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), lambda t: F.lower(t))))
-    n_term = (
-        texts.filter(F.col("id").isNotNull())
-        .select(terms.alias("term"))
-        .join(joint.select("term").distinct(), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n_term"))
-    )
-    total = texts.agg(F.countDistinct("id").cast("double").alias("n")).first()["n"]
-    information = F.log2(F.lit(total) / F.col("n_entity"))
-    told = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
+    entity = F.transform("spans", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"])))
+    entities = holding.select("uid", F.explode(F.array_distinct(entity)).alias("entity"))
+    n_entity = stage(_classes(entities, "entity", "n_e", "e1", "e2"), "entity_classes")
+    most = n_entity.agg(F.max("n_e")).first()[0] or 0
+
+    # PMI / IC >= GENERALISE needs n_t <= N ^ (1 - GENERALISE) * n_e ^ GENERALISE, since n_te <= n_e
+    def may_tell(n_e: Column) -> Column:
+        return F.col("n_t") <= F.pow(F.lit(total), F.lit(1 - GENERALISE)) * F.pow(n_e.cast("double"), F.lit(GENERALISE)) * 1.000001
+
+    at = holding.select("uid", F.explode("terms").alias("term"))
+    n_term = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter(may_tell(F.lit(most)))
+    n_term = stage(n_term.join(_classes(at, "term", "n_held", "t1", "t2"), "term"), "term_classes")
+    at = spread_join(at, n_term.drop("n_held"), ["term"], n_term, "n_held", ["uid"]).filter(F.col("n_t").isNotNull())
+    at = stage(at, "terms")
+    held = spread_join(entities, n_entity, ["entity"], n_entity, "n_e", ["uid"]).select("uid", "n_e", "e1", "e2").distinct()
+    pair = ["n_e", "e1", "e2", "n_t", "t1", "t2"]
+    pairs = held.join(at.select("uid", "n_t", "t1", "t2").distinct(), "uid").filter(may_tell(F.col("n_e")))
+    pairs = stage(pairs.select("uid", *pair), "pairs")
+    information = F.log2(F.lit(total) / F.col("n_e"))
+    told = F.log2(F.col("n_both") * total / (F.col("n_t") * F.col("n_e")))
     disclosed = F.when(information > 0, told / information).otherwise(F.lit(0.0))
-    revealing = (
-        joint.join(n_entity, "entity")
-        .join(n_term, "term")
-        .withColumn("disclosed", disclosed)
+    telling = (
+        pairs.groupBy(*pair)
+        .agg(F.count(F.lit(1)).alias("n_both"))
+        .withColumn("disclosed", F.round(disclosed, 9))
         .filter(F.col("disclosed") >= GENERALISE)
-        .select("entity", "term", F.when(F.col("disclosed") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+        .select(*pair, "n_both", F.when(F.col("disclosed") >= REMOVE, "remove").otherwise("generalise").alias("action"))
     )
+    telling = stage(telling, "telling")
+    met = spread_join(pairs, telling.drop("n_both"), pair, telling, "n_both", ["uid"]).filter(F.col("action").isNotNull())
+    met = met.groupBy("uid", "t1", "t2").agg(F.max("action").alias("action"))  # "remove" comes after "generalise"
+    return at.join(met, ["uid", "t1", "t2"]).select("uid", "term", "action")
 
-    def places(side: str, from_: Column) -> Column:
-        return F.transform(
-            _spans(F.col(f"context.{side}"), _TERM, len(KINDS) - 1),
-            lambda s: F.struct((s["start"] + from_).alias("start"), (s["end"] + from_).alias("end"), F.lower(s["value"]).alias("term")),
-        )
 
-    at = F.concat(places("before", F.col("span.start") - F.char_length("context.before")), places("after", F.col("span.end")))
-    hidden = F.exists("spans", lambda s: (s["start"] < F.col("p.end")) & (s["end"] > F.col("p.start")))
-    added = (
-        near.join(revealing.select("entity").distinct(), "entity", "left_semi")
-        .select("id", "spans", "entity", F.explode(at).alias("p"))
-        .filter(~hidden)
-        .select("id", "entity", F.col("p.term").alias("term"), F.col("p.start").alias("start"), F.col("p.end").alias("end"))
-        .join(revealing, ["entity", "term"])
-        .groupBy("id", "start", "end")
-        .agg(F.max("action").alias("action"))  # "remove" comes after "generalise"
-        .groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end", F.col("action").alias("value")))).alias("added"))
-        .withColumnRenamed("id", "_of")
+def find_personal_data(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000
+) -> DataFrame:
+    """``id, spans, added`` per row of ``docs``: spans of entities, and of the terms that reveal them.
+
+    A span is (start, kind, end, value), kinds as in KINDS; of an added one the value is its action,
+    ``generalise`` or ``remove``.  The numbers of rows that are copies are broadcast if they are at most
+    ``broadcast_rows`` (they are counted), else texts are shuffled to leave copies out.
+    """
+    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), lambda t: F.lower(t)))
+    found = texts.withColumn("spans", base_spans(F.col("text"))).select(
+        F.monotonically_increasing_id().alias("uid"),  # staged, so it stays
+        "id",
+        F.xxhash64("text").alias("d1"),
+        F.xxhash64(F.lit(1), "text").alias("d2"),
+        "spans",
+        F.when(F.col("id").isNotNull(), terms).alias("terms"),
+        F.when(F.size("spans") > 0, F.col("text")).alias("text"),
     )
-    joined = found.select("id", "spans").join(added, F.col("id") == F.col("_of"), "left")
+    found = stage(found, "entities")
+    known = found.filter(F.col("id").isNotNull())
+    copies = known.groupBy("d1", "d2").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("copies"))
+    copies = stage(copies, "copies")
+    total = copies.count()
+    # every text once; of the rows left out only the numbers are moved, unless they are very many
+    spare = known.select("uid", "d1", "d2").join(copies.filter("copies > 1").select("d1", "d2", F.col("uid").alias("first")), ["d1", "d2"])
+    spare = stage(spare.filter(F.col("uid") != F.col("first")).select("uid"), "spare")
+    if spare.count() <= broadcast_rows:
+        spare = F.broadcast(spare)
+    single = known.join(spare, "uid", "left_anti")
+    holding = stage(single.filter(F.size("spans") > 0).select("uid", "spans", "terms", "text"), "holding")
+    revealing = stage(_revealing(holding, single.select(F.explode("terms").alias("term")), max(float(total), 1.0)), "revealing")
+
+    # words of the revealed terms and entities in one row of places, to leave out words that overlap an entity
+    holding = holding.join(revealing.select("uid").distinct(), "uid", "left_semi")
+    words = holding.select("uid", F.explode(_spans(F.col("text"), _TERM, len(KINDS) - 1)).alias("s"))
+    words = words.select("uid", F.lower("s.value").alias("term"), "s.start", "s.end").join(revealing, ["uid", "term"])
+    entities = holding.select("uid", F.explode("spans").alias("s")).select("uid", "s.start", "s.end", F.lit(None).cast("string").alias("action"))
+    places = words.select("uid", "start", "end", "action").unionByName(entities)
+    upto = Window.partitionBy("uid").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    is_entity = F.col("action").isNull()
+    places = places.withColumn("before", F.max(F.when(is_entity, F.col("end"))).over(upto.orderBy("start")))
+    places = places.withColumn("after", F.min(F.when(is_entity, F.col("start"))).over(upto.orderBy(F.desc("start"))))
+    apart = ~is_entity & (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", "end") >= F.col("end"))
+    span = F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end", F.col("action").alias("value"))
+    added = places.filter(apart).groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("added"))
+    added = copies.join(added, "uid").select("d1", "d2", "added")
+
+    holders = found.select("id", "uid", "d1", "d2", "spans")
+    joined = spread_join(holders, added, ["d1", "d2"], copies, "copies", ["uid"])
     none = F.array().cast(f"array<{_SPAN}>")
-    return joined.select("id", "spans", F.coalesce("added", none).alias("added"))
+    return joined.select("id", "spans", F.when(F.col("id").isNotNull() & F.col("added").isNotNull(), F.col("added")).otherwise(none).alias("added"))
 
 
 def listed(spans: Column) -> Column:

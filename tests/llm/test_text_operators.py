@@ -176,6 +176,26 @@ def test_revealing_terms(frame):
     assert pii.find_personal_data(frame([])).collect() == []
 
 
+def test_terms_of_rare_entities(frame):
+    """Entities of one and two documents, terms on other lines, and copies that prove no more than one text."""
+    card = "Name: Xanthippe\n\nPhone: +46 70 123 45 67\n" + "common filler\n" * 40 + "Yours, xanthippe"
+    rows = [(1, card), (2, "Call Ondine.\nOffice\n\nMail: o@corp.example"), (3, "From Ondine again\n\no@corp.example, Phone Mail"), (4, card), (None, card)]
+    rows += [(i, f"common filler Name Phone Mail Yours Call Office From again {prose(i, 9)}") for i in range(10, 60)]
+    for bound in (10**6, 0):  # copies broadcast, and shuffled
+        got = pii.find_personal_data(frame(rows), broadcast_rows=bound).collect()
+        found = {r.id: ([s.start for s in r.spans], [(s.start, s.end, s.value) for s in r.added]) for r in got}
+        check_rare(found, card, rows)
+
+
+def check_rare(found, card, rows):
+    def terms(i, text):
+        return [(text[a:b], action) for a, b, action in found[i][1]]
+
+    assert terms(1, card) == terms(4, card) == [("Xanthippe", "remove"), ("xanthippe", "remove")]
+    assert terms(2, rows[1][1]) == [("Ondine", "remove")] and terms(3, rows[2][1]) == [("Ondine", "remove")]
+    assert len(found[None][0]) == 1 and not found[None][1] and not any(found[i][1] for i in range(10, 60))
+
+
 # --- set joins --------------------------------------------------------------------------------------
 def similar(texts, n, num, den):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
