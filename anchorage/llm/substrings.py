@@ -1,8 +1,7 @@
 r"""Substring dedup: Rabin-Karp hashes of every window of n words, counted in Spark.
 
 Each task hashes all windows of its texts and deals them by hash to ``partitions`` buckets, packed: of a
-window there are 7 bytes of hash (the bucket gives more bits), and its place among the task's words as a
-difference.  A bucket sees every occurrence of its windows, so it knows the smallest document of each;
+window there is what the bucket leaves open of its hash, and its place among the task's words as a difference.  A bucket sees every occurrence of its windows, so it knows the smallest document of each;
 occurrences in other documents go back to the chunk of texts that sent them, packed.  There a document's
 windows merge into maximal removal intervals.
 
@@ -10,8 +9,8 @@ A window with a third of all occurrences is not a hot key: a task sends a window
 arrays, and a bucket handles arrays.  Buckets are as many as the session's shuffle partitions, so what one
 task holds (some 30 bytes a window) is set by that, as for any sort.
 
-Words are ``[^\x20\x09-\x0D]+``.  Windows are compared by a hash of 56 bits and the bucket, which is taken
-from other bits of a 64-bit hash, through a bijection; so it is of 56 + log2(partitions) bits, 64 at most.
+Words are ``[^\x20\x09-\x0D]+``.  Windows are compared by all 64 bits of a hash: the bucket is the remainder by
+``partitions``, and the quotient is what is packed, in 8 bytes, or 7 from 256 partitions on.
 
 Defined results: null and empty texts have no words.  Documents with fewer words than a window lose
 nothing.  Rows with the same id count as one document: they don't take words from each other.  Rows with a
@@ -35,8 +34,17 @@ from .bytesets import Words, slices, text_buffers
 _FLUSH = 2_000_000
 
 
-def _pack(hashes: np.ndarray, places: np.ndarray, ids: np.ndarray, words: np.ndarray) -> bytes:
-    """One bucket's part of a task: hashes, gaps between places, and the documents (ids, word counts) that occur."""
+def _split(hashes: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, rest) of each hash; both together are the hash."""
+    return hashes % np.uint64(partitions), hashes // np.uint64(partitions)
+
+
+def _rest_bytes(partitions: int) -> int:
+    return -(-((2**64 - 1) // partitions).bit_length() // 8)
+
+
+def _pack(width: int, rests: np.ndarray, places: np.ndarray, ids: np.ndarray, words: np.ndarray) -> bytes:
+    """One bucket's part of a task: ``width`` bytes of each hash's rest, gaps between places, and the documents (ids, word counts) that occur."""
     of = np.searchsorted(np.cumsum(words), places, "right")
     used, counts = np.unique(of, return_counts=True)
     begins = (np.cumsum(words) - words)[used]
@@ -46,16 +54,14 @@ def _pack(hashes: np.ndarray, places: np.ndarray, ids: np.ndarray, words: np.nda
     gaps[firsts] = within[firsts]
     small = np.minimum(gaps, 65535).astype("<u2")
     large = gaps[gaps >= 65535].astype("<u4")
-    head = np.array([len(hashes), len(used), len(large)], "<u4")
+    head = np.array([len(rests), len(used), len(large), width], "<u4")
     return b"".join(
         x.tobytes()
         for x in (
             head,
             ids[used].astype("<i8"),
             counts.astype("<u4"),
-            (hashes & np.uint64(0xFFFFFFFF)).astype("<u4"),
-            (hashes >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2"),
-            (hashes >> np.uint64(48) & np.uint64(0xFF)).astype("u1"),
+            rests.astype("<u8").view("u1").reshape(-1, 8)[:, :width],
             small,
             large,
         )
@@ -63,9 +69,9 @@ def _pack(hashes: np.ndarray, places: np.ndarray, ids: np.ndarray, words: np.nda
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document id, first word) of each window."""
-    n, used, n_large = np.frombuffer(packed, "<u4", 3).tolist()
-    at = 12
+    """(rest of the hash, document id, first word) of each window."""
+    n, used, n_large, width = np.frombuffer(packed, "<u4", 4).tolist()
+    at = 16
 
     def take(kind: str, count: int) -> np.ndarray:
         nonlocal at
@@ -74,13 +80,13 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return got
 
     ids, counts = take("<i8", used), take("<u4", used).astype(np.int64)
-    hashes = take("<u4", n).astype(np.uint64) | take("<u2", n).astype(np.uint64) << np.uint64(32)
-    hashes |= take("u1", n).astype(np.uint64) << np.uint64(48)
+    rests = np.zeros((n, 8), "u1")
+    rests[:, :width] = take("u1", n * width).reshape(n, width)
     gaps = take("<u2", n).astype(np.int64)
     gaps[gaps == 65535] = take("<u4", n_large)
     firsts = np.cumsum(counts) - counts
     sums = np.cumsum(gaps)
-    return hashes, np.repeat(ids, counts), sums - np.repeat(sums[firsts] - gaps[firsts], counts)
+    return rests.view("<u8").ravel(), np.repeat(ids, counts), sums - np.repeat(sums[firsts] - gaps[firsts], counts)
 
 
 def _windows(n: int, partitions: int):
@@ -97,13 +103,13 @@ def _windows(n: int, partitions: int):
             base += int(w.sum())
         hashes, places = np.concatenate(hashes), np.concatenate(places)
         ids, words = np.concatenate(ids), np.concatenate(words)
-        bucket = (hashes >> np.uint64(40)) % np.uint64(partitions)
+        bucket, rests = _split(hashes, partitions)
         order = np.argsort(bucket.astype(np.int32), kind="stable")
         ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=partitions))
         for b in range(partitions):
             chosen = order[ends[b - 1] if b else 0 : ends[b]]
             if len(chosen):
-                packed = _pack(hashes[chosen], places[chosen], ids, words)
+                packed = _pack(_rest_bytes(partitions), rests[chosen], places[chosen], ids, words)
                 row = [pa.array([b], pa.int32()), pa.array([chunk], pa.int64()), pa.array([packed], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, names=["bucket", "chunk", "packed"])
 

@@ -4,12 +4,13 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from anchorage.llm.exact import DigestIndex, exact_duplicates, keep_distinct
 from anchorage.llm.induced import repeats, suffix_array
 from anchorage.llm.lines import LineRuns, drop_repeated_lines
-from anchorage.llm.substrings import drop_repeated_substrings
+from anchorage.llm.substrings import _pack, _rest_bytes, _split, _unpack, drop_repeated_substrings
 from anchorage.llm.suffixes import drop_repeated_bytes
 from llm_samples import prose
 
@@ -108,6 +109,17 @@ def test_substrings(docs):
         assert all(a.end < b.first for a, b in zip(r.intervals, r.intervals[1:]))
 
 
+@pytest.mark.parametrize("partitions", [1, 12, 48, 64, 200, 256, 3000, 1 << 17])
+def test_window_hashes_are_compared_whole(partitions):
+    """Hashes that differ in their first byte only, and others, stay apart by what a bucket and its rows hold."""
+    hashes = np.random.default_rng(1).integers(0, 2**64, 50, np.uint64)
+    hashes = np.concatenate([hashes ^ np.uint64(k << 56) for k in range(256)])
+    bucket, rests = _split(hashes, partitions)
+    back, ids, words = _unpack(_pack(_rest_bytes(partitions), rests, np.arange(len(rests)), np.array([7, 8]), np.array([100, len(rests)])))
+    assert (back.astype(object) * partitions + bucket == hashes).all() and len(set(zip(bucket.tolist(), back.tolist()))) == len(hashes)
+    assert ids.tolist() == [7] * 100 + [8] * (len(rests) - 100) and words[:3].tolist() == [0, 1, 2] and words[100] == 0
+
+
 def test_bytes(docs):
     texts = [(i, (t or "").encode()) for i, t in ROWS]
     seen = Counter(raw[k : k + 400] for i, raw in texts if i is not None for k in range(len(raw) - 399))
