@@ -3,11 +3,14 @@ r"""Benchmark decontamination by template windows, in DataFrame functions only.
 Texts and benchmark items are canonicalised alike: numbers, names and units become typed placeholders, the
 rest is lower-cased and freed of punctuation at word ends.  Windows of ``n`` template words are hashed and
 joined, so a question with other numbers or names still meets its template.  Windows on one diagonal (the
-same offset between text and item) belong to one occurrence.  An occurrence counts if it covers
-``min_share`` of the item's windows and its slots are consistent: one item value always stands for one
-value of the text.
-
-A name is a capitalised word within a sentence (not one all in capitals), a unit a word of ``UNITS`` after a number.  Windows with
+same offset between text and item) belong to one occurrence; so do those on diagonals that follow each other
+by at most half an item's length, where words were put in or left out.  An occurrence counts if it covers
+``min_share`` of the item's windows, or ``min_run`` of them in a row on one diagonal, and its slots are
+consistent: one item value always stands for one value of the text (of which a longer run of names may be a
+part).  Diagonals count together and each by itself.
+
+A name is a run of capitalised words (not all in capitals, and not in ``COMMON``), also where a sentence
+begins; the run is one word of the template.  A unit is a word of ``UNITS`` after a number.  Windows with
 fewer than ``min_literals`` words that are no placeholder say too little and are left out.
 
 The benchmark's windows are broadcast if they are at most ``broadcast_rows`` (they are counted), else both
@@ -20,7 +23,7 @@ columns, also of the same name on both sides, are ignored by ``contaminated`` an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Own choice of common units, as they follow a number.
@@ -28,10 +31,21 @@ UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hrs ms h
 UNITS += " meters metres kilometers kilometres miles feet inches grams kilograms pounds liters litres seconds minutes"
 UNITS += " hours days weeks months years degrees percent dollars euros cents"
 
+#: Words that are no names where they begin a sentence.
+COMMON = "a about after all also an and any are as at be because before both but by can could did do does during each every"
+COMMON += " few find first for from given had has have he her here his how if in into is it its let many may more most much"
+COMMON += " must my no not now of on once one only or other our she should since so some such than that the their them then"
+COMMON += " there these they this those though through to two under until was we were what when where which while who whom"
+COMMON += " whose why will with within would yet you your"
+
 _SLOT = "\u0001"
+#: Between the words of one name.
+_JOIN = "\u0002"
 _NUMBER = r"(?<!\S)[+\-$€£(]*[0-9][0-9.,:/]*[%°)]*[.,;:!?]*(?!\S)"
 _UNIT = rf"(?<={_SLOT}num )(?i:{'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])"
-_NAME = r"(?<=[^\s.!?:|][ \t])\p{Lu}[\p{Ll}'’-][\p{L}\p{N}'’-]*(?![\p{L}\p{N}])"
+_NAME_WORD = rf"(?=\p{{Lu}}[\p{{Ll}}'’-])(?<![\p{{L}}\p{{N}}'’-])(?!(?i:{'|'.join(COMMON.split())})(?![\p{{L}}\p{{N}}'’-]))[\p{{L}}\p{{N}}'’-]++"
+_NAME = rf"{_NAME_WORD}(?:{_JOIN}{_NAME_WORD})*+"
+_NAME_GAP = rf"({_NAME_WORD})[ \t]++(?={_NAME_WORD})"
 _ENDS = r"(?<=[^\s\p{Punct}])\p{Punct}+(?!\S)|(?<!\S)\p{Punct}+(?=[^\s\p{Punct}])"
 
 
@@ -40,9 +54,13 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+", -1), lambda w: w != "")
 
 
+def joined_names(text: Column) -> Column:
+    """``text`` with U+0002 between the words of a name, so that a name is one word; it holds no U+0001."""
+    return F.regexp_replace(F.translate(text, _SLOT + _JOIN, "  "), _NAME_GAP, f"$1{_JOIN}")
+
+
 def template(text: Column) -> Column:
-    """The template words of ``text``, as many as it has words; placeholders begin with U+0001."""
-    text = F.translate(text, _SLOT, " ")
+    """The template words of a text of ``joined_names``, as many as it has words; placeholders begin with U+0001."""
     text = F.regexp_replace(text, _NUMBER, f"{_SLOT}num")
     text = F.regexp_replace(text, _UNIT, f"{_SLOT}unit")
     text = F.regexp_replace(text, _NAME, f"{_SLOT}name")
@@ -59,8 +77,22 @@ def _windows(frame: DataFrame, n: int) -> DataFrame:
     return frame.select("id", "words", F.posexplode(hashes).alias("at", "window"))
 
 
+def _consistent(slots: Column) -> Column:
+    """Whether no item value stands for two text values, but for a run of names that goes on at one end."""
+
+    def longer(a: Column, b: Column) -> Column:
+        return a.startswith(F.concat(b, F.lit(_JOIN))) | a.endswith(F.concat(F.lit(_JOIN), b))
+
+    def agree(s: Column, t: Column) -> Column:
+        a, b = s["text"], t["text"]
+        return (s["item"] != t["item"]) | (a == b) | longer(a, b) | longer(b, a)
+
+    single = F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda s: s["item"])))
+    return single | F.forall(slots, lambda s: F.forall(slots, lambda t: agree(s, t)))
+
+
 def _prepared(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    chosen = frame.select(frame[id_col].alias("id"), F.translate(frame[text_col], _SLOT, " ").alias("text"))
+    chosen = frame.select(frame[id_col].alias("id"), joined_names(frame[text_col]).alias("text"))
     return chosen.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
 
 
@@ -74,6 +106,7 @@ def contaminated(
     n: int = 8,
     min_share: float = 0.5,
     min_literals: int = 4,
+    min_run: int = 13,
     broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """``id, item_id, n_matched, n_windows``: the items whose template each document holds."""
@@ -89,6 +122,8 @@ def contaminated(
         .select(
             F.col("id").alias("item_id"),
             F.col("at").alias("item_at"),
+            F.dense_rank().over(Window.partitionBy("id").orderBy("at")).alias("item_rank"),
+            F.size("tokens").alias("item_size"),
             "window",
             F.slice("words", F.col("at") + 1, n).alias("item_words"),
             F.slice("tokens", F.col("at") + 1, n).alias("item_tokens"),
@@ -106,17 +141,29 @@ def contaminated(
         lambda s: s["token"].startswith(_SLOT),
     )
     met = _windows(texts, n).join(wanted, "window").select(
-        "id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", slots.alias("slots")
+        "id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_rank", "item_size", slots.alias("slots")
     )
-    occurrences = met.groupBy("id", "item_id", "diagonal").agg(
-        F.countDistinct("item_at").alias("n_matched"),
+    together = [F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in ("ranks", "slots")]
+    single = met.groupBy("id", "item_id", "diagonal").agg(
+        F.array_sort(F.collect_set("item_rank")).alias("ranks"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+        F.max("item_size").alias("item_size"),
     )
-    values = F.transform("slots", lambda s: s["item"])
+    # diagonals that follow each other closely
+    along = Window.partitionBy("id", "item_id").orderBy("diagonal")
+    far = F.col("diagonal") - F.lag("diagonal").over(along) > F.greatest(F.col("item_size") / 2, F.lit(n))
+    near = single.withColumn("far", F.coalesce(far, F.lit(True)).cast("bigint")).withColumn("cluster", F.sum("far").over(along))
+    near = near.groupBy("id", "item_id", "cluster").agg(*together, F.count(F.lit(1)).alias("diagonals")).filter("diagonals > 1")
+    last = F.size("ranks") - min_run
+    steps = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    in_a_row = F.exists(steps, lambda i: F.get("ranks", i + (min_run - 1)) - F.get("ranks", i) == min_run - 1)
+    occurrences = single.select("id", "item_id", "ranks", "slots", in_a_row.alias("run"))
+    occurrences = occurrences.unionByName(near.select("id", "item_id", "ranks", "slots", F.lit(False).alias("run")))
     return (
-        occurrences.filter(F.size("slots") == F.size(F.array_distinct(values)))
+        occurrences.withColumn("n_matched", F.size("ranks").cast("bigint"))
         .join(sizes, "item_id")
-        .filter(F.col("n_matched") >= min_share * F.col("n_windows"))
+        .filter(F.col("run") | (F.col("n_matched") >= min_share * F.col("n_windows")))
+        .filter(_consistent(F.col("slots")))
         .groupBy("id", "item_id")
         .agg(F.max("n_matched").alias("n_matched"), F.max("n_windows").alias("n_windows"))
     )

@@ -129,6 +129,32 @@ def test_templates(frame, spark):
     assert contaminated(frame([]), items).collect() == [] and contaminated(docs, items.limit(0)).collect() == []
 
 
+def test_leaks_with_shifts_names_and_long_runs(frame, spark):
+    words = prose(70, 38).split()
+    story = (
+        "Anna buys 12 red apples at the old market near the river. Anna gives 5 of them to her friend Bo before lunch. "
+        "Anna then eats 2 apples and puts the rest of the apples into a basket. How many apples does Anna have left now?"
+    )
+    long = prose(80, 60).split()
+    table = [(1, " ".join(words)), (2, story), (3, " ".join(long))]
+    items = spark.createDataFrame(table, "item_id bigint, text string")
+    around = prose(90, 30), prose(91, 30)
+    rows = [
+        (1, f"{around[0]} {' '.join(words[:19])} inserted {' '.join(words[19:])} {around[1]}"),
+        (2, f"{around[0]} {' '.join(words[:19] + words[20:])} {around[1]}"),
+        (3, f"{around[0]} {story.replace('Anna', 'Mary Jane').replace('12', '30')} {around[1]}"),
+        (4, f"Question {story.replace('Anna', 'Olga')} {around[1]}"),
+        (5, f"{around[0]} {' '.join(long[20:40])} {around[1]}"),
+        (6, f"{around[0]} {' '.join(long[20:35])} {around[1]}"),  # neither half of the item nor a long run
+        (7, f"{around[0]} {story.replace('Anna gives', 'Olga gives')} {around[1]}"),  # Anna is two people
+    ]
+    for bound in (10**6, 0):
+        got = contaminated(frame(rows), items, broadcast_rows=bound).collect()
+        assert sorted((r.id, r.item_id) for r in got) == [(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)]
+    assert {(r.id, r.n_matched, r.n_windows) for r in got if r.item_id == 1} == {(1, 24, 31), (2, 23, 31)}
+    assert {(r.n_matched, r.n_windows) for r in got if r.id == 5} == {(13, 53)}
+
+
 # --- personal data ----------------------------------------------------------------------------------
 PATTERNS = [
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
