@@ -1,4 +1,4 @@
-"""Suffix sorting by recursive induction with common-prefix values, for shards that may exceed memory.
+"""Suffix sorting by recursive induction with common-prefix values, in memory but for long queues.
 
 A suffix is of type S if it is less than the one to its right, else L; an S suffix right of an L one is a
 seed.  Substrings between seeds are named in order; unless all names differ, the string of names is sorted by

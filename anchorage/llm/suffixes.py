@@ -11,7 +11,7 @@ Bytes covered by a string of ``length`` bytes that also starts somewhere else ar
    grouped again by all that the windows of a part have in common; so edges of a passage that very many texts
    share don't meet in one group.
 2. What is left goes to shards by group, and each shard is suffix-sorted by ``induced.repeats`` with
-   common-prefix values and disk-backed priority queues, so a shard may be larger than memory.
+   common-prefix values.  A shard is sorted in memory; only long queues go to disk.
 3. What is repeated goes back to all occurrences, and per document the windows merge into maximal runs.
 
 Defined results: a null text is empty.  Texts shorter than ``length`` lose nothing.  Rows with the same id
