@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,13 +88,52 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             start = end
 
 
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word that are mixed in steps of eight; what is longer gets a digest.
+_STEPWISE = 64
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: eight bytes a step, each step through ``mix``, so not linear in the text."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(BASES[0]))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    # an unaligned view: entry i is the eight bytes from byte i on
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    at = np.flatnonzero((size > 0) & (size <= _STEPWISE))
+    for step in range(0, _STEPWISE, 8):
+        if not len(at):
+            break
+        chunk = eight[starts[at] + step] & _KEEP[np.minimum(size[at] - step, 8)]
+        out[at] = mix((out[at] ^ chunk) * np.uint64(BASES[1]) + np.uint64(step + 1))
+        at = at[size[at] > step + 8]
+    for i in np.flatnonzero(size > _STEPWISE):
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = np.frombuffer(digest, "<u8")[0]
+    return out
+
+
+def hash_runs(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray | int, most: int) -> np.ndarray:
+    """Hashes of runs of up to ``most`` hashes, one after the other through ``mix``; ``counts`` are their lengths."""
+    counts = np.broadcast_to(np.asarray(counts), starts.shape)
+    out = mix(counts.astype(np.uint64) + np.uint64(BASES[1]))
+    for step in range(most):
+        if counts.size and counts.min() > step:
+            out = mix((out ^ hashes[starts + step]) * np.uint64(BASES[0]) + np.uint64(step + 1))
+        else:
+            at = np.flatnonzero(counts > step)
+            out[at] = mix((out[at] ^ hashes[starts[at] + step]) * np.uint64(BASES[0]) + np.uint64(step + 1))
+    return out
+
+
 class Words:
-    r"""The words ``[^\x20\x09-\x0D]+`` of a batch: ``starts``, ``ends`` in bytes and ``doc``, the row of each."""
+    r"""The words of a batch, by default ``[^\x20\x09-\x0D]+``: ``starts``, ``ends`` in bytes and ``doc``, the row of each."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR):
         self.data, self.offsets = data, offsets
         n = len(data)
-        inside = ~SEPARATOR[data]
+        inside = ~separator[data]
         first = np.zeros(n + 1, bool)  # a text begins here, so that words never cross texts
         first[offsets] = True
         before = np.zeros(n, bool)
@@ -110,12 +150,12 @@ class Words:
         return len(self.starts)
 
     def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
-        return mix(SpanHash(byte_codes(self.data if data is None else data), BASES[0]).of(self.starts, self.ends))
+        return hash_spans(self.data if data is None else data, self.starts, self.ends)
 
     def windows(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the n words from each word on, whether they are in one text)."""
         if len(self) < n:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
         at = np.arange(len(self) - n + 1)
-        return mix(SpanHash(hashes, BASES[1]).of(at, at + n)), self.doc[: len(at)] == self.doc[n - 1 :]
+        return hash_runs(hashes, at, n, n), self.doc[: len(at)] == self.doc[n - 1 :]
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import spread_join
-from .bytesets import BASES, LOWER, SpanHash, Words, mix, slices, text_buffers
+from .bytesets import BASES, LOWER, Words, hash_runs, mix, slices, text_buffers
 from .components import components
 from .runs import stage
 
@@ -47,14 +47,13 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_buffers(column)
     words = Words(data, offsets)
     hashes = words.hashes(LOWER[data])
-    spans = SpanHash(hashes, BASES[1])
     size = np.diff(words.bounds)
     starts = np.flatnonzero(np.arange(len(words)) + n <= words.bounds[1:][words.doc]) if len(words) else np.zeros(0, np.int64)
     short = np.flatnonzero((size > 0) & (size < n))
     begins = np.concatenate([starts, words.bounds[short]])
-    ends = np.concatenate([starts + n, words.bounds[short] + size[short]])
+    lengths = np.concatenate([np.full(len(starts), n), size[short]])
     rows = np.concatenate([words.doc[starts], short])
-    shingles = mix(spans.of(begins, ends))
+    shingles = hash_runs(hashes, begins, lengths, n)
     order = np.lexsort((shingles, rows))
     rows, shingles = rows[order], shingles[order]
     new = np.ones(len(rows), bool)

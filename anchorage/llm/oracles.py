@@ -43,4 +43,39 @@ ORACLES = {
                sha256(coalesce(k.body, '')) AS kept_sha256
         FROM texts t LEFT JOIN kept k USING (doc_id)
     """,
+    "op12_lexical_search": r"""
+        WITH pattern AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS p),
+        docs AS (
+            SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p) AS ts
+            FROM documents, pattern
+        ),
+        total AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM docs WHERE len(ts) > 0),
+        items AS (
+            SELECT item_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p)) AS term
+            FROM benchmark, pattern
+        ),
+        wanted AS (SELECT item_id, term, count(*) AS times FROM items GROUP BY ALL),
+        words AS (SELECT row, doc_id, len(ts) AS n, unnest(ts) AS term FROM docs),
+        counted AS (
+            SELECT row, doc_id, n, term, count(*) AS tf FROM words
+            WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+        ),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM counted, total GROUP BY term, n_docs
+        ),
+        scored AS (
+            SELECT item_id, row, doc_id, sum(times * w
+                * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM wanted JOIN weights USING (term) JOIN counted USING (term), total
+            GROUP BY item_id, row, doc_id
+        ),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+            FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
 }

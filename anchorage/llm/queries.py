@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from .bpe import round_trip
+from .conversations import damaged, digests, plan_edits, repaired_rows
 from .decontamination import contaminated
 from .exact import exact_duplicates
 from .jaccard import similar_sets
 from .lines import drop_repeated_lines
 from .pii import KINDS, find_personal_data, listed
 from .quality import fit_quality, score_quality
+from .search import rank_documents
+from .sharding import assign_shards
 from .substrings import drop_repeated_substrings
 from .suffixes import drop_repeated_bytes
 from .toxicity import fit_toxicity, score_toxicity
@@ -102,6 +105,31 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    rows = damaged(conversations)
+    edits = plan_edits(rows, dropped="dropped")
+    texts = digests(repaired_rows(rows, edits, dropped="dropped")).withColumnRenamed("conv", "of")
+    id_type = conversations.schema["conv_id"].dataType
+    return edits.join(texts, edits["conv"].eqNullSafe(texts["of"]), "left").select(
+        F.col("conv").cast(id_type).alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+    return ranked.withColumnRenamed("query_id", "item_id")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = assign_shards(_table(spark, sf_dir, "documents"), shards=40)
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -113,4 +141,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_sharding": op13_sharding,
 }
