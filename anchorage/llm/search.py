@@ -50,7 +50,7 @@ TERM_BREAKS[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(
 TERMS_PER_ROUND = 20_000
 #: Documents of a segment, and cells (documents x terms) that it may have.
 SEGMENT_DOCS = 4096
-SEGMENT_CELLS = 8 << 20
+SEGMENT_CELLS = 4 << 20
 #: Postings of a block; lists of at most so many have no summary.
 BLOCK = 64
 SHORT_LIST = 16
@@ -59,6 +59,10 @@ _FORWARD = "doc_id bigint, n bigint, terms binary, tfs binary"
 _SEGMENT = "docs binary, firsts binary, terms binary, impacts binary, lists binary, posted binary, blocks binary, step bigint, summaries binary"
 
 
+#: Summaries are mostly zeros and small numbers; packed, a segment is a row of a megabyte or so.
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
 class Vocabulary:
     """The distinct terms of some queries, found in texts by hash and compared by bytes."""
 
@@ -253,7 +257,7 @@ def _segment(held: list[pa.RecordBatch], size: int, stats: Statistics) -> pa.Rec
     binary = [pa.array([c.tobytes()], pa.binary()) for c in columns]
     names = [part.split()[0] for part in _SEGMENT.split(", ")]
     return pa.RecordBatch.from_arrays(
-        [*binary, pa.array([step], pa.int64()), pa.array([summaries.tobytes()], pa.binary())], names=names
+        [*binary, pa.array([step], pa.int64()), pa.array([_CODEC.compress(summaries, asbytes=True)], pa.binary())], names=names
     )
 
 
@@ -284,7 +288,8 @@ class Segment:
         self.docs, self.firsts, self.lists, self.blocks = (np.frombuffer(row[c], "<i8") for c in ("docs", "firsts", "lists", "blocks"))
         self.terms, self.impacts, self.posted = (np.frombuffer(row[c], "<i4") for c in ("terms", "impacts", "posted"))
         self.step = row["step"]
-        self.summaries = np.frombuffer(row["summaries"], np.uint8).reshape(-1, size)
+        packed = _CODEC.decompress(row["summaries"], int(self.blocks[-1]) * size)
+        self.summaries = np.frombuffer(packed, np.uint8).reshape(-1, size)
         # the largest impact of each list, for the choice of lists
         self.largest = np.zeros(size, np.int64)
         np.maximum.at(self.largest, self.terms, self.impacts)
