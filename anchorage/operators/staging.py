@@ -65,8 +65,8 @@ def staging(spark: SparkSession) -> Iterator[None]:
             delete(spark, path.rsplit("/", 1)[0])
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet (with the writer's ``options``) below ``spark.checkpoint.dir`` and read it back.
 
     Unlike a cached frame it survives the loss of executors, and unlike a checkpoint it is columnar:
     each later step reads only its own columns.  The files go at the end of a ``staging`` block, or
@@ -74,5 +74,5 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
