@@ -13,13 +13,13 @@ def default_buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """As ``staging.stage``, for jobs of many steps over large tables.
 
     The shuffle files of a step go once the driver's JVM collects its plan; it is asked to, or the disks
     would keep the shuffles of all steps.
     """
-    staged = staging.stage(df, name)
+    staged = staging.stage(df, name, **options)
     df.sparkSession._jvm.System.gc()
     return staged
 

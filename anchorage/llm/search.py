@@ -59,8 +59,25 @@ _FORWARD = "doc_id bigint, n bigint, terms binary, tfs binary"
 _SEGMENT = "docs binary, firsts binary, terms binary, impacts binary, lists binary, posted binary, blocks binary, step bigint, summaries binary"
 
 
-#: Summaries are mostly zeros and small numbers; packed, a segment is a row of a megabyte or so.
 _CODEC = pa.Codec("zstd", compression_level=1)
+#: Rows of some megabytes, packed already: Parquet writes each as it comes, instead of a hundred at a time.
+_LARGE_ROWS = {
+    "compression": "uncompressed",
+    "parquet.block.size": str(16 << 20),
+    "parquet.page.size.row.check.min": "1",
+    "parquet.block.size.row.check.min": "1",
+    "parquet.enable.dictionary": "false",
+}
+
+
+def _packed(array: np.ndarray) -> bytes:
+    """An array's size in bytes, and its bytes compressed: summaries are mostly zeros and small numbers."""
+    return array.nbytes.to_bytes(8, "little") + _CODEC.compress(np.ascontiguousarray(array), asbytes=True)
+
+
+def _unpacked(packed: bytes, kind: str) -> np.ndarray:
+    data = _CODEC.decompress(memoryview(packed)[8:], int.from_bytes(packed[:8], "little"))
+    return np.frombuffer(data, kind)
 
 
 class Vocabulary:
@@ -151,7 +168,7 @@ def query_blocks(queries: DataFrame, id_col: str, text_col: str, terms_per_round
 
 def _count_terms(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             data, offsets = text_buffers(batch.column(1))
             data = LOWER[data]
             words = Words(data, offsets, TERM_BREAKS)
@@ -254,10 +271,10 @@ def _segment(held: list[pa.RecordBatch], size: int, stats: Statistics) -> pa.Rec
         summaries[at : at + blocks[term]] = cells[padded].reshape(blocks[term], BLOCK, size).max(axis=1)
         at += blocks[term]
     columns = [docs, firsts, terms.astype("<i4"), impacts.astype("<i4"), lists, posted.astype("<i4"), np.concatenate([[0], np.cumsum(blocks)])]
-    binary = [pa.array([c.tobytes()], pa.binary()) for c in columns]
+    binary = [pa.array([_packed(c)], pa.binary()) for c in columns]
     names = [part.split()[0] for part in _SEGMENT.split(", ")]
     return pa.RecordBatch.from_arrays(
-        [*binary, pa.array([step], pa.int64()), pa.array([_CODEC.compress(summaries, asbytes=True)], pa.binary())], names=names
+        [*binary, pa.array([step], pa.int64()), pa.array([_packed(summaries)], pa.binary())], names=names
     )
 
 
@@ -285,11 +302,10 @@ class Segment:
     """One row of the index."""
 
     def __init__(self, row: dict, size: int):
-        self.docs, self.firsts, self.lists, self.blocks = (np.frombuffer(row[c], "<i8") for c in ("docs", "firsts", "lists", "blocks"))
-        self.terms, self.impacts, self.posted = (np.frombuffer(row[c], "<i4") for c in ("terms", "impacts", "posted"))
+        self.docs, self.firsts, self.lists, self.blocks = (_unpacked(row[c], "<i8") for c in ("docs", "firsts", "lists", "blocks"))
+        self.terms, self.impacts, self.posted = (_unpacked(row[c], "<i4") for c in ("terms", "impacts", "posted"))
         self.step = row["step"]
-        packed = _CODEC.decompress(row["summaries"], int(self.blocks[-1]) * size)
-        self.summaries = np.frombuffer(packed, np.uint8).reshape(-1, size)
+        self.summaries = _unpacked(row["summaries"], "u1").reshape(-1, size)
         # the largest impact of each list, for the choice of lists
         self.largest = np.zeros(size, np.int64)
         np.maximum.at(self.largest, self.terms, self.impacts)
@@ -374,7 +390,7 @@ def build_index(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id",
     forward = stage(texts.mapInArrow(_count_terms(vocabulary), _FORWARD), "forward")
     stats = statistics(forward, vocabulary)
     held = forward.filter(F.col("doc_id").isNotNull() & (F.octet_length("terms") > 0))
-    return stage(held.mapInArrow(_segments(vocabulary.size, stats), _SEGMENT), "segments"), stats
+    return stage(held.mapInArrow(_segments(vocabulary.size, stats), _SEGMENT), "segments", **_LARGE_ROWS), stats
 
 
 def _best_of_all(found: DataFrame, k: int) -> DataFrame:
