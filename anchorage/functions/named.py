@@ -18,3 +18,4 @@ def on_columns(fn: Callable[..., Column], *names: str, **options: Any) -> Column
     Python takes a call into the JVM per node, which adds up to seconds for the long expressions.
     """
     return fn(*[F.col(name) for name in names], **options)
+

@@ -30,39 +30,16 @@ def _lenient(text: Column) -> Column:
     )
 
 
-def _text_anchors(text: Column, slug: Callable[[Column], Column]) -> Column:
-    return markdown.let(_lenient(text), lambda t: markdown.anchors(t, slug))
+#: Columns that come and go while documents and responses are parsed.
+_TEXT, _LINKS, _HEADINGS = "_text", "_links", "_headings"
 
 
-def _text_headings(text: Column) -> Column:
-    return markdown.let(_lenient(text), lambda t: markdown.let(markdown.headings(t), markdown.number_repeats))
+def _body_text(media_type: Column, status: Column, content_type: Column, body: Column, error: Column) -> Column:
+    wanted = media_type.isin("text/html", "text/markdown") & status.between(200, 299) & error.isNull()
+    return F.when(wanted, html.decode_body(F.coalesce(body, F.lit(b"")), html.charset_hint(content_type)))
 
 
-def _found_in_body(
-    status: Column, content_type: Column, body: Column, error: Column, slug: Callable[[Column], Column]
-) -> Column:
-    """``struct<media_type, undecodable, anchors>`` of a response."""
-
-    def parse(kind: Column) -> Column:
-        wanted = kind.isin("text/html", "text/markdown") & status.between(200, 299) & error.isNull()
-        text = F.when(
-            wanted, html.decode_body(F.coalesce(body, F.lit(b"")), html.charset_hint(content_type))
-        )
-        return markdown.let(
-            F.struct(text.alias("text")),
-            lambda d: F.struct(
-                kind.alias("media_type"),
-                (wanted & d["text"].isNull()).alias("undecodable"),
-                F.when(kind == "text/html", html.html_anchors(d["text"]))
-                .when(kind == "text/markdown", markdown.anchors(d["text"], slug))
-                .alias("anchors"),
-            ),
-        )
-
-    return markdown.let(html.media_type(content_type), parse)
-
-
-def _links_with_targets(text: Column, path: Column, root: str | None) -> Column:
+def _with_targets(links: Column, path: Column, root: str | None) -> Column:
     def add_target(link: Column, doc_key: Column) -> Column:
         return markdown.let(
             target_of(link["link"], doc_key, root),
@@ -72,10 +49,21 @@ def _links_with_targets(text: Column, path: Column, root: str | None) -> Column:
             ),
         )
 
-    return markdown.let(
-        normalize_path(path),
-        lambda doc_key: F.transform(markdown.links(text), lambda link: add_target(link, doc_key)),
+    return markdown.let(normalize_path(path), lambda doc_key: F.transform(links, lambda link: add_target(link, doc_key)))
+
+
+def _parsed(documents: DataFrame, *kept: Column | str, links: bool = True, headings: bool = True) -> DataFrame:
+    """``kept`` columns with the links and headings of each file; links only where the text is UTF-8.
+
+    A byte order mark is no part of the text.
+    """
+    texts = documents.select(
+        *kept,
+        F.when(_is_file(), on_columns(_lenient, "text")).alias(_TEXT),
+        (_is_file() & F.is_valid_utf8("text")).alias("_source"),
     )
+    parsed = markdown.with_links_and_headings(texts, _TEXT, _LINKS if links else None, _HEADINGS if headings else None)
+    return parsed.drop(_TEXT)
 
 
 def index_documents(
@@ -87,14 +75,14 @@ def index_documents(
 
     This is what a check needs of a document, so a corpus is read once however often it is used.
     """
-    source = _is_file() & F.is_valid_utf8("text")
-    return documents.select(
+    parsed = _parsed(documents, "path", "doc_ord", F.coalesce("is_dir", F.lit(False)).alias("is_dir"), "io_error")
+    return parsed.select(
         "path",
         "doc_ord",
-        F.coalesce("is_dir", F.lit(False)).alias("is_dir"),
+        "is_dir",
         "io_error",
-        F.when(source, on_columns(_links_with_targets, "text", "path", root=root)).alias("links"),
-        F.when(_is_file(), on_columns(_text_anchors, "text", slug=slug)).alias("anchors"),
+        F.when(F.col("_source"), on_columns(_with_targets, _LINKS, "path", root=root)).alias("links"),
+        on_columns(markdown.anchors, _HEADINGS, slug=slug).alias("anchors"),
     )
 
 
@@ -116,11 +104,8 @@ def targets_of(index: DataFrame) -> DataFrame:
 
 def extract_links(documents: DataFrame) -> DataFrame:
     """Every link of every readable Markdown document with the line its text ends on."""
-    rows = _exploded_links(
-        documents.filter(_is_file() & F.is_valid_utf8("text")).select(
-            "path", "doc_ord", on_columns(markdown.links, "text").alias("links")
-        )
-    )
+    sources = documents.filter(_is_file() & F.is_valid_utf8("text"))
+    rows = _exploded_links(_parsed(sources, "path", "doc_ord", headings=False).withColumnRenamed(_LINKS, "links"))
     return conform(
         rows.select("doc_path", "doc_ord", "pos", F.col("found.line").alias("doc_line"), "found.link"),
         RECORDS,
@@ -129,10 +114,8 @@ def extract_links(documents: DataFrame) -> DataFrame:
 
 def extract_headings(documents: DataFrame) -> DataFrame:
     """``(path, pos, text, nth)``: heading texts in order, with the number of earlier equal ones."""
-    rows = documents.filter(_is_file()).select(
-        "path",
-        F.explode_outer(on_columns(_text_headings, "text")).alias("h"),
-    )
+    found = _parsed(documents.filter(_is_file()), "path", links=False)
+    rows = found.select("path", F.explode_outer(on_columns(markdown.number_repeats, _HEADINGS)).alias("h"))
     return rows.filter(F.col("h").isNotNull()).select("path", "h.pos", "h.text", "h.nth")
 
 
@@ -146,10 +129,8 @@ def document_anchor_sets(
     documents: DataFrame, slug: Callable[[Column], Column] = markdown.heading_slug
 ) -> DataFrame:
     """``(target, anchors)``: the anchor array of each local document, from its headings."""
-    return documents.filter(_is_file()).select(
-        on_columns(normalize_path, "path").alias("target"),
-        on_columns(_text_anchors, "text", slug=slug).alias("anchors"),
-    )
+    found = _parsed(documents.filter(_is_file()), on_columns(normalize_path, "path").alias("target"), links=False)
+    return found.select("target", on_columns(markdown.anchors, _HEADINGS, slug=slug).alias("anchors"))
 
 
 def document_anchors(
@@ -171,14 +152,23 @@ def index_responses(
     ``next_url`` is where a redirect leads (NULL for others); ``media_type``, ``undecodable`` and
     ``anchors`` come from the header and the body.
     """
-    found = on_columns(_found_in_body, "status", "content_type", "body", "error", slug=slug)
     redirects = (
         F.col("status").isin(REDIRECT_STATUSES) & F.col("location").isNotNull() & F.col("error").isNull()
     )
     next_url = F.when(redirects, on_columns(resolve_reference, "url", "location"))
-    kept = ["url", "status", "content_type", "error"]
-    rows = responses.select(*kept, next_url.alias("next_url"), found.alias("found")).select(
-        *kept, "next_url", "found.*"
+    kept = ["url", "status", "content_type", "error", "next_url", "media_type"]
+    typed = responses.withColumns({"next_url": next_url, "media_type": on_columns(html.media_type, "content_type")})
+    read = on_columns(_body_text, "media_type", "status", "content_type", "body", "error")
+    texts = typed.select(*kept, F.struct(read.alias("text")).alias("_body")).withColumn(_TEXT, F.col("_body.text"))
+    wanted = F.col("media_type").isin("text/html", "text/markdown") & F.col("status").between(200, 299) & F.col("error").isNull()
+    is_markdown = F.col("media_type") == "text/markdown"
+    parsed = markdown.with_links_and_headings(texts.withColumn("_markdown", F.when(is_markdown, F.col(_TEXT))), "_markdown", headings=_HEADINGS)
+    rows = parsed.select(
+        *kept,
+        (wanted & F.col(_TEXT).isNull()).alias("undecodable"),
+        F.when(F.col("media_type") == "text/html", on_columns(html.html_anchors, _TEXT))
+        .when(is_markdown, on_columns(markdown.anchors, _HEADINGS, slug=slug))
+        .alias("anchors"),
     )
     others = [c for c in rows.columns if c != "url"]
     usable = F.col("error").isNull() & F.col("status").isNotNull()

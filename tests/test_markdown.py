@@ -1,17 +1,18 @@
 """Links, headings and anchors of Markdown texts."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from anchorage.functions import markdown
-from anchorage.functions.named import on_columns
 
 
 @pytest.fixture(scope="module")
 def links(spark):
     def run(text):
         df = spark.createDataFrame([(text,)], "text string")
-        return [(r.line, r.link) for r in df.select(on_columns(markdown.links, "text").alias("l")).collect()[0].l]
+        return [(r.line, r.link) for r in markdown.with_links_and_headings(df, "text", links="l").collect()[0].l]
 
     return run
 
@@ -20,7 +21,8 @@ def links(spark):
 def heads(spark):
     def run(text):
         df = spark.createDataFrame([(text,)], "text string")
-        row = df.select(on_columns(markdown.headings, "text").alias("h"), on_columns(markdown.anchors, "text").alias("a")).collect()[0]
+        found = markdown.with_links_and_headings(df, "text", headings="h")
+        row = found.select("h", markdown.anchors(F.col("h")).alias("a")).collect()[0]
         return row.h, row.a
 
     return run
@@ -76,6 +78,24 @@ LINK_CASES = [
     ("brackets in brackets", "[a [b [c] d] e](f.md) " + "[" * 20 + "x" + "]" * 20 + "(g.md)", [(1, "f.md"), (1, "g.md")]),
     ("parentheses in parentheses", "[a](b(c(d(e(f)g)h)i)j)", [(1, "b(c(d(e(f)g)h)i)j")]),
     ("private character", "# \u0002\n[a]: x.md\n\n[a]", [(4, "x.md")]),
+    ("code in a list item", "- a\n\n      [b](no.md)\n\n  [c](d.md)", [(5, "d.md")]),
+    ("code deep in lists and quotes", "> 1. - a\n>\n>          [b](no.md)\n>\n>      [c](d.md)", [(5, "d.md")]),
+    ("fence in a quote in a list", "- > ~~~\n  > [a](no.md)\n\n  [b](c.md)", [(4, "c.md")]),
+    ("lazy line", "> [a\nb](c.md)\n>\n> - [d\ne](f.md)", [(2, "c.md"), (5, "f.md")]),
+    ("quote ends a paragraph", "[a\n> b](c.md)\n> [d](e.md)", [(3, "e.md")]),
+    ("items are paragraphs of their own", "- [a\n- b](c.md)\n  [d](e.md)", [(3, "e.md")]),
+    ("tabs", "-\ta\n\n\t\t[b](no.md)\n\n\t[c](d.md)", [(5, "d.md")]),
+    ("html in a list item", "- <div>\n  [a](no.md)\n\n  [b](c.md)", [(4, "c.md")]),
+    ("definition in a quote", "> [a]: b.md\n> 'c'\n\n[a] > [a]", [(4, "b.md"), (4, "b.md")]),
+    ("number that opens no list", "a\n  2. [b](c.md)\n\n        [d](no.md)", [(2, "c.md")]),
+    ("empty items", "-\n  [a](b.md)\n-\n\n      [c](no.md)", [(2, "b.md")]),
+    ("labels in a row", "[a [z]][x] [x][y][x] [y][]\n\n[x]: 1.md", [(1, "1.md"), (1, "1.md")]),
+    ("label of a text with a link", "[a [b](c.md) d][x]\n\n[x]: 1.md", [(1, "c.md"), (1, "1.md")]),
+    ("label of an image in a link", "[a ![b [c]][x] d](e.md)\n\n[x]: 1.png", [(1, "e.md")]),
+    ("33 levels", "[" * 33 + "x" + "]" * 33 + "(y.md)", [(1, "y.md")]),
+    ("10000 levels", "[" * 10_000 + "x" + "]" * 10_000 + "(y.md)", [(1, "y.md")]),
+    ("brackets across paragraphs", "[[a\n\nb]](c.md) [[d]](e.md)", [(3, "e.md")]),
+    ("nested brackets over lines", "[a [b\nc]\nd](e.md)\n\n[[f]]\n(g.md) <http://h/>", [(3, "e.md"), (6, "http://h/")]),
     ("nothing", "plain", []),
 ]
 
@@ -97,6 +117,14 @@ HEADING_CASES = [
     ("named entities", "# A&nbsp;B &copy; &Zfr;", ["A\u00a0B © ℨ"]),
     ("containers", "> # A\n- # B\n1. # C", ["A", "B", "C"]),
     ("empty", "#\n## \n", ["", ""]),
+    ("setext in a quote", "> Title\n> ===", ["Title"]),
+    ("setext with a lazy line", "> - A\nB\n>   ---\n> C\n---", ["AB"]),
+    ("setext in a list", "1. A\n   ===\n   - B\n     b\n     ---\n", ["A", "Bb"]),
+    ("setext after a definition", "> [x]: y.md\n> A [x]\n> ===\n> [z]: y.md\n> ===", ["A x"]),
+    ("marked headings in code of a list", "- a\n\n      # no\n\n  # B", ["B"]),
+    ("label of no definition", "# [x][y] z\n## See [docs]", ["[x][y] z", "See [docs]"]),
+    ("label of a definition", "# [x][Y] z\n## See [docs] [docs][]\n\n[y]: 1\n[docs]: 2", ["x z", "See docs docs"]),
+    ("brackets in headings", "# a [b [c](d) e](f) [g\\]] ![h [i]](j) `[k](l)`", ["a [b c e](f) [g]] h [i] `[k](l)`"]),
 ]
 
 
@@ -123,6 +151,41 @@ def test_long_lines_do_not_overflow_the_stack(links, heads):
     assert heads("# " + "*a " * 20_000)[0] != []
 
 
+def _seconds(links, heads, text, headings=False):
+    started = time.perf_counter()
+    (heads if headings else links)(text)
+    return time.perf_counter() - started
+
+
+@pytest.mark.parametrize("unit", ["w <!-- ", "[ <!-- ", "<? [x ", "<!X `` ", "` ", "<!-- - ", "[x](y \"z ", "<a b=\"c "])
+def test_openers_that_nothing_closes_take_linear_time(links, heads, unit):
+    links(unit * 20_000)
+    small = min(_seconds(links, heads, unit * 20_000) for _ in range(2))
+    assert _seconds(links, heads, unit * 200_000) < 12 * max(small, 0.3)
+
+
+@pytest.mark.parametrize("unit", ["a * ", "*a ", "[a ", "`b ", "_c "])
+def test_headings_of_many_openers_take_linear_time(links, heads, unit):
+    heads("# " + unit * 4_000)
+    small = min(_seconds(links, heads, "# " + unit * 4_000, True) for _ in range(2))
+    assert _seconds(links, heads, "# " + unit * 40_000, True) < 12 * max(small, 0.3)
+
+
+def test_marks_in_openers_change_no_link(links):
+    text = "`a` ``[b](c.md)`` <!-- [d](e.md) --> <? [f](g.md) ?> ``` [h](i.md) ` [j](k.md) <!-- [l](m.md)"
+    paragraphs = 30
+    expected = links(text)
+    assert [x for _, x in expected] == ["i.md", "k.md", "m.md"]
+    assert links("\n\n".join([text] * paragraphs)) == [(2 * p + n, x) for p in range(paragraphs) for n, x in expected]
+
+
+def test_containers_take_linear_time(links, heads):
+    item = "- a [b](c.md)\n\n      [code](no.md)\n  > d\n"
+    assert len(links(item * 100)) == 100
+    small = min(_seconds(links, heads, item * 2_000) for _ in range(2))
+    assert _seconds(links, heads, item * 20_000) < 12 * max(small, 0.3)
+
+
 def test_number_repeats_matches_a_count(spark):
     rows = spark.range(200).select(
         F.transform(F.sequence(F.lit(1), F.col("id") % 17), lambda i: ((i * (F.col("id") + 3)) % 5).cast("string")).alias("t")

@@ -163,6 +163,23 @@ ORACLES: dict[str, str] = {
     "extract_long_blocks": """
       SELECT concat('docs/d', doc_id, '.md') AS doc_path, l.doc_line, concat(l.name, '-', doc_id, '.md') AS link, l.pos
       FROM documents, (VALUES (4, 'long', 0), (7, 'in', 1), (9, 'n', 2)) AS l(doc_line, name, pos)""",
+    "extract_containers": """
+      WITH d AS (SELECT concat('docs/d', doc_id, '.md') AS doc_path, doc_id, lang,
+                        length(text) - length(replace(text, chr(10), '')) AS n FROM documents)
+      SELECT doc_path, 1 AS doc_line, concat('in-', doc_id, '.md') AS link, 0 AS pos FROM d
+      UNION ALL SELECT doc_path, CAST(n + 7 AS INTEGER), concat('out-', lang, '.md'), 1 FROM d""",
+    "heading_containers": """
+      WITH d AS (SELECT concat('docs/d', doc_id, '.md') AS path, doc_id, lang, source FROM documents)
+      SELECT path, 0 AS pos, concat('T', doc_id, lang) AS text FROM d
+      UNION ALL SELECT path, 1, concat('L', doc_id) FROM d
+      UNION ALL SELECT path, 2, concat('S', source) FROM d
+      UNION ALL SELECT path, 3, concat('N', lang) FROM d""",
+    "heading_references": """
+      WITH p AS (SELECT concat('parts/p', p_partkey, '.md') AS path, p_name, p_size, p_brand FROM part)
+      SELECT path, 0 AS pos, concat('[x][y] ', p_name) AS text FROM p
+      UNION ALL SELECT path, 1, concat('See docs ', p_size) FROM p
+      UNION ALL SELECT path, 2, concat('a b i [j] k [', p_brand, ']') FROM p
+      UNION ALL SELECT path, 3, '[a b c](d) docs' FROM p""",
     "check_hot_keys": """
       SELECT concat('types/', event_type, '.md#', CASE event_id % 3 WHEN 0 THEN 'top' WHEN 1 THEN 'TOP' ELSE 'gone' END) AS link,
              CASE event_id % 3 WHEN 0 THEN 'OK' WHEN 1 THEN 'CASE_FRAG' ELSE 'NO_FRAG' END AS tag, count(*) AS n_links

@@ -124,16 +124,45 @@ def decode_broken(spark, sf_dir):
 
 
 def extract_long_blocks(spark, sf_dir):
-    """Long headings above definitions, paragraphs that end in many blanks, brackets in brackets."""
+    """The letters of a whole text as a heading above a definition, paragraphs that end in many blanks, brackets in brackets."""
     docs = X.table(spark, sf_dir, "documents").select(
         F.expr("concat('docs/d', doc_id, '.md')").alias("path"),
-        F.expr(r"""concat('# ', substring(regexp_replace(text, '[^A-Za-z ]', ''), 1, 10 + doc_id % 1990), '\n[d]: long-', doc_id,
+        F.expr(r"""concat('# h', regexp_replace(text, '[^A-Za-z ]', ''), '\n[d]: long-', doc_id,
             '.md\n\n[d]\n\nmore', repeat(' ', cast(doc_id % 500 AS INT)), '\n    [i](in-', doc_id, '.md)\n\n[a ',
-            repeat('[', cast(doc_id % 20 AS INT)), 'b', repeat(']', cast(doc_id % 20 AS INT)), ' c](n-', doc_id, '.md)\n')""").alias("text"),
+            repeat('[', cast(doc_id % 200 AS INT)), 'b', repeat(']', cast(doc_id % 200 AS INT)), ' c](n-', doc_id, '.md)\n')""").alias("text"),
     )
     return A.extract_links(A.documents_from_table(docs)).select(*LINKS)
 
 
+def extract_containers(spark, sf_dir):
+    """Whole texts as code in a list item, in quotes up to four deep, with a link before, in and after the code."""
+    docs = X.table(spark, sf_dir, "documents").withColumn("q", F.expr("repeat('> ', cast(doc_id % 5 AS INT))"))
+    pages = docs.select(
+        F.expr("concat('docs/d', doc_id, '.md')").alias("path"),
+        F.expr(r"""concat(q, '- a [x](in-', doc_id, '.md)\n', q, '\n', q, '      ', replace(text, '\n', concat('\n', q, '      ')), '\n',
+            q, '      [code](no.md)\n', q, '\n', q, '  1) - [b\n', q, '       c](out-', lang, '.md)\n')""").alias("text"),
+    )
+    return A.extract_links(A.documents_from_table(pages)).select(*LINKS)
+
+
+def heading_containers(spark, sf_dir):
+    """Underlined headings in quotes (one with a lazy line) and in a list, and marked ones in nested lists."""
+    docs = X.table(spark, sf_dir, "documents").withColumn("q", F.expr("repeat('> ', cast(1 + doc_id % 4 AS INT))"))
+    pages = docs.select(
+        F.expr("concat('docs/d', doc_id, '.md')").alias("path"),
+        F.expr(r"""concat(q, 'T', doc_id, '\n', lang, '\n', q, '===\n\n- # L', doc_id, '\n\n  S', source, '\n  ---\n  * + ## N', lang,
+            '\n\n        # code\n', q, 'no\n===\n')""").alias("text"),
+    )
+    return A.extract_headings(A.documents_from_table(pages)).select("path", "pos", "text")
+
+
+def heading_references(spark, sf_dir):
+    """Labels in headings: of a definition, of none, and brackets that are neither."""
+    text = r"""concat('# [x][y] ', p_name, '\n\n## See [docs] ', p_size, '\n\n### [a *b*][Docs] ![i [j] k](l) [', p_brand,
+        ']\n\n[a [b][docs] c](d) [docs][]\n---\n\n[docs]: d.md\n')"""
+    return A.extract_headings(X.part_pages(spark, sf_dir, text)).select("path", "pos", "text")
+
+
 def unreadable_sources(spark, sf_dir):
     broken = X.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("docs/d"), "doc_id").alias("path"),
