@@ -151,7 +151,7 @@ def heading_containers(spark, sf_dir):
     pages = docs.select(
         F.expr("concat('docs/d', doc_id, '.md')").alias("path"),
         F.expr(r"""concat(q, 'T', doc_id, '\n', lang, '\n', q, '===\n\n- # L', doc_id, '\n\n  S', source, '\n  ---\n  * + ## N', lang,
-            '\n\n        # code\n', q, 'no\n===\n')""").alias("text"),
+            '\n\n          # code\n', q, 'no\n===\n')""").alias("text"),
     )
     return A.extract_headings(A.documents_from_table(pages)).select("path", "pos", "text")
 
@@ -351,7 +351,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for fn in (
         extract_links, extract_ref_links, extract_autolinks, extract_skip_code, extract_nav, extract_only,
         heading_texts, heading_slugs, heading_repeats, anchor_listing, html_anchors, content_dispatch,
-        decode_body, decode_broken, extract_long_blocks, check_hot_keys, unreadable_sources, target_kinds, rejected_links, normalize_urls, distinct_targets,
+        decode_body, decode_broken, extract_long_blocks, extract_containers, heading_containers, heading_references, check_hot_keys, unreadable_sources, target_kinds, rejected_links, normalize_urls, distinct_targets,
         rewrite_links, inventory, check_local, check_corpus, check_root, check_urldecode, check_prefix,
         check_remote, check_remote_follow, redirect_chains, redirects_follow, redirects_nofollow,
         report_roundtrip, malformed_lines, mute_report, links_only, tag_lookup, details, redirect_details,
