@@ -26,6 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import without_ids
+from .runs import stage
+
 #: Own choice of common units, as they follow a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hrs ms hz kw kwh w v a n j k c f usd eur gbp"
 UNITS += " meters metres kilometers kilometres miles feet inches grams kilograms pounds liters litres seconds minutes"
@@ -41,12 +44,14 @@ COMMON += " whose why will with within would yet you your"
 _SLOT = "\u0001"
 #: Between the words of one name.
 _JOIN = "\u0002"
-_NUMBER = r"(?<!\S)[+\-$€£(]*[0-9][0-9.,:/]*[%°)]*[.,;:!?]*(?!\S)"
+# the look at one character first keeps the costly looks around it from every other place
+_NUMBER = r"(?=[+\-$€£(0-9])(?<!\S)[+\-$€£(]*[0-9][0-9.,:/]*[%°)]*[.,;:!?]*(?!\S)"
 _UNIT = rf"(?<={_SLOT}num )(?i:{'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])"
 _NAME_WORD = rf"(?=\p{{Lu}}[\p{{Ll}}'’-])(?<![\p{{L}}\p{{N}}'’-])(?!(?i:{'|'.join(COMMON.split())})(?![\p{{L}}\p{{N}}'’-]))[\p{{L}}\p{{N}}'’-]++"
 _NAME = rf"{_NAME_WORD}(?:{_JOIN}{_NAME_WORD})*+"
 _NAME_GAP = rf"({_NAME_WORD})[ \t]++(?={_NAME_WORD})"
-_ENDS = r"(?<=[^\s\p{Punct}])\p{Punct}+(?!\S)|(?<!\S)\p{Punct}+(?=[^\s\p{Punct}])"
+_PUNCT = r"!-/:-@\[-`{-~"
+_ENDS = rf"(?=[{_PUNCT}])(?:(?<=[^\s{_PUNCT}])[{_PUNCT}]++(?!\S)|(?<!\S)[{_PUNCT}]++(?=[^\s{_PUNCT}]))"
 
 
 def _words(text: Column) -> Column:
@@ -56,7 +61,8 @@ def _words(text: Column) -> Column:
 
 def joined_names(text: Column) -> Column:
     """``text`` with U+0002 between the words of a name, so that a name is one word; it holds no U+0001."""
-    return F.regexp_replace(F.translate(text, _SLOT + _JOIN, "  "), _NAME_GAP, f"$1{_JOIN}")
+    marked = text.contains(_SLOT) | text.contains(_JOIN)
+    return F.regexp_replace(F.when(marked, F.translate(text, _SLOT + _JOIN, "  ")).otherwise(text), _NAME_GAP, f"$1{_JOIN}")
 
 
 def template(text: Column) -> Column:
@@ -68,7 +74,7 @@ def template(text: Column) -> Column:
 
 
 def _windows(frame: DataFrame, n: int) -> DataFrame:
-    """Columns ``id, words, codes`` become one row per window: its place and hash."""
+    """Columns ``id, words, codes`` become one row per window: its place and hash.  ``words`` only goes along."""
     last = F.size("codes") - n
     hashes = F.transform(
         F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")),
@@ -92,8 +98,9 @@ def _consistent(slots: Column) -> Column:
 
 
 def _prepared(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    chosen = frame.select(frame[id_col].alias("id"), joined_names(frame[text_col]).alias("text"))
-    return chosen.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+    # nulls go by the columns themselves: a filter on what is made of a text would make it twice
+    there = frame.filter(frame[id_col].isNotNull() & frame[text_col].isNotNull())
+    return there.select(there[id_col].alias("id"), joined_names(there[text_col]).alias("text"))
 
 
 def contaminated(
@@ -133,10 +140,11 @@ def contaminated(
     if wanted.count() <= broadcast_rows:
         wanted, sizes = F.broadcast(wanted), F.broadcast(sizes)
     texts = _prepared(docs, id_col, text_col)
-    texts = texts.select("id", _words(F.col("text")).alias("words"), F.transform(template(F.col("text")), lambda t: F.xxhash64(t)).alias("codes"))
+    # the words themselves are wanted for windows that meet one, which are few
+    texts = texts.select("id", F.col("text").alias("words"), F.transform(template(F.col("text")), lambda t: F.xxhash64(t)).alias("codes"))
     slots = F.filter(
         F.arrays_zip(
-            F.col("item_tokens").alias("token"), F.col("item_words").alias("item"), F.slice("words", F.col("at") + 1, n).alias("text")
+            F.col("item_tokens").alias("token"), F.col("item_words").alias("item"), F.slice(_words(F.col("words")), F.col("at") + 1, n).alias("text")
         ),
         lambda s: s["token"].startswith(_SLOT),
     )
@@ -149,6 +157,8 @@ def contaminated(
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
         F.max("item_size").alias("item_size"),
     )
+    # some rows a leak; both uses below would read all texts
+    single = stage(single, "diagonals")
     # diagonals that follow each other closely
     along = Window.partitionBy("id", "item_id").orderBy("diagonal")
     far = F.col("diagonal") - F.lag("diagonal").over(along) > F.greatest(F.col("item_size") / 2, F.lit(n))
@@ -171,5 +181,4 @@ def contaminated(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    found = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias("_leaking_id"))
-    return docs.join(found, F.col(id_col) == F.col("_leaking_id"), "left_anti")
+    return without_ids(docs, id_col, contaminated(docs, benchmark, id_col, text_col, **options).select("id"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import ROWS_PER_TASK, spread_join
 from ..operators.staging import new_folder
+from .columns import without_ids
 from .runs import BucketedTable, default_buckets, stage
 
 
@@ -67,5 +68,4 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_duplicates`` drops."""
-    dropped = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("id").alias("_dropped_id"))
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped_id"), "left_anti")
+    return without_ids(docs, id_col, exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select("id"))

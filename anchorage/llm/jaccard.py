@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import spread_join
 from .bytesets import BASES, LOWER, Words, hash_runs, mix, slices, text_buffers
+from .columns import without_ids
 from .components import components
 from .runs import stage
 
@@ -353,4 +354,4 @@ def similar_sets(
 def keep_one_of_each(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id."""
     dropped = similar_sets(docs, n, threshold, id_col, text_col).filter(F.col("id") != F.col("component"))
-    return docs.join(dropped.select(F.col("id").alias("_dropped_id")), F.col(id_col) == F.col("_dropped_id"), "left_anti")
+    return without_ids(docs, id_col, dropped.select("id"))
