@@ -75,50 +75,57 @@ class Links:
 
 
 class Sample:
-    """The training texts as sparse counts: (row, feature) pairs and the feature's value, built slice by slice."""
+    """The training texts as sparse counts, slice by slice: (row, feature) pairs and the feature's value.
+
+    The slices stay apart and are gone through one by one, so that nothing of the size of the sample is made beside it.
+    """
 
     def __init__(self, texts: pa.Array):
-        rows, features, values, self.rows = [], [], [], 0
-        for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text", 2 << 20):
+        self.parts, self.rows = [], 0
+        for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text"):
             words = Words(*text_buffers(part.column(0)))
             n = np.diff(words.bounds)
             if len(words):
                 pairs = np.concatenate([words.doc.astype(np.int64) << BITS | kind for kind in word_features(words)])
                 pairs, counts = np.unique(pairs, return_counts=True)
                 row = pairs >> BITS
-                rows.append((row + self.rows).astype(np.int32))
-                features.append((pairs & ((1 << BITS) - 1)).astype(np.int32))
-                values.append((counts / np.sqrt(n[row])).astype(np.float32))
+                feature = (pairs & ((1 << BITS) - 1)).astype(np.int32)
+                self.parts.append(((row + self.rows).astype(np.int32), feature, (counts / np.sqrt(n[row])).astype(np.float32)))
             self.rows += part.num_rows
-        self.row, self.feature = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (rows, features))
-        self.value = np.concatenate([np.zeros(0, np.float32), *values])
 
     def sums(self, table: np.ndarray) -> np.ndarray:
         """As ``text_sums``, for the sample."""
-        return np.bincount(self.row, weights=self.value * table.astype(np.float32)[self.feature], minlength=self.rows)
+        weights, total = table.astype(np.float32), np.zeros(self.rows)
+        for row, feature, value in self.parts:
+            total += np.bincount(row, weights=value * weights[feature], minlength=self.rows)
+        return total
 
     def select(self, y: np.ndarray, of: np.ndarray, most: int) -> np.ndarray:
         """The features whose values differ most between y > k and y <= k, for the best k, in rows ``of``."""
-        best = np.zeros(1 << BITS)
-        use = of[self.row]
-        feature, row, value = self.feature[use], self.row[use], self.value[use]
-        n = np.bincount(feature, minlength=1 << BITS)
-        total = np.bincount(feature, weights=value, minlength=1 << BITS)
-        squares = np.bincount(feature, weights=value * value, minlength=1 << BITS)
-        for k in range(int(y.max(initial=0))):
-            high = y > k
-            share = high[of].mean() if of.any() else 0.0
-            inside = np.bincount(feature, weights=value * high[row], minlength=1 << BITS)
+        size, levels = 1 << BITS, int(y.max(initial=0))
+        n, total, squares, inside = np.zeros(size, np.int64), np.zeros(size), np.zeros(size), np.zeros((levels, size))
+        for row, feature, value in self.parts:
+            use = of[row]
+            row, feature, value = row[use], feature[use], value[use]
+            n += np.bincount(feature, minlength=size)
+            total += np.bincount(feature, weights=value, minlength=size)
+            squares += np.bincount(feature, weights=value * value, minlength=size)
+            for k in range(levels):
+                inside[k] += np.bincount(feature, weights=value * (y > k)[row], minlength=size)
+        best = np.zeros(size)
+        for k in range(levels):
+            share = (y > k)[of].mean() if of.any() else 0.0
             spread = np.sqrt(np.maximum(squares * share * (1 - share), 1e-9))
-            best = np.maximum(best, np.where(n >= 5, np.abs(inside - total * share) / spread, 0))
+            best = np.maximum(best, np.where(n >= 5, np.abs(inside[k] - total * share) / spread, 0))
         chosen = np.argsort(-best, kind="stable")[:most]
         return np.sort(chosen[best[chosen] > 3]).astype(np.int32)
 
     def matrix(self, features: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(features, self.feature)
-        hit = (at < len(features)) & (features[np.minimum(at, len(features) - 1)] == self.feature) if len(features) else np.zeros(len(at), bool)
         x = np.zeros((self.rows, len(features)), np.float32)
-        x[self.row[hit], at[hit]] = self.value[hit]
+        for row, feature, value in self.parts if len(features) else []:
+            at = np.minimum(np.searchsorted(features, feature), len(features) - 1)
+            hit = features[at] == feature
+            x[row[hit], at[hit]] = value[hit]
         return x
 
 
