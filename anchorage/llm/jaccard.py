@@ -5,8 +5,8 @@ representative.  A prefix of each set, rare shingles first, goes into index list
 are similar enough share one of them.
 
 * Skipping in the lists: a list is sorted by set size and cut into blocks that know their smallest
-  position; a block is skipped if its sizes or positions can't give the overlap that is needed.  What both
-  prefixes share of a pair bounds its overlap, so few pairs need their texts.
+  position; a block is skipped if its sizes or positions can't give the overlap that is needed.  Signatures of
+  1024 bits bound how far a pair is apart, so few pairs need their texts.
 * Skipping by answers: sets that are highly similar, found by equal bottom-k keys, are compared with one
   leader only.  What is connected already is not compared again: lists yield pairs of different components
   only, first near ones, and after these have joined components, all that are left.
@@ -31,16 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import spread_join
+from ..operators.staging import new_folder
 from .bytesets import BASES, LOWER, Words, hash_runs, mix, slices, text_buffers
 from .columns import without_ids
 from .components import components
-from .runs import stage
+from .runs import BucketedTable, default_buckets, stage
 
 SKETCH_BITS = 18
 _BLOCK = 32
 #: Bottom-k keys, each by a hash of its own: k and seed.
 LEAD_KEYS = ((8, 1), (3, 2))
 _NEAR = 4
+#: Bits of a set's signature: bits in which two differ are as many elements that only one of them has, at least.
+_SIGNATURE = 1024
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +97,7 @@ def rareness(texts: DataFrame, n: int) -> np.ndarray:
 
 def _describe(n: int, threshold: tuple[int, int], levels: np.ndarray):
     num, den = threshold
-    names = ["id", "n", "s1", "s2", "prefix", "keys"]
+    names = ["id", "n", "s1", "s2", "prefix", "keys", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -111,6 +114,9 @@ def _describe(n: int, threshold: tuple[int, int], levels: np.ndarray):
             ordered = token[np.lexsort((token, rows))]
             # sets that are similar enough share one of the first size - ceil(t * size) + 1
             length = size + (-(num * size) // den) + 1
+            bits = np.zeros((batch.num_rows, _SIGNATURE // 8), np.uint8)
+            bit = (shingles >> np.uint64(40)) % np.uint64(_SIGNATURE)
+            np.bitwise_or.at(bits, (rows, (bit >> np.uint64(3)).astype(np.int64)), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
             keys = []
             for k, seed in LEAD_KEYS:
                 other = mix(shingles ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)))
@@ -127,6 +133,7 @@ def _describe(n: int, threshold: tuple[int, int], levels: np.ndarray):
                     pa.array(sums(mix(shingles ^ np.uint64(BASES[1]))).view(np.int64)),
                     pa.array(prefixes, pa.binary()),
                     keys.cast(pa.list_(pa.int64())),
+                    pa.array([b.tobytes() for b in bits], pa.binary()),
                 ],
                 names=names,
             )
@@ -243,40 +250,26 @@ def _pairs_of(threshold: tuple[int, int], near: int | None):
 
 
 def _could_link(threshold: tuple[int, int]):
-    """Pairs whose prefixes leave room for the overlap that is needed.
-
-    What two sets share up to the end of the prefix that ends first lies in both prefixes; beyond it there
-    is no more than the rest of that set.
-    """
+    """Pairs whose signatures differ in no more bits than sets that link have elements apart."""
     num, den = threshold
+    ones = np.array([bin(x).count("1") for x in range(256)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(iter([batch]), "prefix_a", 1 << 20):
-                n, length, last, rows, tokens = [], [], [], [], []
-                for i in (2, 3):
-                    data, offsets = text_buffers(part.column(i + 2))
-                    token, ends = np.frombuffer(data.tobytes(), "<u8"), offsets // 8
-                    n.append(part.column(i).to_numpy(zero_copy_only=False))
-                    length.append(np.diff(ends))
-                    last.append(token[ends[1:] - 1])
-                    rows.append(np.repeat(np.arange(part.num_rows), length[-1]))
-                    tokens.append(token)
-                row, token = np.concatenate(rows), np.concatenate(tokens)
-                order = np.lexsort((token, row))
-                row, token = row[order], token[order]
-                same = (row[1:] == row[:-1]) & (token[1:] == token[:-1])
-                common = np.bincount(row[1:][same], minlength=part.num_rows)
-                rest = np.where(last[0] <= last[1], n[0] - length[0], n[1] - length[1])
-                yield part.select([0, 1]).filter(pa.array((num + den) * (common + rest) >= num * (n[0] + n[1])))
+            for part in slices(iter([batch]), "bits_a"):
+                both = part.column(2).to_numpy(zero_copy_only=False) + part.column(3).to_numpy(zero_copy_only=False)
+                differ = text_buffers(part.column(4))[0] ^ text_buffers(part.column(5))[0]
+                apart = ones[differ].reshape(part.num_rows, -1).sum(axis=1)
+                yield part.select([0, 1]).filter(pa.array((num + den) * apart <= (den - num) * both))
 
     return run
 
 
-def _pruned(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    of_a = classes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("prefix_a"))
-    of_b = classes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("prefix_b"))
-    joined = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "n_a", "n_b", "prefix_a", "prefix_b")
+def _pruned(pairs: DataFrame, signatures: BucketedTable, threshold: tuple[int, int]) -> DataFrame:
+    by_id = signatures.read().hint("merge")
+    of_a = by_id.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    of_b = by_id.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    joined = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
     return joined.mapInArrow(_could_link(threshold), "a bigint, b bigint")
 
 
@@ -299,10 +292,14 @@ def _compare(n: int, threshold: tuple[int, int]):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs ``a, b`` whose texts are similar enough, compared exactly."""
-    of_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    of_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+def _links(pairs: DataFrame, texts: BucketedTable, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs ``a, b`` whose texts are similar enough, compared exactly.
+
+    Texts stay in their buckets, and pairs come to them; only texts that a pair wants move.
+    """
+    by_id = texts.read().hint("merge")
+    of_b = by_id.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    of_a = by_id.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("count"))
     # many sets share a leader, so its side is split; the other side has few rows an id
     joined = spread_join(pairs.join(of_b, "b"), of_a, ["a"], counts, "count", ["b"], 10_000)
@@ -315,11 +312,12 @@ def similar_sets(
     """``id, n_shingles, component``: links are pairs with den * intersection >= num * union for ``threshold`` (num, den)."""
     texts = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
     levels = rareness(texts, n)
-    schema = "id bigint, n bigint, s1 bigint, s2 bigint, prefix binary, keys array<bigint>"
+    schema = "id bigint, n bigint, s1 bigint, s2 bigint, prefix binary, keys array<bigint>, bits binary"
+    spark, buckets = docs.sparkSession, default_buckets(docs.sparkSession)
     described = stage(texts.mapInArrow(_describe(n, threshold, levels), schema), "sets")
     usable = described.filter((F.col("n") > 0) & F.col("id").isNotNull())
     classes = usable.groupBy("s1", "s2", "n").agg(
-        F.min(F.struct("id", "prefix", "keys")).alias("first"), F.count(F.lit(1)).alias("count")
+        F.min(F.struct("id", "prefix", "keys", "bits")).alias("first"), F.count(F.lit(1)).alias("count")
     )
     classes = stage(classes.select("s1", "s2", "n", "count", "first.*"), "classes")
 
@@ -336,14 +334,19 @@ def similar_sets(
     led = stage(led, "led")
 
     ids = entries.select("id").union(led.select("a")).union(led.select("b")).distinct()
-    compared = stage(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    compared = BucketedTable(spark, new_folder(spark, "texts"), "id BIGINT, text STRING", ["id"], buckets)
+    compared.append(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    signatures = BucketedTable(spark, new_folder(spark, "signatures"), "id BIGINT, n BIGINT, bits BINARY", ["id"], buckets)
+    signatures.append(classes.join(entries.select("id").distinct(), "id", "left_semi"))
     links = stage(_links(led, compared, n, threshold), "links")
     for near in (_NEAR, None):
         labels = components(links)
         known = entries.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         pairs = known.repartition("token").mapInArrow(_pairs_of(threshold, near), "a bigint, b bigint").distinct()
-        pairs = stage(_pruned(stage(pairs, "pairs"), classes, threshold), "pruned")
+        pairs = stage(_pruned(stage(pairs, "pairs"), signatures, threshold), "pruned")
         links = stage(links.unionByName(_links(pairs, compared, n, threshold)), "links")
+    for table in (compared, signatures):
+        table.drop()
     labels = components(links)
 
     owners = classes.join(labels, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))

@@ -45,5 +45,10 @@ class BucketedTable:
         rows.repartition(self.buckets, *self.keys).select(self.spark.table(self.name).columns).write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
+    def drop(self) -> None:
+        """Forget the table and delete its files, once nothing reads it any more."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+        staging.delete(self.spark, self.path)
+
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
