@@ -32,6 +32,11 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     """Have the session's JVM delete ``path`` when it ends: results that read it are lazy and may run until then."""
     files, where = _file_system(spark, path)
