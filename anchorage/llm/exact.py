@@ -16,14 +16,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import ROWS_PER_TASK, spread_join
-from ..operators.staging import new_folder
+from ..operators.staging import exists, new_folder
 from .columns import without_ids
 from .runs import BucketedTable, default_buckets, stage
 
 
+_DIGEST = "sha256"
+
+
 class DigestIndex:
-    def __init__(self, spark: SparkSession, path: str, buckets: int, id_type: str = "bigint"):
-        self.table = BucketedTable(spark, path, f"digest BINARY, keep_id {id_type}, batch STRING", ["digest"], buckets)
+    """The index below ``path``: its rows, and beside them the layout they were written with.
+
+    ``buckets`` and ``id_type`` are for a new index.  One that exists keeps its number of buckets, whatever the
+    session is set to, and is refused where the ids are of another type.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, id_type: str = "bigint"):
+        layout = f"{path}/layout"
+        if exists(spark, f"{layout}/_SUCCESS"):
+            written = spark.read.schema("buckets INT, id_type STRING, digest STRING").json(layout).first()
+            if (written.id_type, written.digest) != (id_type, _DIGEST):
+                raise ValueError(f"{path} has {written.digest} digests and ids of type {written.id_type}, not {_DIGEST} and {id_type}")
+            buckets = written.buckets
+        else:
+            buckets = buckets or default_buckets(spark)
+            made = spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(id_type).alias("id_type"), F.lit(_DIGEST).alias("digest"))
+            made.write.mode("overwrite").json(layout)
+        self.table = BucketedTable(spark, f"{path}/rows", f"digest BINARY, keep_id {id_type}, batch STRING", ["digest"], buckets)
 
     def add(
         self, batch: DataFrame, batch_id: str, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int = ROWS_PER_TASK
@@ -62,7 +81,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``DigestIndex.add`` for ``docs`` as the first batch of a new index."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    index = DigestIndex(spark, new_folder(spark, "digest-index"), default_buckets(spark), id_type)
+    index = DigestIndex(spark, new_folder(spark, "digest-index"), id_type=id_type)
     return index.add(docs, "first", id_col, text_col, **options)
 
 

@@ -168,10 +168,12 @@ def fit(sample: Sample, y: np.ndarray, extra: np.ndarray, of: np.ndarray, levels
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_cols: list[str], max_rows: int) -> DataFrame:
     """``id, text`` and the labels of at most ``max_rows`` labelled documents, chosen by a hash of the id.
 
-    ``max_rows`` bounds the list of ids, so the list may be broadcast.
+    ``max_rows`` bounds the list of ids, so the list may be broadcast.  Of several complete rows of labels for one
+    id the greatest counts, column by column from the left.
     """
     label_id = labels[id_col].alias("id")
     usable = labels.select(label_id, *[labels[c].cast("int").alias(c) for c in label_cols]).dropna()
-    chosen = usable.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    best = usable.groupBy("id").agg(F.max(F.struct(*label_cols)).alias("_best")).select("id", "_best.*")
+    chosen = best.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return texts.join(F.broadcast(chosen), "id")

@@ -4,8 +4,13 @@ Protected entities are e-mail addresses, IP addresses, card and phone numbers.
 them is estimated from the corpus: with N documents, of which n_e hold entity e, n_t hold term t and n_te
 hold both, anywhere, t tells PMI = log2(n_te N / (n_t n_e)) bits of the IC = log2(N / n_e) bits that e
 carries.  In documents that hold e, terms with PMI / IC of ``GENERALISE`` or more are generalised wherever
-they stand, and from ``REMOVE`` on removed.  Entities of one document count like any other.  Documents are
-counted by text, so copies of a text prove no more than the text does.
+they stand, and from ``REMOVE`` on removed.  Documents are counted by text, so copies of a text prove no more
+than the text does.
+
+A ratio of few counts proves little, so the share n_te / n_t that enters PMI is the lower end of its Wilson
+interval at ``ERRORS`` standard errors.  Where no more than ``FEW`` texts hold both, nothing is left to estimate:
+the plain share counts, but a text loses such a term only if the term stands in it with a capital within
+``NEAR`` code points of an entity.  Then it goes wherever it stands in that text.
 
 Entities that the same documents hold have the same counts with every term, and so have such terms; so
 pairs are counted between classes of both, which are told apart by two 64-bit hashes of their documents.
@@ -30,6 +35,9 @@ from .runs import stage
 KINDS = ["email", "ip", "card", "phone", "term"]
 GENERALISE = 0.8
 REMOVE = 0.95
+ERRORS = 1.0
+FEW = 2
+NEAR = 64
 
 # Equal to the plain patterns, but every run of characters is entered once, where it begins, so they are linear
 # and possessive.  An address may also begin where the one before it ended (\G).
@@ -118,9 +126,17 @@ def _classes(rows: DataFrame, key: str, n: str, one: str, two: str) -> DataFrame
     )
 
 
+def _share(n_both: Column, n_t: Column) -> Column:
+    """n_both / n_t, or for more than ``FEW`` the lower end of its Wilson interval."""
+    share, z2 = n_both / n_t, ERRORS**2
+    spread = F.sqrt(share * (1 - share) / n_t + z2 / (4 * n_t * n_t))
+    return F.when(n_both <= FEW, share).otherwise((share + z2 / (2 * n_t) - ERRORS * spread) / (1 + z2 / n_t))
+
+
 def _revealing(holding: DataFrame, terms: DataFrame, total: float) -> DataFrame:
-    """``uid, term, action``: the terms of each of the documents ``holding`` entities that reveal one of them.
+    """``uid, term, action, action_near``: the terms of each of the documents ``holding`` entities that reveal one.
 
+    ``action`` is what many texts prove, ``action_near`` what few texts do if the term is near an entity.
     ``terms`` has the terms of all documents, ``total`` is their number.
     """
     entity = F.transform("spans", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"])))
@@ -142,19 +158,25 @@ def _revealing(holding: DataFrame, terms: DataFrame, total: float) -> DataFrame:
     pairs = held.join(at.select("uid", "n_t", "t1", "t2").distinct(), "uid").filter(may_tell(F.col("n_e")))
     pairs = stage(pairs.select("uid", *pair), "pairs")
     information = F.log2(F.lit(total) / F.col("n_e"))
-    told = F.log2(F.col("n_both") * total / (F.col("n_t") * F.col("n_e")))
+    told = F.log2(_share(F.col("n_both"), F.col("n_t")) * total / F.col("n_e"))
     disclosed = F.when(information > 0, told / information).otherwise(F.lit(0.0))
     telling = (
         pairs.groupBy(*pair)
         .agg(F.count(F.lit(1)).alias("n_both"))
         .withColumn("disclosed", F.round(disclosed, 9))
         .filter(F.col("disclosed") >= GENERALISE)
-        .select(*pair, "n_both", F.when(F.col("disclosed") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+        .select(
+            *pair, "n_both", (F.col("n_both") <= FEW).alias("few"),
+            F.when(F.col("disclosed") >= REMOVE, "remove").otherwise("generalise").alias("action"),
+        )
     )
     telling = stage(telling, "telling")
     met = spread_join(pairs, telling.drop("n_both"), pair, telling, "n_both", ["uid"]).filter(F.col("action").isNotNull())
-    met = met.groupBy("uid", "t1", "t2").agg(F.max("action").alias("action"))  # "remove" comes after "generalise"
-    return at.join(met, ["uid", "t1", "t2"]).select("uid", "term", "action")
+    # "remove" comes after "generalise"
+    met = met.groupBy("uid", "t1", "t2").agg(
+        F.max(F.when(~F.col("few"), F.col("action"))).alias("action"), F.max(F.when(F.col("few"), F.col("action"))).alias("action_near")
+    )
+    return at.join(met, ["uid", "t1", "t2"]).select("uid", "term", "action", "action_near")
 
 
 def find_personal_data(
@@ -194,14 +216,21 @@ def find_personal_data(
     # words of the revealed terms and entities in one row of places, to leave out words that overlap an entity
     holding = holding.join(revealing.select("uid").distinct(), "uid", "left_semi")
     words = holding.select("uid", F.explode(_spans(F.col("text"), _TERM, len(KINDS) - 1)).alias("s"))
-    words = words.select("uid", F.lower("s.value").alias("term"), "s.start", "s.end").join(revealing, ["uid", "term"])
-    entities = holding.select("uid", F.explode("spans").alias("s")).select("uid", "s.start", "s.end", F.lit(None).cast("string").alias("action"))
-    places = words.select("uid", "start", "end", "action").unionByName(entities)
+    words = words.select(
+        "uid", F.lower("s.value").alias("term"), "s.start", "s.end", F.col("s.value").rlike(r"^\p{Lu}").alias("capital")
+    ).join(revealing, ["uid", "term"])
+    entities = holding.select("uid", F.explode("spans").alias("s")).select("uid", "s.start", "s.end")
+    places = words.unionByName(entities, allowMissingColumns=True)
     upto = Window.partitionBy("uid").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    is_entity = F.col("action").isNull()
+    is_entity = F.col("term").isNull()
     places = places.withColumn("before", F.max(F.when(is_entity, F.col("end"))).over(upto.orderBy("start")))
     places = places.withColumn("after", F.min(F.when(is_entity, F.col("start"))).over(upto.orderBy(F.desc("start"))))
     apart = ~is_entity & (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", "end") >= F.col("end"))
+    close = (F.col("start") - F.col("before") <= NEAR) | (F.col("after") - F.col("end") <= NEAR)
+    near = F.coalesce(F.max(apart & F.col("capital") & F.coalesce(close, F.lit(False))).over(Window.partitionBy("uid", "term")), F.lit(False))
+    # greatest leaves nulls out, and "remove" comes after "generalise"
+    places = places.filter(apart | is_entity).withColumn("action", F.greatest("action", F.when(near, F.col("action_near"))))
+    apart = ~is_entity & F.col("action").isNotNull()
     span = F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end", F.col("action").alias("value"))
     added = places.filter(apart).groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("added"))
     added = copies.join(added, "uid").select("d1", "d2", "added")

@@ -59,7 +59,10 @@ def test_exact_index_over_batches(spark, frame, tmp_path):
     path = str(tmp_path / "index")
     first = DigestIndex(spark, path, 3).add(frame([(1, "a"), (2, "b"), (3, "a")]), "monday")
     assert {(r.id, r.keep_id, r.kept) for r in first.collect()} == {(1, 3, False), (2, 2, True), (3, 3, True)}
-    again = DigestIndex(spark, path, 3)  # opened anew
+    again = DigestIndex(spark, path, 7)  # opened anew: an index keeps its own number of buckets
+    assert again.table.buckets == 3
+    with pytest.raises(ValueError):
+        DigestIndex(spark, path, id_type="string")
     later = frame([(9, "a"), (8, "c")])
     for _ in range(2):  # a batch that is repeated after a failure
         assert {(r.id, r.keep_id, r.kept) for r in again.add(later, "tuesday").collect()} == {(9, 3, False), (8, 8, True)}

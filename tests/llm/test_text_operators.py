@@ -1,8 +1,9 @@
 """BPE, classifiers, decontamination, personal data, set joins and the pipeline on small tables."""
 
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +17,7 @@ from anchorage.llm.bpe import Encoder, round_trip, tokenize
 from anchorage.llm.components import components
 from anchorage.llm.decontamination import contaminated, decontaminate
 from anchorage.llm.jaccard import keep_one_of_each, list_pairs, similar_sets
+from anchorage.llm.linear import training_rows
 from anchorage.llm.quality import fit_quality, score_quality
 from anchorage.llm.queries import CATEGORIES, GRADE, RANKS_PATH
 from anchorage.llm.toxicity import fit_toxicity, score_toxicity, without_toxic
@@ -95,6 +97,15 @@ def test_quality_on_rows_without_ratings(rated):
     assert all(r.p_tail[0] >= r.p_tail[1] and abs(sum(r.p_tail) - r.expected_grade) < 1e-9 for r in got.values())
 
 
+def test_repeated_labels(rated):
+    """Of several labels of one document the greatest counts, in whatever order they come."""
+    docs, labels = rated
+    twice = labels.unionByName(labels.selectExpr("doc_id", "0 AS quality", "0 AS toxic"))
+    rows = training_rows(docs, twice, "doc_id", "text", ["quality", "toxic"], 10_000)
+    got = {r.id: (r.quality, r.toxic) for r in rows.collect()}
+    assert got == {r.doc_id: max((r.quality, r.toxic), (0, 0)) if None not in (r.quality, r.toxic) else (0, 0) for r in labels.collect()}
+
+
 def test_models_without_labels_and_documents(rated, frame, spark):
     docs, labels = rated
     none = labels.limit(0)
@@ -222,6 +233,64 @@ def check_rare(found, card, rows):
     assert len(found[None][0]) == 1 and not found[None][1] and not any(found[i][1] for i in range(10, 60))
 
 
+def brute_added(rows):
+    """The added spans from their definition, over all pairs of entities and terms."""
+    texts = {t for i, t in rows if i is not None}
+    low = lambda t: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)}
+    terms = {t: low(t) for t in texts}
+    places = {t: base_spans(t) for t in texts}
+    entities = {t: {(k, t[a:b].lower()) for a, k, b in places[t]} for t in texts}
+    held, total = {}, len(texts)
+    for t in texts:
+        for e in entities[t]:
+            held.setdefault(e, set()).add(t)
+    n_t = Counter(w for t in texts for w in terms[t])
+    verdict = {}
+    for e, some in held.items():
+        for w in set().union(*(terms[t] for t in some)):
+            both, n, z = sum(w in terms[t] for t in some), n_t[w], pii.ERRORS
+            p = both / n
+            if both > pii.FEW:
+                p = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            ic = math.log2(total / len(some))
+            told = round(math.log2(p * total / len(some)) / ic, 9) if ic else 0
+            if told >= pii.GENERALISE:
+                verdict[e, w] = (both <= pii.FEW, "remove" if told >= pii.REMOVE else "generalise")
+    added = {}
+    for t in texts:
+        words = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t)]
+        words = [x for x in words if all(x[2] <= a or b <= x[1] for a, _, b in places[t])]
+        close = lambda a, b: any(0 <= a - y <= pii.NEAR or 0 <= x - b <= pii.NEAR for x, _, y in places[t])
+        near = {w for w, a, b in words if t[a].isupper() and close(a, b)}
+        found = []
+        for w, a, b in words:
+            acts = [act for e in entities[t] for few, act in [verdict.get((e, w), (True, None))] if act and (not few or w in near)]
+            if acts:
+                found.append((a, b, max(acts)))
+        added[t] = found
+    return added
+
+
+def test_added_spans_by_brute_force(frame):
+    rnd = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for i in range(160):
+        words = prose(i, rnd.randint(5, 60)).split(" ")
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            which = int(40 * rnd.random() ** 0.5)  # some entities in one text, some in many
+            name = f"Xan{letters[which % 26]}{letters[which // 26]}"
+            at = rnd.randrange(len(words))
+            words[at:at] = [f"u{which}@corp.example", rnd.choice([name, name, name.lower()]), rnd.choice(["since", f"Odd{letters[i % 26]}"])]
+            words.insert(rnd.randrange(len(words)), rnd.choice([name.upper(), f"apart{letters[i % 26]}"]))
+        rows.append((i, " ".join(words)))
+    rows += [(200, rows[3][1]), (201, rows[8][1]), (202, ""), (203, None), (None, rows[8][1])]
+    want = brute_added([(i, t or "") for i, t in rows])
+    assert sum(map(len, want.values())) > 30 and {a for found in want.values() for *_, a in found} == {"remove", "generalise"}
+    for r in pii.find_personal_data(frame(rows)).collect():
+        assert [(s.start, s.end, s.value) for s in r.added] == ([] if r.id is None else want[dict(rows)[r.id] or ""]), r.id
+
+
 # --- set joins --------------------------------------------------------------------------------------
 def similar(texts, n, num, den):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
