@@ -34,6 +34,39 @@ LATIN_LABELS = [
 # Leading bytes (hex) of encodings that are recognised but cannot be decoded.
 UNDECODABLE_PREFIXES = ["0000FEFF", "FFFE0000", "0000003C", "3C000000", "4C6FA794"]
 
+# Names of ISO 8859 parts by their numbers, and other charsets of one byte a character.
+_ISO_PARTS = {
+    2: "latin2", 3: "latin3", 4: "latin4", 5: "cyrillic", 6: "arabic", 7: "greek", 8: "hebrew", 10: "latin6",
+    13: "l7", 14: "l8", 15: "l9", 16: "l10",
+}
+_WINDOWS = [874, 1250, 1251, 1253, 1254, 1255, 1256, 1257, 1258]
+_OTHERS = {
+    "koi8-r": ["koi8-r", "koi8_r", "koi8", "koi", "cskoi8r"], "koi8-u": ["koi8-u"], "cp866": ["ibm866", "cp866", "866", "csibm866"],
+    "mac_roman": ["macintosh", "mac", "x-mac-roman"], "mac_cyrillic": ["x-mac-cyrillic"],
+}
+# Labels of ISO 8859 parts that mean the windows charset that contains them.
+_WIDER = {"windows-1254": ["iso-8859-9", "iso8859-9", "iso88599", "iso_8859-9", "latin5", "l5"], "windows-874": ["iso-8859-11", "iso8859-11", "iso885911", "tis-620"]}
+_HIGH = "".join(map(chr, range(128, 256)))
+
+
+def _upper_half(codec: str) -> str:
+    """Characters of the bytes 0x80-0xFF; bytes without one are C1 controls below 0xA0, else U+FFFD."""
+    decoded = [bytes([b]).decode(codec, "replace") for b in range(128, 256)]
+    return "".join(chr(b) if c == "\ufffd" and b < 0xA0 else c for b, c in enumerate(decoded, 128))
+
+
+def _single_byte_tables() -> dict[str, str]:
+    labels = {f"iso8859-{n}": [f"iso-8859-{n}", f"iso8859-{n}", f"iso8859{n}", f"iso_8859-{n}", name] for n, name in _ISO_PARTS.items()}
+    labels |= {f"cp{n}": [f"windows-{n}", f"cp{n}", f"x-cp{n}"] for n in _WINDOWS}
+    labels |= _OTHERS
+    for codec, wider in _WIDER.items():
+        labels[codec.replace("windows-", "cp")] += wider
+    return {label: _upper_half(codec) for codec, some in labels.items() for label in some}
+
+
+#: The upper half of every charset of one byte a character, by label; windows-1252 is apart, as it is the default.
+SINGLE_BYTE = _single_byte_tables()
+
 _TOKEN = r"[!#$%&'*+\-.^_`|~0-9A-Za-z]+"
 _MEDIA_TYPE = rf"""^({_TOKEN}/{_TOKEN})(?:[ \t]*;[ \t]*{_TOKEN}=(?:{_TOKEN}|"[^"]*"))*[ \t]*;?[ \t]*$"""
 
@@ -78,6 +111,12 @@ def _windows_1252(body: Column) -> Column:
     return F.translate(F.decode(body, "ISO-8859-1"), _C1, _CP1252)
 
 
+def _single_byte(body: Column, hint: Column) -> Column:
+    """Decoded by the table of the label; NULL where it has none.  One expression for all tables."""
+    tables = F.create_map(*[F.lit(x) for pair in SINGLE_BYTE.items() for x in pair])
+    return F.call_function("translate", F.decode(body, "ISO-8859-1"), F.lit(_HIGH), F.try_element_at(tables, hint))
+
+
 def _utf8(body: Column) -> Column:
     return F.make_valid_utf8(body.cast("string"))
 
@@ -114,11 +153,12 @@ def decode_body(body: Column, hint: Column) -> Column:
         .when(hint.isin(UTF16LE_LABELS), _utf16(body, True))
         .when(hint.isin(UTF16BE_LABELS), _utf16(body, False))
         .when(hint.isin(LATIN_LABELS), _windows_1252(body))
+        .when(hint.isin(list(SINGLE_BYTE)), _single_byte(body, hint))
         .when(F.is_valid_utf8(body.cast("string")), body.cast("string"))
         .otherwise(_windows_1252(body))
     )
 
 
 def _is_known(hint: Column) -> Column:
-    known = [*UTF8_LABELS, *UTF16LE_LABELS, *UTF16BE_LABELS, *LATIN_LABELS]
+    known = [*UTF8_LABELS, *UTF16LE_LABELS, *UTF16BE_LABELS, *LATIN_LABELS, *SINGLE_BYTE]
     return F.coalesce(hint.isin(known), F.lit(False))

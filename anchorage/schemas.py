@@ -21,6 +21,10 @@ DOCUMENTS = _table(path="string", text="string", doc_ord="bigint", is_dir="boole
 RECORDS = _table(
     doc_path="string", doc_line="int", link="string", source="string", doc_ord="bigint", pos="int"
 )
+# the same from report lines, whose line numbers need not be our own
+REPORT_RECORDS = _table(
+    doc_path="string", doc_line="bigint", link="string", source="string", doc_ord="bigint", pos="int"
+)
 RESPONSES = _table(
     url="string", status="int", location="string", content_type="string", body="binary", error="string"
 )

@@ -287,21 +287,61 @@ def test_html_anchors(spark):
     assert value(spark, html.html_anchors, body) == ["a", "b", "c", "s", "multi", "both", "q"]
 
 
+@pytest.mark.parametrize(
+    "label, codec, text",
+    [
+        ("KOI8-R", "koi8-r", "Привет"), ("windows-1250", "cp1250", "Łódź"), ("cp1253", "cp1253", "Αθήνα €"), ("x-cp1255", "cp1255", "שלום"),
+        ("iso8859-15", "iso8859-15", "œuvre €"), ("latin2", "iso8859-2", "čaj"), ("iso-8859-9", "cp1254", "İş €"), ("iso-8859-6", "iso8859-6", "سلام"),
+        ("tis-620", "cp874", "ไทย"), ("ibm866", "cp866", "Ёж"), ("macintosh", "mac_roman", "naïve"), ("windows-1256", "cp1256", "چاپ"),
+    ],
+)
+def test_labelled_charsets(spark, label, codec, text):
+    row = spark.createDataFrame([(text.encode(codec), f"text/html; charset={label}")], "body binary, header string")
+    assert row.select(html.decode_body(F.col("body"), html.charset_hint(F.col("header")))).first()[0] == text
+
+
+def test_bytes_without_a_character(spark):
+    row = spark.createDataFrame([(b"a\x81\xd2\xffb", "text/html; charset=windows-1253")], "body binary, header string")
+    assert row.select(html.decode_body(F.col("body"), html.charset_hint(F.col("header")))).first()[0] == "a\x81\ufffd\ufffdb"
+
+
 # --- reports --------------------------------------------------------------------------------------
 def test_report_lines(spark):
     lines = [
         (1, "a:b.md:12: OK x.md"), (2, "a.md:3:  y.md#z"), (3, "no"), (4, "a.md:x: OK y"), (5, "a.md:1: OK a b"),
         (6, "a.md:7: TAG "), (7, "sp ace.md:1: OK u\u2028v"), (8, "a.md:1000000000: OK x.md"), (9, "a.md:0000000000012: OK z"),
         (10, "a\rb.md:1: OK x.md"), (11, "a.md:99999999999: OK x.md"),
+        (12, "a.md:99999999999999999999: OK x.md"),
     ]
     df = spark.createDataFrame(lines, "line_no bigint, line string")
     got = A.parse_records(df).orderBy("doc_ord").collect()
     assert [(r.doc_path, r.doc_line, r.link) for r in got] == [
         ("a:b.md", 12, "x.md"), ("a.md", 3, "y.md#z"), ("a.md", 7, ""), ("sp ace.md", 1, "u\u2028v"),
         ("a.md", 1000000000, "x.md"), ("a.md", 12, "z"), ("a\rb.md", 1, "x.md"),
+        ("a.md", 99999999999, "x.md"),
     ]
     bad = A.malformed_lines(df).orderBy("line_no").collect()
-    assert [(r.line_no, r.reason) for r in bad] == [(n, "invalid record format") for n in (3, 4, 5, 11)]
+    assert [(r.line_no, r.reason) for r in bad] == [(n, "invalid record format") for n in (3, 4, 5, 12)]
+
+
+def test_report_files_are_numbered_over_blocks(spark, tmp_path):
+    """Files in blocks of a few hundred bytes, an empty one, and one without a newline at its end."""
+    files = {"a.txt": [f"x.md:{n}: OK y{'z' * (n % 90)}" for n in range(1, 400)], "b.txt": [], "c.txt": ["bad", "", "x.md:7: OK é", "bad\u2028too"]}
+    for name, lines in files.items():
+        (tmp_path / name).write_bytes("\n".join(lines).encode() + (b"\n" if name == "a.txt" else b""))
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "d.txt").write_bytes(b"bad\r\n\r\nx.md:3: OK u\r\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        read = A.read_report(spark, [str(tmp_path / n) for n in [*files, "more"]])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = [(r.source.rsplit("/", 1)[1], r.line_no, r.line) for r in read.orderBy("rank").collect()]
+    files["d.txt"] = ["bad", "", "x.md:3: OK u"]
+    assert got == [(name, n, line) for name, lines in files.items() for n, line in enumerate(lines, 1)]
+    assert [r.rank for r in read.orderBy("rank").collect()] == list(range(1, len(got) + 1))
+    bad = {(r.source.rsplit("/", 1)[1], r.line_no, r.value) for r in A.malformed_lines(read).collect()}
+    assert bad == {("c.txt", 1, "bad"), ("c.txt", 2, ""), ("c.txt", 4, "bad\u2028too"), ("d.txt", 1, "bad"), ("d.txt", 2, "")}
 
 
 def test_tag_names():

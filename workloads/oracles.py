@@ -157,6 +157,15 @@ ORACLES: dict[str, str] = {
                + CAST(contains(html, '<nav>') AS INTEGER) + CAST(contains(html, '<script>') AS INTEGER) END AS INTEGER) AS n_anchors
       FROM pages""",
     "decode_body": "SELECT doc_id, md5(text) AS digest FROM documents",
+    "decode_labelled": """
+      WITH d AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7f]', '', 'g') AS t FROM documents)
+      SELECT doc_id, md5(CASE doc_id % 6
+        WHEN 0 THEN translate(t, 'abcdefghijklmnopqrstuvwxyz', 'абцдефгхийклмнопярстужвьыз') || '╔'
+        WHEN 1 THEN translate(t, 'abcdefghijklmnopqrstuvwxyz', 'абвгдежзийклмнопрстуфхцчшщ') || 'Ґ'
+        WHEN 2 THEN translate(t, 'abcdefghijklmnopqrstuvwxyz', 'абвгдежзийклмнопрстуфхцчшщ') || 'Ѕ'
+        WHEN 3 THEN translate(t, 'abcdefghijklmnopqrstuvwxyz', 'αβγδεζηθικλμνξοπρςστυφχψωϊ') || '₯'
+        WHEN 4 THEN translate(t, 'abcdefghijklmnopqrstuvwxyz', 'АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩ') || 'е'
+        ELSE t || 'Ą' END) AS digest FROM d""",
     "decode_broken": """
       SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN concat(text, chr(65533)) WHEN 1 THEN concat(text, chr(65533), 'A')
                          ELSE concat(chr(65533), text) END) AS digest FROM documents""",
@@ -276,6 +285,14 @@ ORACLES: dict[str, str] = {
                     CASE WHEN o_orderkey % 5 = 0 THEN ' OK ' ELSE ': OK ' END, 'x.md') AS value,
              'invalid record format' AS reason
       FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 5 = 0""",
+    "malformed_files": """
+      WITH l AS (SELECT o_orderkey AS k, CAST(o_orderkey % 23 AS INTEGER) AS part,
+                        row_number() OVER (PARTITION BY o_orderkey % 23 ORDER BY o_orderkey) AS line_no,
+                        CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '30000000' END || CAST(o_custkey + 10000 AS VARCHAR) AS n FROM orders)
+      SELECT part, line_no, CASE WHEN k % 6 <> 0 THEN CAST(n AS BIGINT) END AS doc_line,
+             CASE WHEN k % 6 <> 0 THEN concat('x.md', repeat(chr(13), CAST(greatest(k % 3 - 1, 0) AS INTEGER)))
+                  ELSE concat('o:', n, ': OK x.md', repeat(chr(13), CAST(k % 3 AS INTEGER)), ' y') END AS value
+      FROM l""",
     "mute_report": f"""
       WITH {STAR} SELECT concat(doc_path, ':', doc_line, ': ', tag, ' ', link) AS line FROM star
       WHERE tag NOT IN ('OK', 'DIR', 'CASE_FRAG')""",
@@ -304,6 +321,6 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT doc_path, 1, concat('  context: link = ', url) FROM bad
       UNION ALL SELECT a.doc_path, CAST(2 + b.k - a.k AS INTEGER), concat('  context: redirect(', b.status, ') = {HOST}/r/', b.k + 1)
       FROM bad a JOIN bad b ON a.last = b.last AND b.k >= a.k AND NOT a.loop""",
-    "sorted_report": f"WITH {STAR} SELECT concat(doc_path, ':', doc_line, ': ', tag, ' ', link) AS line FROM star",
+    "sorted_report": f"WITH {STAR} SELECT row_number() OVER (ORDER BY doc_path, pos) AS rank, concat(doc_path, ':', doc_line, ': ', tag, ' ', link) AS line FROM star",
     "tag_counts": f"WITH {STAR} SELECT tag, count(*) AS n_links FROM star GROUP BY tag",
 }

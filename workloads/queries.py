@@ -11,7 +11,7 @@ import anchorage as A
 from anchorage.functions import html, markdown
 from anchorage.functions.named import on_columns
 from anchorage.functions.urls import normalize_url
-from anchorage.operators.staging import stage
+from anchorage.operators.staging import new_folder, stage
 from anchorage.schemas import RECORDS, conform
 
 from . import fixtures as X
@@ -110,6 +110,23 @@ def decode_body(spark, sf_dir):
     return docs.select("doc_id", F.md5(text.cast("binary")).alias("digest"))
 
 
+#: Charset labels with the bytes (as Latin-1 characters) that stand for a to z.
+LABELLED = {"koi8-r": 0xC1, "Windows-1251": 0xE0, "iso-8859-5": 0xD0, "ISO-8859-7": 0xE1, "cp866": 0x80, "windows-1250": None}
+
+
+def decode_labelled(spark, sf_dir):
+    """Texts whose small letters are bytes of a labelled charset of one byte a character."""
+    small = "abcdefghijklmnopqrstuvwxyz"
+    docs = X.table(spark, sf_dir, "documents").withColumn("plain", F.regexp_replace("text", r"[^\x00-\x7f]", ""))
+    cases = [(label, small if first is None else "".join(chr(first + i) for i in range(26))) for label, first in LABELLED.items()]
+    which = F.col("doc_id") % len(cases)
+    pick = lambda i: F.get(F.array(*[F.lit(case[i]) for case in cases]), which.cast("int"))
+    latin = F.call_function("translate", "plain", F.lit(small), pick(1))
+    body = F.concat(F.encode(latin, "ISO-8859-1"), F.expr("X'A5'"))
+    hint = html.charset_hint(F.concat(F.lit('text/html; charset="'), pick(0), F.lit('"')))
+    return docs.select("doc_id", F.md5(html.decode_body(body, hint).cast("binary")).alias("digest"))
+
+
 def decode_broken(spark, sf_dir):
     """UTF-16 bodies with an odd byte at the end or a surrogate that stands alone."""
     docs = X.table(spark, sf_dir, "documents").select(
@@ -311,6 +328,21 @@ def malformed_lines(spark, sf_dir):
     return A.malformed_lines(lines).select("line_no", "value", "reason")
 
 
+def malformed_files(spark, sf_dir):
+    """Report files, one per remainder of the key, with lines that end in one or two \\r and some that are no record."""
+    lines = X.table(spark, sf_dir, "orders").select(
+        F.expr("o_orderkey % 23").alias("part"), "o_orderkey",
+        F.expr(r"""concat('o:', CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '30000000' END, o_custkey + 10000, ': OK x.md',
+            repeat('\r', cast(o_orderkey % 3 AS INT)), CASE WHEN o_orderkey % 6 = 0 THEN ' y' ELSE '' END)""").alias("line"),
+    )
+    location = new_folder(spark, "report-files")
+    lines.repartition("part").sortWithinPartitions("part", "o_orderkey").select("line", "part").write.partitionBy("part").text(location)
+    part = F.regexp_extract("source", "part=([0-9]+)/", 1).cast("int").alias("part")
+    read = A.read_report(spark, location)
+    bad = A.malformed_lines(read).select(part, "line_no", F.lit(None).cast("bigint").alias("doc_line"), "value")
+    return bad.unionByName(A.parse_records(read).select(part, F.col("doc_ord").alias("line_no"), "doc_line", F.col("link").alias("value")))
+
+
 def mute_report(spark, sf_dir):
     checked = _checked(X.star_site(spark, sf_dir))
     return A.format_report(A.mute(checked, ["ok", "Dir", "case_frag"])).select("line")
@@ -337,9 +369,10 @@ def redirect_details(spark, sf_dir):
 
 
 def sorted_report(spark, sf_dir):
-    """The report in input order."""
-    checked = _checked(X.star_site(spark, sf_dir))
-    return A.in_input_order(A.format_report(checked)).select("line")
+    """The report in input order, with the places of its lines in the files that were written."""
+    location = new_folder(spark, "report")
+    A.write_report(_checked(X.star_site(spark, sf_dir)), location)
+    return A.read_report(spark, location).select("rank", "line")
 
 
 def tag_counts(spark, sf_dir):
@@ -351,10 +384,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for fn in (
         extract_links, extract_ref_links, extract_autolinks, extract_skip_code, extract_nav, extract_only,
         heading_texts, heading_slugs, heading_repeats, anchor_listing, html_anchors, content_dispatch,
-        decode_body, decode_broken, extract_long_blocks, extract_containers, heading_containers, heading_references, check_hot_keys, unreadable_sources, target_kinds, rejected_links, normalize_urls, distinct_targets,
+        decode_body, decode_labelled, decode_broken, extract_long_blocks, extract_containers, heading_containers, heading_references, check_hot_keys, unreadable_sources, target_kinds, rejected_links, normalize_urls, distinct_targets,
         rewrite_links, inventory, check_local, check_corpus, check_root, check_urldecode, check_prefix,
         check_remote, check_remote_follow, redirect_chains, redirects_follow, redirects_nofollow,
-        report_roundtrip, malformed_lines, mute_report, links_only, tag_lookup, details, redirect_details,
+        report_roundtrip, malformed_lines, malformed_files, mute_report, links_only, tag_lookup, details, redirect_details,
         sorted_report, tag_counts,
     )
 }
