@@ -38,7 +38,7 @@ def resolve_fragments(
 ) -> DataFrame:
     """Final ``tag`` and matched ``prefix`` of each distinct ``(kind, target, fragment)``.
 
-    ``wanted`` has the outcome of the target in ``tag`` (NULL: found) and ``anchor_key``; ``anchors``
+    ``wanted`` has the outcome of the target in ``tag`` (NULL: found), its ``cause`` if known and ``anchor_key``; ``anchors``
     has ``(target, anchor)``.  A failed target keeps its tag and none of its fragments is looked at.
 
     Candidates meet anchors in one equi-join on both columns, so neither a target with very many
@@ -48,6 +48,8 @@ def resolve_fragments(
     With ``shared_documents`` (followed redirects) very many targets may mean one document, so that
     even one anchor can be hot; the join then splits such anchors.
     """
+    if "cause" not in wanted.columns:
+        wanted = wanted.withColumn("cause", F.lit(None).cast("string"))
     needs = F.col("tag").isNull() & F.col("fragment").isNotNull()
     if empty_fragment_ok:
         needs = needs & (F.col("fragment") != "")
@@ -59,7 +61,7 @@ def resolve_fragments(
         )
     )
     attempts = wanted.select(
-        "kind", "target", "fragment", "n_links", F.col("tag").alias("doc_tag"), "hops",
+        "kind", "target", "fragment", "n_links", F.col("tag").alias("doc_tag"), "hops", "cause",
         F.when(needs, F.col("anchor_key")).otherwise(F.col("target")).alias("anchor_key"),
         needs.alias("needs"),
         F.explode(F.when(needs, _candidates(F.col("fragment"), tries)).otherwise(idle)).alias("try"),
@@ -73,7 +75,7 @@ def resolve_fragments(
         joined = attempts.join(present, keys, "left")
     # All but the rank depend on the first three keys; as keys they allow a hash aggregate.
     best = (
-        joined.groupBy("kind", "target", "fragment", "n_links", "doc_tag", "hops", "needs")
+        joined.groupBy("kind", "target", "fragment", "n_links", "doc_tag", "hops", "cause", "needs")
         .agg(F.min(F.when(F.col("present"), F.col("try.rank"))).alias("rank"))
     )
     rank = F.col("rank")
@@ -85,7 +87,7 @@ def resolve_fragments(
         .otherwise(F.lit("NO_FRAG"))
     )
     return best.select(
-        "kind", "target", "fragment", "n_links", "hops",
+        "kind", "target", "fragment", "n_links", "hops", "cause",
         F.get(F.array(*[F.lit(p) for p in tries]), F.pmod(rank, F.lit(len(tries)))).alias("prefix"),
         tag.alias("tag"),
         F.col("doc_tag").isNotNull().alias("doc_failed"),

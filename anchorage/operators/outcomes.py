@@ -53,6 +53,7 @@ def local_outcomes(existing: DataFrame) -> DataFrame:
         F.when(F.col("is_dir"), F.lit("DIR")).when(F.col("io_error"), F.lit("IO_ERR")).alias("tag"),
         F.col("target").alias("anchor_key"),
         F.array().cast(HOPS).alias("hops"),
+        F.when(~F.col("is_dir") & F.col("io_error"), F.lit("could not be read")).alias("cause"),
     )
 
 
@@ -86,6 +87,16 @@ def remote_outcomes(index: DataFrame, follow: bool = False, **redirects: int) ->
     ends_well = (error.isNull() | (error == "body_read")) & status.between(200, 299)
     none = F.array().cast(HOPS)
     hops = none if follow else F.when(ends_well, F.col("hops")).otherwise(none)
+    # why the tag is what it is, where the tag does not say it
+    cause = (
+        F.when(error == "timeout", F.lit(None))
+        .when(error == "redirects", F.lit("too many redirects"))
+        .when(error == "not fetched", F.concat(F.lit("not fetched: "), F.col("final_url")))
+        .when(error.isNotNull() & (error != "body_read"), error)
+        .when(status.isNull(), F.lit("no status"))
+        .when(tag == "HTTP_OTH", F.lit("content type is not text"))
+        .when(tag == "IO_ERR", F.lit("body could not be read"))
+    )
     resolved = resolve_responses(index, **redirects)
     return resolved.select(
         F.lit("url").alias("kind"),
@@ -93,13 +104,14 @@ def remote_outcomes(index: DataFrame, follow: bool = False, **redirects: int) ->
         tag.alias("tag"),
         F.col("final_url").alias("anchor_key"),
         hops.alias("hops"),
+        cause.cast("string").alias("cause"),
     )
 
 
 def look_up(targets: DataFrame, outcomes: DataFrame, urldecode: bool = False) -> DataFrame:
     """Outcome of each distinct ``(kind, target)``: one equi-join for local and remote targets.
 
-    Adds ``tag`` (NULL: the document is there), ``anchor_key`` and ``hops``.  With ``urldecode`` a
+    Adds ``tag`` (NULL: the document is there), ``anchor_key``, ``hops`` and ``cause`` (of some tags).  With ``urldecode`` a
     local path that cannot be opened is tried again percent-decoded.
     """
     missing = (
@@ -116,10 +128,13 @@ def look_up(targets: DataFrame, outcomes: DataFrame, urldecode: bool = False) ->
         F.col("tag").alias("found_tag"),
         "anchor_key",
         "hops",
+        "cause",
     )
+    # a URL that was never fetched has no row that could say so
+    cause = F.when((missing == "HTTP_OTH") & F.col("found").isNull(), F.lit("not fetched")).otherwise(F.col("cause"))
     if not urldecode:
         joined = targets.withColumn("key", F.col("target")).join(found, ["kind", "key"], "left")
-        return joined.withColumn("tag", missing).drop("key", "found", "found_tag")
+        return joined.withColumns({"tag": missing, "cause": cause}).drop("key", "found", "found_tag")
 
     decoded = F.when(F.col("kind") == "path", on_columns(_decoded_path, "target"))
     tries = targets.withColumn(
@@ -134,7 +149,7 @@ def look_up(targets: DataFrame, outcomes: DataFrame, urldecode: bool = False) ->
         ),
     ).select("*", "try.rank", "try.key").drop("try")
     joined = tries.join(found, ["kind", "key"], "left")
-    result = F.struct("found", "found_tag", "anchor_key", "hops")
+    result = F.struct("found", "found_tag", "anchor_key", "hops", "cause")
     others = [c for c in targets.columns if c not in ("kind", "target")]
     best = joined.groupBy("kind", "target").agg(
         *[F.first(c).alias(c) for c in others],
@@ -153,8 +168,9 @@ def look_up(targets: DataFrame, outcomes: DataFrame, urldecode: bool = False) ->
                 "found_tag": F.when(retried, retry_tag).otherwise(F.col("plain.found_tag")),
                 "anchor_key": pick("anchor_key"),
                 "hops": pick("hops"),
+                "cause": pick("cause"),
             }
         )
-        .withColumn("tag", missing)
+        .withColumns({"tag": missing, "cause": cause})
         .drop("plain", "retry", "found", "found_tag")
     )

@@ -46,7 +46,7 @@ def details_of() -> Column:
     """Why a link got its tag: a title, then the context, the most general first.
 
     Works on ``tag``, ``target``, ``fragment``, ``prefix``, ``hops`` (only where a redirect is what the
-    tag reports) and ``doc_failed``.
+    tag reports), ``cause`` (why the document failed) and ``doc_failed``.
     """
     tag, fragment = F.col("tag"), F.col("fragment")
     context = lambda *parts: F.concat(F.lit("  context: "), *parts)
@@ -69,8 +69,10 @@ def details_of() -> Column:
         )
     )
     # Fixed value: the cause that is named where no charset was found.
-    cause = F.when(tag == "DEC_ERR", F.array(F.lit("  caused by: Failed to detect character encoding")))
-    return F.when(tag != "OK", F.concat(lines, hops, F.coalesce(cause, F.array().cast("array<string>"))))
+    undecoded = F.when(tag == "DEC_ERR", F.lit("Failed to detect character encoding"))
+    cause = F.coalesce(undecoded, F.when(F.col("doc_failed"), F.col("cause")))
+    caused = F.array_compact(F.array(F.concat(F.lit("  caused by: "), cause)))
+    return F.when(tag != "OK", F.concat(lines, hops, caused))
 
 
 def explain_details(checked: DataFrame) -> DataFrame:

@@ -254,6 +254,26 @@ def test_a_chain_that_fails_at_its_end_is_no_redirect(spark):
     assert row.tag == "HTTP_304" and not any("redirect" in line for line in row.details)
 
 
+def test_causes_of_failures(spark):
+    rows = [
+        ("http://h/x", 301, "/unknown", None, None, None), ("http://h/loop", 302, "/loop", None, None, None),
+        ("http://h/down", None, None, None, None, "connection refused"), ("http://h/slow", None, None, None, None, "timeout"),
+        ("http://h/cut", 200, None, "text/html", None, "body_read"), ("http://h/odd", 200, None, "text/\u00e9", None, None),
+        ("http://h/none", None, None, None, None, None), ("http://h/gone", 404, None, None, None, None),
+    ]
+    causes = {
+        "x": "not fetched: http://h/unknown", "loop": "too many redirects", "down": "connection refused", "slow": None,
+        "cut": "body could not be read", "odd": "content type is not text", "none": "no status", "gone": None, "zz": "not fetched",
+    }
+    text = "".join(f"<http://h/{name}>\n" for name in causes) + "[s](ftp://h/x) [b](bad.md#x)\n"
+    docs = spark.createDataFrame([("d.md", text, 0, False, None), ("bad.md", None, 1, False, "EACCES")], DOCUMENTS)
+    for follow in (False, True):
+        checked, _ = A.check_links(docs, A.responses_from_table(spark.createDataFrame(rows, RESPONSES)), follow=follow, urldecode=follow)
+        got = {r.link: [x for x in r.details if "caused by" in x] for r in checked.collect()}
+        want = {f"http://h/{name}": [f"  caused by: {cause}"] if cause else [] for name, cause in causes.items()}
+        assert got == {**want, "ftp://h/x": [], "bad.md#x": ["  caused by: could not be read"]}
+
+
 # --- bodies ---------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     "body,hint,expected",

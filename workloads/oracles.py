@@ -320,7 +320,15 @@ ORACLES: dict[str, str] = {
                ELSE 'Unexpected HTTP status 302 Found' END AS detail FROM bad
       UNION ALL SELECT doc_path, 1, concat('  context: link = ', url) FROM bad
       UNION ALL SELECT a.doc_path, CAST(2 + b.k - a.k AS INTEGER), concat('  context: redirect(', b.status, ') = {HOST}/r/', b.k + 1)
-      FROM bad a JOIN bad b ON a.last = b.last AND b.k >= a.k AND NOT a.loop""",
+      FROM bad a JOIN bad b ON a.last = b.last AND b.k >= a.k AND NOT a.loop
+      UNION ALL SELECT doc_path, 2, '  caused by: too many redirects' FROM bad WHERE loop""",
+    "failure_causes": f"""
+      WITH {PAGE_LINKS}
+      SELECT doc_path, doc_line, 'HTTP_OTH' AS tag, concat('  caused by: ', cause) AS detail
+      FROM (SELECT *, CASE WHEN NOT fetched THEN 'not fetched' WHEN k % 10 = 9 THEN 'other'
+                           WHEN k % 10 = 1 AND NOT has_next THEN concat('not fetched: {HOST}/p/', k + 1)
+                           WHEN k % 10 = 8 AND NOT has_back THEN concat('not fetched: {HOST}/p/', k - 5) END AS cause FROM states)
+      WHERE cause IS NOT NULL""",
     "sorted_report": f"WITH {STAR} SELECT row_number() OVER (ORDER BY doc_path, pos) AS rank, concat(doc_path, ':', doc_line, ': ', tag, ' ', link) AS line FROM star",
     "tag_counts": f"WITH {STAR} SELECT tag, count(*) AS n_links FROM star GROUP BY tag",
 }

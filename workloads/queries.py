@@ -368,6 +368,13 @@ def redirect_details(spark, sf_dir):
     return A.explain_details(checked).select("doc_path", "n", "detail")
 
 
+def failure_causes(spark, sf_dir):
+    """Why fetches failed, of every link to a web page."""
+    checked = _checked(X.page_links(spark, sf_dir, "'#s-', page_id"), X.crawl(spark, sf_dir))
+    causes = A.explain_details(checked).filter(F.col("detail").startswith("  caused by: "))
+    return causes.select("doc_path", "doc_line", "tag", "detail")
+
+
 def sorted_report(spark, sf_dir):
     """The report in input order, with the places of its lines in the files that were written."""
     location = new_folder(spark, "report")
@@ -387,7 +394,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         decode_body, decode_labelled, decode_broken, extract_long_blocks, extract_containers, heading_containers, heading_references, check_hot_keys, unreadable_sources, target_kinds, rejected_links, normalize_urls, distinct_targets,
         rewrite_links, inventory, check_local, check_corpus, check_root, check_urldecode, check_prefix,
         check_remote, check_remote_follow, redirect_chains, redirects_follow, redirects_nofollow,
-        report_roundtrip, malformed_lines, malformed_files, mute_report, links_only, tag_lookup, details, redirect_details,
+        report_roundtrip, malformed_lines, malformed_files, mute_report, links_only, tag_lookup, details, redirect_details, failure_causes,
         sorted_report, tag_counts,
     )
 }
