@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .arrays import running_max, running_sum
 from .text import count_newlines, let
 
-_PARAGRAPH = 1 << 32
+_HALF = _PARAGRAPH = 1 << 32
 
 
 def _places(tokens: Column, hard: Column) -> Column:
@@ -29,7 +29,7 @@ def _places(tokens: Column, hard: Column) -> Column:
         lines = F.when(token.contains("\n"), count_newlines(token)).otherwise(F.lit(0)).cast("bigint")
         return F.when(ends, lines + _PARAGRAPH).otherwise(lines)
 
-    return running_sum(F.transform(tokens, place))
+    return running_sum(tokens, place)
 
 
 def line_of(places: Column, at: Column) -> Column:
@@ -40,19 +40,17 @@ def _opens(token: Column) -> Column:
     return token.isin("[", "![")
 
 
-def _levels(tokens: Column) -> Column:
-    return running_sum(F.transform(tokens, lambda t: F.when(_opens(t), 1).when(t.startswith("]"), -1).otherwise(0)))
+def _brackets(tokens: Column) -> Column:
+    """Running numbers of closing (low half) and opening brackets (high half)."""
+    return running_sum(tokens, lambda t, _: F.when(_opens(t), F.lit(_HALF)).when(t.startswith("]"), 1).otherwise(0))
 
 
-def _counts(tokens: Column) -> Column:
-    return running_sum(F.transform(tokens, lambda t: F.when(_opens(t) | t.startswith("]"), 1).otherwise(0)))
-
-
-def _rows(tokens: Column, places: Column, levels: Column, counts: Column) -> Column:
+def _rows(tokens: Column, places: Column, seen: Column) -> Column:
     def row(token: Column, i: Column) -> Column:
-        level = F.get(levels, i) + F.when(_opens(token), 0).otherwise(1)
+        opened, closed = F.shiftright(F.get(seen, i), 32), F.get(seen, i) % _HALF
+        level = opened - closed + F.when(_opens(token), 0).otherwise(1)
         paragraph = F.shiftright(F.get(places, i), 32)
-        fields = {"paragraph": paragraph, "level": level, "at": i, "opens": _opens(token), "count": F.get(counts, i)}
+        fields = {"paragraph": paragraph, "level": level, "at": i, "opens": _opens(token), "count": opened + closed}
         return F.when(_opens(token) | token.startswith("]"), F.struct(*[c.alias(n) for n, c in fields.items()]))
 
     return F.sort_array(F.filter(F.transform(tokens, row), lambda r: r.isNotNull()))
@@ -119,7 +117,7 @@ def _sums(pairs: Column) -> Column:
         of_image = F.coalesce(before["image"] & before["labelled"], F.lit(False))
         return F.when(p["dest"].isNotNull() & ~p["image"] & ~of_image, 1).otherwise(0)
 
-    return running_sum(F.transform(pairs, one))
+    return running_sum(pairs, one)
 
 
 def _able(pairs: Column, sums: Column) -> Column:
@@ -138,7 +136,7 @@ def _begins(pairs: Column, able: Column) -> Column:
         is_label = F.coalesce(F.get(able, q - F.lit(1)) & F.get(pairs, q - F.lit(1))["labelled"], F.lit(False))
         return F.when(~is_label, q)
 
-    return running_max(F.transform(pairs, begin))
+    return running_max(pairs, begin)
 
 
 def _chosen(pairs: Column, able: Column, begins: Column) -> Column:
@@ -183,7 +181,7 @@ def matched_brackets(
             able = let(_sums(pairs), lambda sums: _able(pairs, sums))
             return let(able, lambda a: let(let(_begins(pairs, a), lambda begins: _chosen(pairs, a, begins)), lambda r: body(tokens, pieces, places, r)))
 
-        rows = let(_levels(tokens), lambda levels: let(_counts(tokens), lambda counts: _rows(tokens, places, levels, counts)))
+        rows = let(_brackets(tokens), lambda seen: _rows(tokens, places, seen))
         return let(let(rows, _matched), on_matched)
 
     def on_groups(tokens: Column) -> Column:
