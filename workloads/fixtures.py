@@ -11,19 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import anchorage as A
+from anchorage.operators.staging import size
 from anchorage.schemas import RESPONSES, conform
 
 HOST = "https://site.example.org"
 
 
-#: Tasks to deal the rows of a scan to before they are parsed; 0 leaves them as the files are split.  The
-#: benchmark sets it, because its files have one row group each, which no split size can divide.
+#: Tasks to deal the rows of a scan to before they are parsed, whatever its size; 0 goes by the size.
 SPREAD = 0
+#: Tasks a core, and bytes a task, that rows are dealt to where the files give fewer tasks.
+TASKS_PER_CORE, BYTES_PER_TASK = 3, 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.repartition(SPREAD, df.columns[0]) if SPREAD else df
+    """The rows of a table, dealt to enough tasks to keep all cores busy.
+
+    Keys pack into few bytes, and pages are rendered from them, so a small file is much work; and no split
+    size can divide the row groups of a file.  Scans that are many tasks anyway are left as they are.
+    """
+    location = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(location)
+    if SPREAD:
+        return df.repartition(SPREAD, df.columns[0])
+    tasks = min(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, size(spark, location) // BYTES_PER_TASK)
+    # round and round, as keys may repeat or be null
+    return df.repartition(tasks) if tasks > 1 and df.rdd.getNumPartitions() < tasks else df
 
 
 def _pages(df: DataFrame, path: str, text: str) -> DataFrame:
