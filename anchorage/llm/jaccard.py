@@ -42,8 +42,8 @@ _BLOCK = 32
 #: Bottom-k keys, each by a hash of its own: k and seed.
 LEAD_KEYS = ((8, 1), (3, 2))
 _NEAR = 4
-#: Bits of a set's signature: bits in which two differ are as many elements that only one of them has, at least.
-_SIGNATURE = 1024
+#: Least and most bits of a signature, powers of two.
+_SIGNATURE = (1 << 6, 1 << 24)
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +95,34 @@ def rareness(texts: DataFrame, n: int) -> np.ndarray:
     return np.clip(np.ceil(np.log2(np.maximum((sketch - mean) / (6 * np.sqrt(mean) + 16), 1))), 0, 31).astype(np.uint8)
 
 
+def signatures_of(rows: np.ndarray, shingles: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(data, offsets) of the signatures of sets: bits that say whether the elements of a cell are odd in number.
+
+    Elements that two sets share cancel out, so bits in which two signatures differ are as many elements that only
+    one set has, at least.  A signature grows with its set, and its halves added up are the one of half its width.
+    """
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), *_SIGNATURE)
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(width)])
+    cell = (shingles >> np.uint64(40)).astype(np.int64) & (width[rows] - 1)
+    odd = (np.bincount(offsets[rows] + cell, minlength=offsets[-1]) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little"), offsets // 8
+
+
+def bits_apart(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """In how many bits the signatures of pairs differ; wider ones are brought down to the other's width."""
+    (data_a, offsets_a), (data_b, offsets_b) = a, b
+    widths = np.stack([np.diff(offsets_a), np.diff(offsets_b)], axis=1)
+    apart = np.zeros(len(widths), np.int64)
+    for wide in np.unique(widths, axis=0):
+        rows = np.flatnonzero((widths == wide).all(axis=1))
+        sides = [data[offsets[rows][:, None] + np.arange(w)] for data, offsets, w in ((data_a, offsets_a, wide[0]), (data_b, offsets_b, wide[1]))]
+        for i in (0, 1):
+            while sides[i].shape[1] > sides[1 - i].shape[1]:
+                sides[i] = np.bitwise_xor(*np.split(sides[i], 2, axis=1))
+        apart[rows] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
+    return apart
+
+
 def _describe(n: int, threshold: tuple[int, int], levels: np.ndarray):
     num, den = threshold
     names = ["id", "n", "s1", "s2", "prefix", "keys", "bits"]
@@ -114,9 +142,8 @@ def _describe(n: int, threshold: tuple[int, int], levels: np.ndarray):
             ordered = token[np.lexsort((token, rows))]
             # sets that are similar enough share one of the first size - ceil(t * size) + 1
             length = size + (-(num * size) // den) + 1
-            bits = np.zeros((batch.num_rows, _SIGNATURE // 8), np.uint8)
-            bit = (shingles >> np.uint64(40)) % np.uint64(_SIGNATURE)
-            np.bitwise_or.at(bits, (rows, (bit >> np.uint64(3)).astype(np.int64)), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+            bits, at = signatures_of(rows, shingles, size)
+            bits = bits.tobytes()
             keys = []
             for k, seed in LEAD_KEYS:
                 other = mix(shingles ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)))
@@ -133,7 +160,7 @@ def _describe(n: int, threshold: tuple[int, int], levels: np.ndarray):
                     pa.array(sums(mix(shingles ^ np.uint64(BASES[1]))).view(np.int64)),
                     pa.array(prefixes, pa.binary()),
                     keys.cast(pa.list_(pa.int64())),
-                    pa.array([b.tobytes() for b in bits], pa.binary()),
+                    pa.array([bits[a:b] for a, b in zip(at, at[1:])], pa.binary()),
                 ],
                 names=names,
             )
@@ -252,14 +279,12 @@ def _pairs_of(threshold: tuple[int, int], near: int | None):
 def _could_link(threshold: tuple[int, int]):
     """Pairs whose signatures differ in no more bits than sets that link have elements apart."""
     num, den = threshold
-    ones = np.array([bin(x).count("1") for x in range(256)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(iter([batch]), "bits_a"):
                 both = part.column(2).to_numpy(zero_copy_only=False) + part.column(3).to_numpy(zero_copy_only=False)
-                differ = text_buffers(part.column(4))[0] ^ text_buffers(part.column(5))[0]
-                apart = ones[differ].reshape(part.num_rows, -1).sum(axis=1)
+                apart = bits_apart(text_buffers(part.column(4)), text_buffers(part.column(5)))
                 yield part.select([0, 1]).filter(pa.array((num + den) * apart <= (den - num) * both))
 
     return run
