@@ -10,6 +10,10 @@ are similar enough share one of them.
 * Skipping by answers: sets that are highly similar, found by equal bottom-k keys, are compared with one
   leader only.  What is connected already is not compared again: lists yield pairs of different components
   only, first near ones, and after these have joined components, all that are left.
+* Skipping by differences: sets that share many lists with one pivot are a family, and each is compared with
+  the pivot.  Where both of two sets link with it they are connected; else they have to share more than half
+  of what sets one of them apart from the pivot.  So pairs of a family come from lists of differences, which
+  are short, and not from the lists of what the whole family shares.
 
 Rareness comes from a sketch of counts of fixed size, so it may be broadcast at any scale; it only orders
 shingles, so its errors cost time and no links.  Every pair that could link is compared exactly, or its two
@@ -42,6 +46,10 @@ _BLOCK = 32
 #: Bottom-k keys, each by a hash of its own: k and seed.
 LEAD_KEYS = ((8, 1), (3, 2))
 _NEAR = 4
+#: A set is of its pivot's family from this similarity on.
+_FAMILY = (1, 2)
+#: A difference is common if more than one in so many of a family have it.
+_COMMON = 8
 #: Least and most bits of a signature, powers of two.
 _SIGNATURE = (1 << 6, 1 << 24)
 
@@ -203,15 +211,23 @@ def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def list_pairs(
-    token: np.ndarray, ids: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, threshold: tuple[int, int], near: int | None
+    token: np.ndarray,
+    ids: np.ndarray,
+    n: np.ndarray,
+    pos: np.ndarray,
+    comp: np.ndarray,
+    threshold: tuple[int, int],
+    near: int | None,
+    family: np.ndarray | None = None,
 ) -> np.ndarray:
     """Pairs of different components in the same list that may be similar enough, as two columns of ids.
 
-    With ``near``, an entry meets only so many that follow it in its list; with None all, unless ``near``
-    would have given them.
+    With ``near``, an entry meets only so many that follow it in its list; with None all, but for those of its
+    own ``family``.
     """
     num, den = threshold
     order = np.lexsort((ids, pos, n, token))
+    family = ids[order] if family is None else family[order]
     token, ids, n, pos, comp = token[order], ids[order], n[order].astype(np.int64), pos[order].astype(np.int64), comp[order]
     new = np.ones(len(token), bool)
     new[1:] = token[1:] != token[:-1]
@@ -240,6 +256,7 @@ def list_pairs(
     block_end = np.append(block_at[1:], len(token))
     low_pos = np.minimum.reduceat(pos, block_at) if len(block_at) else pos
     mixed = np.minimum.reduceat(comp, block_at) != np.maximum.reduceat(comp, block_at) if len(block_at) else comp
+    kin = np.minimum.reduceat(family, block_at) == np.maximum.reduceat(family, block_at) if len(block_at) else family
     last_block = block[np.maximum(ends - 1, 0)] if len(token) else block
     for lo in range(0, len(token), 1 << 16):
         i = at[lo : lo + (1 << 16)]
@@ -250,12 +267,13 @@ def list_pairs(
         possible = np.minimum(n[i] - pos[i], top - low_pos[b])
         live = (num * n[block_at[b]] <= den * n[i]) & ((num + den) * possible >= num * (n[i] + n[block_at[b]]))
         live &= mixed[b] | (comp[block_at[b]] != comp[i])
+        live &= ~kin[b] | (family[block_at[b]] != family[i])
         i, b = i[live], b[live]
         for part in range(0, len(i), 1 << 17):
             pi, pb = i[part : part + (1 << 17)], b[part : part + (1 << 17)]
             which, k = _spread(block_end[pb] - block_at[pb])
             x, y = pi[which], block_at[pb[which]] + k
-            ok = (y > x) & (comp[x] != comp[y])
+            ok = (y > x) & (comp[x] != comp[y]) & (family[x] != family[y])
             x, y = x[ok], y[ok]
             ok = fits(x, y, n[y], pos[y])
             out.append(np.unique(np.stack([ids[x[ok]], ids[y[ok]]], axis=1), axis=0))
@@ -268,10 +286,61 @@ def _pairs_of(threshold: tuple[int, int], near: int | None):
         if not held:
             return
         table = pa.Table.from_batches(held)
-        pairs = list_pairs(*(table.column(c).to_numpy() for c in ("token", "id", "n", "pos", "component")), threshold, near)
-        low, high = pairs.min(axis=1, initial=2**63 - 1), pairs.max(axis=1, initial=-(2**63))
-        for at in range(0, len(pairs), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(low[at : at + 100_000]), pa.array(high[at : at + 100_000])], names=["a", "b"])
+        columns = (table.column(c).to_numpy() for c in ("token", "id", "n", "pos", "component"))
+        yield from _rows(list_pairs(*columns, threshold, near, table.column("family").to_numpy()))
+
+    return run
+
+
+def _rows(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    low, high = pairs.min(axis=1, initial=2**63 - 1), pairs.max(axis=1, initial=-(2**63))
+    for at in range(0, len(pairs), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(low[at : at + 100_000]), pa.array(high[at : at + 100_000])], names=["a", "b"])
+
+
+def family_pairs(
+    family: np.ndarray, token: np.ndarray, ids: np.ndarray, n: np.ndarray, apart: np.ndarray, pos: np.ndarray,
+    linked: np.ndarray, short: np.ndarray, comp: np.ndarray, threshold: tuple[int, int],
+) -> np.ndarray:
+    """Pairs of a family and of different components that share a difference and may be similar enough.
+
+    One of the two does not link with the pivot.  It meets linked sets by its whole prefix, and others by its
+    ``short`` one.
+    """
+    num, den = threshold
+    kind = np.where(linked, 0, np.where(short, 1, 2))
+    order = np.lexsort((ids, kind, token, family))
+    family, token, ids, kind, comp = (x[order] for x in (family, token, ids, kind, comp))
+    n, apart, pos = (x[order].astype(np.int64) for x in (n, apart, pos))
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (family[1:] != family[:-1])
+    run = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    of_linked = np.bincount(run[kind == 0], minlength=len(first))
+    at = np.arange(len(token))
+    partners = np.where(kind == 1, at - first[run], np.where(kind == 2, of_linked[run], 0))
+    out = [np.zeros((0, 2), np.int64)]
+    bounds = np.searchsorted(np.cumsum(partners), np.arange(1 << 20, partners.sum() + (1 << 20), 1 << 20), "right")
+    for lo, hi in zip(np.append(0, bounds), np.append(bounds, len(token))):
+        which, k = _spread(partners[lo:hi])
+        y = which + lo
+        x = first[run[y]] + k
+        ok = (comp[x] != comp[y]) & (num * np.maximum(n[x], n[y]) <= den * np.minimum(n[x], n[y]))
+        # what both have apart from the pivot: needed, and what stands from the shared difference on
+        possible = np.minimum(apart[x] - pos[x], apart[y] - pos[y])
+        ok &= 2 * (num + den) * possible >= (num + den) * (apart[x] + apart[y]) - (den - num) * (n[x] + n[y])
+        out.append(np.unique(np.stack([ids[x[ok]], ids[y[ok]]], axis=1), axis=0))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _family_pairs(threshold: tuple[int, int]):
+    names = ("family", "token", "id", "n", "apart", "pos", "linked", "short", "component")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from _rows(family_pairs(*(table.column(c).to_numpy() for c in names), threshold))
 
     return run
 
@@ -317,8 +386,109 @@ def _compare(n: int, threshold: tuple[int, int]):
     return run
 
 
+def _differences(n: int, threshold: tuple[int, int]):
+    """What sets the texts ``b`` apart from their pivots ``a``: what only ``b`` has first, as few others have it.
+
+    Of two sets x, y of which y does not link with the pivot r, |x - y| <= c (n_x + n_y), c = (den - num) / (den + num),
+    needs over (d_x + c (n_r - n_x)) / 2 common differences, since d_y > c (n_y + n_r).  If x does link, y needs
+    d_y - c (n_x + n_y) at least, as x has no more.  So they share one of their first ones.
+    """
+    num, den = threshold
+    names = ["family", "id", "linked", "n", "apart", "few", "most", "tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(iter([batch]), "text_a", 1 << 20):
+                rows_a, set_a = shingle_sets(part.column(2), n)
+                rows_b, set_b = shingle_sets(part.column(3), n)
+                n_a, n_b = (np.bincount(rows, minlength=part.num_rows) for rows in (rows_a, rows_b))
+                rows, both = np.concatenate([rows_a, rows_b]), np.concatenate([set_a, set_b])
+                of_a = np.arange(len(rows)) < len(rows_a)
+                order = np.lexsort((both, rows))
+                rows, both, of_a = rows[order], both[order], of_a[order]
+                same = np.flatnonzero((rows[1:] == rows[:-1]) & (both[1:] == both[:-1]))
+                alone = np.ones(len(rows), bool)
+                alone[same] = alone[same + 1] = False
+                rows, both, of_a = rows[alone], both[alone], of_a[alone]
+                order = np.lexsort((both, of_a, rows))
+                both = both[order].astype("<u8")
+                apart = np.bincount(rows, minlength=part.num_rows)
+                common = (n_a + n_b - apart) // 2
+                union = n_a + n_b - common
+                linked = (common > 0) & (den * common >= num * union)
+                few = apart - np.maximum(((num + den) * apart + (den - num) * (n_a - n_b)) // (2 * (num + den)) + 1, 1) + 1
+                most = np.where(linked, few, np.maximum(few, apart - np.maximum(apart - (den - num) * n_b // num, 1) + 1))
+                ends = np.cumsum(apart)
+                tokens = [both[a:b].tobytes() for a, b in zip(ends - apart, ends)]
+                columns = [part.column(0), part.column(1), linked, n_b, apart, few, np.maximum(most, 0), pa.array(tokens, pa.binary())]
+                out = pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=names)
+                yield out.filter(pa.array(_FAMILY[1] * common >= _FAMILY[0] * union))
+
+    return run
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per difference of a set."""
+    for batch in batches:
+        for part in slices(iter([batch]), "tokens", 1 << 20):
+            data, offsets = text_buffers(part.column(1))
+            family = np.repeat(part.column(0).to_numpy(zero_copy_only=False), np.diff(offsets) // 8)
+            yield pa.RecordBatch.from_arrays([pa.array(family), pa.array(np.frombuffer(data.tobytes(), "<i8"))], names=["family", "token"])
+
+
+def _unroll_differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per difference of a prefix, those common in the family last: its position, and if it is in the short prefix."""
+    names = ["family", "id", "linked", "n", "apart", "short", "token", "pos"]
+    for batch in batches:
+        for part in slices(iter([batch]), "tokens", 1 << 20):
+            prefixes = []
+            for raw, most, common in zip(part.column(7).to_pylist(), part.column(6).to_pylist(), part.column(8)):
+                tokens = np.frombuffer(raw, "<i8")
+                if common.is_valid:
+                    late = np.isin(tokens, common.values.to_numpy())
+                    tokens = np.concatenate([tokens[~late], tokens[late]])
+                prefixes.append(tokens[:most])
+            which, pos = _spread(np.array([len(p) for p in prefixes]))
+            columns = [c.to_numpy(zero_copy_only=False)[which] for c in part.columns[:6]]
+            columns[5] = pos < columns[5]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, np.concatenate(prefixes), pos)], names=names)
+
+
+def _differing(kin: DataFrame) -> DataFrame:
+    """The prefixes of differences, one row each.  What many of a family have goes last, such as what only its pivot lacks."""
+    sizes = kin.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    counts = kin.select("family", "tokens").mapInArrow(_tokens, "family bigint, token bigint").groupBy("family", "token")
+    counts = counts.agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= _COMMON).join(sizes, "family")
+    common = counts.filter(F.col("count") * _COMMON > F.col("size")).groupBy("family").agg(F.collect_list("token").alias("common"))
+    joined = spread_join(kin, common, ["family"], sizes, "size", ["id"], 10_000)
+    schema = "family bigint, id bigint, linked boolean, n bigint, apart bigint, short boolean, token bigint, pos bigint"
+    return joined.select(*kin.columns, "common").mapInArrow(_unroll_differences, schema)
+
+
+def _pivots(entries: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """``a, b``: for sets ``b`` in lists, the set ``a`` that leads most of their lists.
+
+    A list is led by the set whose prefix has the longest lists on the average: the one least edited.
+    """
+    num, den = threshold
+    lengths = entries.groupBy("token").agg(F.count(F.lit(1)).alias("length"))
+    known = entries.join(lengths, "token")
+    score = F.sum("length") / (F.first("n") - F.ceil(F.first("n") * num / den) + 1)
+    scores = known.groupBy("id").agg(score.alias("score"))
+    best = entries.join(scores, "id").groupBy("token").agg(F.max(F.struct("score", (-F.col("id")).alias("low"))).alias("best"))
+    votes = entries.join(best.select("token", "best.score", (-F.col("best.low")).alias("pivot")), "token").filter("pivot <> id")
+    votes = votes.groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("votes"), F.first("score").alias("score"))
+    chosen = F.max_by("pivot", F.struct("votes", "score", -F.col("pivot")))
+    return votes.groupBy(F.col("id").alias("b")).agg(chosen.alias("a")).select("a", "b")
+
+
 def _links(pairs: DataFrame, texts: BucketedTable, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs ``a, b`` whose texts are similar enough, compared exactly.
+    """The pairs ``a, b`` whose texts are similar enough, compared exactly."""
+    return _with_texts(pairs, texts).mapInArrow(_compare(n, threshold), "a bigint, b bigint")
+
+
+def _with_texts(pairs: DataFrame, texts: BucketedTable) -> DataFrame:
+    """``a, b, text_a, text_b``.
 
     Texts stay in their buckets, and pairs come to them; only texts that a pair wants move.
     """
@@ -328,7 +498,7 @@ def _links(pairs: DataFrame, texts: BucketedTable, n: int, threshold: tuple[int,
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("count"))
     # many sets share a leader, so its side is split; the other side has few rows an id
     joined = spread_join(pairs.join(of_b, "b"), of_a, ["a"], counts, "count", ["b"], 10_000)
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(_compare(n, threshold), "a bigint, b bigint")
+    return joined.select("a", "b", "text_a", "text_b")
 
 
 def similar_sets(
@@ -364,11 +534,21 @@ def similar_sets(
     signatures = BucketedTable(spark, new_folder(spark, "signatures"), "id BIGINT, n BIGINT, bits BINARY", ["id"], buckets)
     signatures.append(classes.join(entries.select("id").distinct(), "id", "left_semi"))
     links = stage(_links(led, compared, n, threshold), "links")
+    kin = stage(_pruned(stage(_pivots(entries, threshold), "pivots"), signatures, _FAMILY), "pruned")
+    apart = "family bigint, id bigint, linked boolean, n bigint, apart bigint, few bigint, most bigint, tokens binary"
+    kin = stage(_with_texts(kin, compared).mapInArrow(_differences(n, threshold), apart), "apart")
+    links = links.unionByName(kin.filter("linked").select(F.col("family").alias("a"), F.col("id").alias("b")))
+    differ = _differing(kin)
+    entries = entries.join(kin.select("id", "family"), "id", "left").withColumn("family", F.coalesce("family", "id"))
     for near in (_NEAR, None):
         labels = components(links)
-        known = entries.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pairs = known.repartition("token").mapInArrow(_pairs_of(threshold, near), "a bigint, b bigint").distinct()
-        pairs = stage(_pruned(stage(pairs, "pairs"), signatures, threshold), "pruned")
+        component = F.coalesce("component", "id").alias("component")
+        known = entries.join(labels, "id", "left").select(*entries.columns, component)
+        pairs = known.repartition("token").mapInArrow(_pairs_of(threshold, near), "a bigint, b bigint")
+        if near is None:
+            known = differ.join(labels, "id", "left").select(*differ.columns, component)
+            pairs = pairs.union(known.repartition("family", "token").mapInArrow(_family_pairs(threshold), "a bigint, b bigint"))
+        pairs = stage(_pruned(stage(pairs.distinct(), "pairs"), signatures, threshold), "pruned")
         links = stage(links.unionByName(_links(pairs, compared, n, threshold)), "links")
     for table in (compared, signatures):
         table.drop()

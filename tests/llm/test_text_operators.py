@@ -7,12 +7,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from anchorage.llm import pii
+from anchorage.llm import jaccard, pii
 from anchorage.llm.bpe import Encoder, round_trip, tokenize
 from anchorage.llm.components import components
 from anchorage.llm.decontamination import contaminated, decontaminate
@@ -336,6 +337,67 @@ def test_similar_sets(frame, n, num):
         assert similar_sets(frame([])).collect() == []
 
 
+def test_pairs_of_a_family_do_not_grow_with_its_square(frame, monkeypatch):
+    """Near copies, many too far from each other to link: 40 pairs each at most, and the same components."""
+    rnd = random.Random(9)
+    base, made = prose(7, 150).split(), []
+    rows = []
+    for i in range(600):
+        words = list(base)
+        for _ in range(i % 9):
+            words[rnd.randrange(len(words))] = f"new{rnd.random()}"
+        rows.append((i, " ".join(words)))
+    stage = jaccard.stage
+
+    def counted(df, name, **options):
+        staged = stage(df, name, **options)
+        made.extend([staged.count()] if name in ("pairs", "links") else [])
+        return staged
+
+    monkeypatch.setattr(jaccard, "stage", counted)
+    got = {(r.id, r.n_shingles, r.component) for r in similar_sets(frame(rows), 5, (80, 100)).collect()}
+    assert got == similar(rows, 5, 80, 100)
+    assert sum(made) < 40 * len(rows)
+
+
+def test_family_pairs_lose_no_pair():
+    """Sets around a pivot: pairs that are similar enough link with it both, or share a difference in their prefixes."""
+    rnd = random.Random(4)
+    met = 0
+    for turn in range(60):
+        num = rnd.choice([60, 80, 90])
+        pivot = [f"w{k}" for k in range(rnd.randint(8, 40))]
+        texts = []
+        for _ in range(25):
+            words = list(pivot)
+            for _ in range(rnd.randrange(10)):
+                at = rnd.randrange(len(words))
+                words[at : at + rnd.randint(0, 1)] = [f"n{rnd.randrange(6)}"] * rnd.randint(0, 2)
+                words = words or ["w0"]
+            texts.append(" ".join(words))
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array([99] * len(texts)), pa.array(range(len(texts))), pa.array([" ".join(pivot)] * len(texts)), pa.array(texts)],
+            names=["a", "b", "text_a", "text_b"],
+        )
+        kin = pa.Table.from_batches(jaccard._differences(1, (num, 100))(iter([batch])))
+        common = [[int(x) for x in rnd.sample(np.frombuffer(t, "<i8").tolist(), len(t) // 24)] for t in kin["tokens"].to_pylist()]
+        common = sorted({x for row in common for x in row}) if turn % 2 else None
+        kin = kin.append_column("common", pa.array([common] * len(kin), pa.list_(pa.int64())))
+        rows = pa.Table.from_batches(jaccard._unroll_differences(iter(kin.to_batches())))
+        names = ("family", "token", "id", "n", "apart", "pos", "linked", "short", "id")
+        got = {tuple(sorted(p)) for p in jaccard.family_pairs(*(rows[c].to_numpy() for c in names), (num, 100)).tolist()}
+        sets = {i: set(texts[i].split()) for i in kin["id"].to_pylist()}
+        linked = dict(zip(kin["id"].to_pylist(), kin["linked"].to_pylist()))
+        for i in sets:
+            assert linked[i] == (100 * len(sets[i] & set(pivot)) >= num * len(sets[i] | set(pivot)))
+            for j in sets:
+                similar_ = 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])
+                if i < j and similar_ and sets[i] != sets[j] and not (linked[i] and linked[j]):
+                    assert (i, j) in got
+                    met += 1
+    assert met > 100
+
+
 def test_lists_skip_no_pair():
     rnd = np.random.default_rng(2)
     for _ in range(30):
