@@ -5,8 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from anchorage.llm import induced, suffixes
+from anchorage.llm.bytesets import SpanHash
 from anchorage.llm.exact import DigestIndex, exact_duplicates, keep_distinct
 from anchorage.llm.induced import repeats, suffix_array
 from anchorage.llm.lines import LineRuns, drop_repeated_lines
@@ -157,6 +160,29 @@ def test_suffix_arrays():
     assert {i: x.tolist() for i, x in repeats([b"abcab", b"", b"xxbca"], 2).items()} == {0: [0, 1, 2, 3], 2: [2, 3]}
 
 
+def test_named_bytes_are_characters_of_their_own():
+    bodies = [b"abNNcd", b"xbNNcd", b"ab\0NNc", b"NNbNNc"]
+    named = (np.array([2, 2, 3, 3]), np.array([4, 4, 5, 5]))
+    assert {i: x.tolist() for i, x in repeats(bodies, 4, named=named).items()} == {0: [1, 2], 1: [1, 2], 3: [2]}
+
+
+def test_parts_hold_a_name_instead_of_their_core():
+    """What is sorted of a part are its edges, 31 bytes at each end, and a name of 16 to 47 bytes."""
+    text = "".join(f"{k:x}," for k in range(300))
+    wanted = [{"key": 1, "c1": 2, "c2": 3, "n": 1, "begin": 20, "windows": 32, "left": 31, "core": core} for core in (369, 380)]
+    batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([wanted])], names=["text", "wanted"])
+    first, second = pa.Table.from_batches(suffixes._bodies(400)(iter([batch])))["body"].to_pylist()
+    assert (len(first), len(second)) == (31 + 16 + 31, 31 + 27 + 20) and first[:31] == second[:31] == text[20:51].encode()
+    assert first[47:] == text[420:451].encode() and second[58:] == text[431:451].encode()
+
+
+def test_a_text_is_hashed_once(monkeypatch):
+    made = []
+    monkeypatch.setattr(induced, "SpanHash", lambda *a: made.append(a) or SpanHash(*a))
+    suffix_array(np.array([*np.random.default_rng(3).integers(1, 200, 5000), 0]), 50)
+    assert len(made) == 1
+
+
 @pytest.mark.parametrize(
     "operator", [exact_duplicates, drop_repeated_lines, drop_repeated_substrings, drop_repeated_bytes], ids=lambda f: f.__name__
 )
