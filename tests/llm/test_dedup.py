@@ -13,6 +13,7 @@ from anchorage.llm.bytesets import SpanHash
 from anchorage.llm.exact import DigestIndex, exact_duplicates, keep_distinct
 from anchorage.llm.induced import repeats, suffix_array
 from anchorage.llm.lines import LineRuns, drop_repeated_lines
+from anchorage.llm.queries import op8_suffix_dedup
 from anchorage.llm.substrings import _pack, _rest_bytes, _split, _unpack, drop_repeated_substrings
 from anchorage.llm.suffixes import drop_repeated_bytes
 from llm_samples import prose
@@ -143,6 +144,17 @@ def test_bytes(docs):
     assert sorted((r.id or -1, r.n_bytes, r.n_removed, len(r.runs), sha(bytes(r.kept))) for r in got) == sorted(expected)
 
 
+def test_passages_of_over_50_words_go_from_400_bytes_on(frame, tmp_path):
+    """The contract counts bytes, not words: 57 shared words go with 400 bytes, and stay with 399."""
+    passage = lambda c: " " + " ".join(f"{c}{k:05}" for k in range(57)) + " "
+    whole, short = passage("w"), passage("s")[:-1]
+    assert (len(whole), len(short)) == (400, 399)
+    rows = [(1, "a" + whole + "a"), (2, "b" + whole + "b"), (3, "c" + short + "c"), (4, "d" + short + "d")]
+    frame(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op8_suffix_dedup(frame(rows).sparkSession, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got) == [(1, 402, 400, 1), (2, 402, 400, 1), (3, 401, 0, 0), (4, 401, 0, 0)]
+
+
 def test_suffix_arrays():
     import random
 
